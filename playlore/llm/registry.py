@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlore.llm import mixing, quality, sharding
+from playlore.llm import licenses, mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_licenses": licenses.op3_licenses,
         "op4_sharding": sharding.op4_sharding,
         "op6_quality": quality.op6_quality,
         "op9_mixing": mixing.op9_mixing,
@@ -18,4 +19,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.ORACLE, "op6_quality": quality.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op3_licenses": licenses.ORACLE, "op4_sharding": sharding.ORACLE, "op6_quality": quality.ORACLE, "op9_mixing": mixing.ORACLE}
