@@ -60,8 +60,10 @@ def fingerprint(text: Column, buckets: Column) -> Column:
 
     def of(all_terms: Column) -> Column:
         placed = F.sort_array(F.transform(F.filter(all_terms, inside), lambda t: F.struct(F.substring(F.md5(t), 1, 2).alias("s"), t.alias("t"))))
-        hashed = lambda own: F.substring(F.md5(F.array_join(F.transform(own, lambda x: x["t"]), " ")), 1, 8)
-        parts = lambda p: F.transform(F.array_distinct(F.transform(p, lambda x: x["s"])), lambda s: F.concat(s, hashed(F.filter(p, lambda x: x["s"] == s))))
+        # one string, a line for each run of a subset's terms: linear, where a filter for each subset would not be
+        line = lambda p, x, i: F.when(F.coalesce(F.get(p, i - 1)["s"] == x["s"], F.lit(False)), F.concat(F.lit(" "), x["t"])).otherwise(F.concat(F.lit("\n"), x["s"], x["t"]))
+        runs = lambda p: F.split(F.substring(F.array_join(F.transform(p, lambda x, i: line(p, x, i)), ""), 2, 2147483647), "\n")
+        parts = lambda p: F.transform(runs(p), lambda g: F.concat(F.substring(g, 1, 2), F.substring(F.md5(F.substring(g, 3, 2147483647)), 1, 8)))
         whole = F.array(F.concat(F.lit("--"), F.substring(F.md5(F.array_join(F.array_sort(all_terms), " ")), 1, 8)))
         return let(placed, lambda p: F.when(F.size(p) > 0, parts(p)).otherwise(whole))
 
