@@ -43,3 +43,8 @@ def unit_interval(key: Column, seed: str) -> Column:
     """A hash of key as a double in [0, 1), from 52 bits of MD5, alike in any engine."""
     hexed = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13)
     return F.conv(hexed, 16, 10).cast("long") / F.lit(4503599627370496.0)
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A text that names a row by id and content, null id or not; rows with the same id and text share it."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))

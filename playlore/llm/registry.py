@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlore.llm import fingerprints, licenses, mixing, quality, sharding
+from playlore.llm import fingerprints, licenses, linededup, mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_linededup": linededup.op1_linededup,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_licenses": licenses.op3_licenses,
         "op4_sharding": sharding.op4_sharding,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fingerprints": fingerprints.ORACLE, "op3_licenses": licenses.ORACLE, "op4_sharding": sharding.ORACLE, "op6_quality": quality.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op1_linededup": linededup.ORACLE, "op2_fingerprints": fingerprints.ORACLE, "op3_licenses": licenses.ORACLE, "op4_sharding": sharding.ORACLE, "op6_quality": quality.ORACLE, "op9_mixing": mixing.ORACLE}
