@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlore.llm import fingerprints, licenses, linededup, mixing, quality, sharding
+from playlore.llm import fingerprints, licenses, linededup, mixing, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_licenses": licenses.op3_licenses,
         "op4_sharding": sharding.op4_sharding,
+        "op5_packing": packing.op5_packing,
         "op6_quality": quality.op6_quality,
         "op9_mixing": mixing.op9_mixing,
     }
