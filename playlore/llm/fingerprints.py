@@ -12,8 +12,8 @@ leaves room for t / p terms, whatever the number of documents.
 
 Edge cases: a null text is empty; a text without lexicon terms is fingerprinted
 by all its terms, so equal texts always have equal fingerprints; repeated rows
-get equal results; in `edited_next`, rows with the same id and text share the
-next document, null ids come last, and a lone document is followed by itself;
+get equal results; in `edited_next`, rows with the same id and text follow
+each other, null ids come last, and a lone document is followed by itself;
 an empty table stays empty; input columns that clash with an output name are
 replaced in the output.
 """
@@ -23,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playlore.llm.common import let, read, stash
+from playlore.llm.common import let, read, row_key
 
 #: Production parameters: the band, as shares of documents that have a term.
 LEAST_SHARE, MOST_SHARE = 0.002, 0.25
 BUCKETS = 4096
+#: Rows of a bucket of ids, and buckets at most: their limits are a literal.
+BUCKET_ROWS, MOST_BUCKETS = 2000, 4096
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -55,7 +57,7 @@ def lookup(lex: DataFrame) -> Column:
 
 
 def fingerprint(text: Column, buckets: Column) -> Column:
-    """array<string>: two hex digits of the subset and eight of the hash of its terms; for a text without lexicon terms one entry, "--" and its hash."""
+    """array<string>: two hex digits of the subset and six of the hash of its terms; for a text without lexicon terms one entry, "--" and its hash."""
     inside = lambda t: F.array_contains(F.get(buckets, F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")), t)
 
     def of(all_terms: Column) -> Column:
@@ -63,8 +65,8 @@ def fingerprint(text: Column, buckets: Column) -> Column:
         # one string, a line for each run of a subset's terms: linear, where a filter for each subset would not be
         line = lambda p, x, i: F.when(F.coalesce(F.get(p, i - 1)["s"] == x["s"], F.lit(False)), F.concat(F.lit(" "), x["t"])).otherwise(F.concat(F.lit("\n"), x["s"], x["t"]))
         runs = lambda p: F.split(F.substring(F.array_join(F.transform(p, lambda x, i: line(p, x, i)), ""), 2, 2147483647), "\n")
-        parts = lambda p: F.transform(runs(p), lambda g: F.concat(F.substring(g, 1, 2), F.substring(F.md5(F.substring(g, 3, 2147483647)), 1, 8)))
-        whole = F.array(F.concat(F.lit("--"), F.substring(F.md5(F.array_join(F.array_sort(all_terms), " ")), 1, 8)))
+        parts = lambda p: F.transform(runs(p), lambda g: F.concat(F.substring(g, 1, 2), F.substring(F.md5(F.substring(g, 3, 2147483647)), 1, 6)))
+        whole = F.array(F.concat(F.lit("--"), F.substring(F.md5(F.array_join(F.array_sort(all_terms), " ")), 1, 6)))
         return let(placed, lambda p: F.when(F.size(p) > 0, parts(p)).otherwise(whole))
 
     return let(terms(text), of)
@@ -76,53 +78,54 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(subsets(a), subsets(b)))
 
 
-def edited_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_chars, edited, row_key, next_key: each text with its last third replaced by the head of the next document's.
+def entries(printed: Column) -> Column:
+    return F.regexp_extract_all(printed, F.lit(".{8}"), F.lit(0))
 
-    The order is a range partitioning, so only one row of each partition meets in one task.
+
+def edited_next(keyed: DataFrame, printed: Column) -> DataFrame:
+    """keyed (doc_id, text, row_key) with own, which is printed, with edited, each text's last third replaced by the head of the next document's, and next_own.
+
+    Documents are dealt by quantiles of the id, so the texts move once. Each bucket gets the first
+    document of the next one as a guest, for its last document to look at.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumns({"n_chars": F.char_length("text").cast("long"), "row_key": F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text"))})
-    order = [F.col("doc_id").desc_nulls_last(), F.col("row_key")]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = keyed.select("doc_id", "row_key", "n_chars").distinct().repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    ids = stash(ids, "next-ids")  # the partitions' numbers are sampled; written once, all readers see the same
-    w = Window.partitionBy("part").orderBy(*order)
-    led = ids.withColumns({"inner_next": F.lead("row_key").over(w), "at": F.row_number().over(w)})
-    firsts = led.filter("at = 1").select("part", F.col("row_key").alias("first_key"))
-    by_part = Window.orderBy("part")
-    first_of_all = F.first("first_key").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    outer = firsts.select("part", F.coalesce(F.lead("first_key").over(by_part), first_of_all).alias("outer_next"))
-    nexts = led.join(F.broadcast(outer), "part").select("row_key", F.coalesce("inner_next", "outer_next").alias("next_key"), F.floor(F.col("n_chars") / 3).cast("int").alias("taken"))
-    nexts = stash(nexts, "next-keys")
-    # each document's head goes to the documents that it follows
-    wanted = nexts.select(F.col("next_key").alias("row_key"), F.col("row_key").alias("for_key"), "taken")
-    heads = keyed.select("row_key", "text").join(wanted, "row_key").select(F.col("for_key").alias("row_key"), F.substring(F.col("text"), F.lit(1), F.col("taken")).alias("head")).dropDuplicates(["row_key"])
-    kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
-    joined = keyed.join(nexts.select("row_key", "next_key"), "row_key").join(heads, "row_key")
-    return joined.select("doc_id", "text", "n_chars", F.concat(kept, "head").alias("edited"), "row_key", "next_key")
+    backwards = F.bitwise_not(F.col("doc_id"))
+    rows, parts = keyed.count(), int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, max(parts, rows // BUCKET_ROWS))
+    bounds = keyed.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("b")).first()["b"] or [] if buckets > 1 else []
+    limits = F.from_json(F.lit(str(sorted(set(bounds)))), "array<bigint>")
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(MOST_BUCKETS)).otherwise(F.size(F.filter(limits, lambda x: x > F.col("doc_id"))))
+    dealt = keyed.withColumn("bucket", bucket)
+    firsts = dealt.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), backwards.alias("i"), F.col("row_key"))).alias("f"))
+    around = Window.orderBy("bucket")  # at most MOST_BUCKETS + 1 rows
+    last = F.last("bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    guests = firsts.select(F.col("f.row_key").alias("row_key"), F.coalesce(F.lag("bucket").over(around), last).alias("target"))
+    visiting = keyed.join(F.broadcast(guests), "row_key").select(*keyed.columns, F.col("target").alias("bucket"), F.lit(True).alias("guest"))
+    hosts = dealt.withColumn("guest", F.lit(False)).withColumn("own", printed)
+    w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").isNull(), backwards, "row_key")
+    led = hosts.unionByName(visiting.withColumn("own", printed)).withColumns({"next_text": F.lead("text").over(w), "next_own": F.lead("own").over(w)}).filter("not guest")
+    taken = F.floor(F.char_length("text") / 3).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - taken), F.substring(F.col("next_text"), F.lit(1), taken))
+    return led.withColumn("edited", edited).drop("bucket", "guest", "next_text")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     buckets = lookup(lexicon(docs))
-    made = edited_next(docs).select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text"), buckets).alias("own"), fingerprint(F.col("edited"), buckets).alias("changed"), "row_key", "next_key"
-    )
-    made = stash(made, "fingerprints")
-    after = made.select(F.col("row_key").alias("next_key"), F.col("own").alias("next_own")).dropDuplicates(["next_key"])
-    return made.join(after, "next_key").select(
+    body = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select("doc_id", body.alias("text"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
+    made = edited_next(keyed, F.array_join(fingerprint(F.col("text"), buckets), "")).withColumn("changed", F.array_join(fingerprint(F.col("edited"), buckets), ""))
+    return made.select(
         "doc_id",
-        "n_chars",
-        "edited_sha256",
-        F.array_join("own", "").alias("fingerprint"),
-        F.array_join("changed", "").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("own").alias("fingerprint"),
+        F.col("changed").alias("edited_fingerprint"),
+        likeness(entries(F.col("own")), entries(F.col("changed"))).alias("near_edited"),
+        likeness(entries(F.col("own")), entries(F.col("next_own"))).alias("near_next"),
     )
 
 
-_PARTS = lambda t: f"(SELECT rid, list(s || h ORDER BY s) AS fp FROM (SELECT rid, s, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS h FROM (SELECT rid, term, substr(md5(term), 1, 2) AS s FROM (SELECT rid, unnest({t}) AS term FROM split) JOIN lex USING (term)) GROUP BY rid, s) GROUP BY rid)"
+_PARTS = lambda t: f"(SELECT rid, list(s || h ORDER BY s) AS fp FROM (SELECT rid, s, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 6) AS h FROM (SELECT rid, term, substr(md5(term), 1, 2) AS s FROM (SELECT rid, unnest({t}) AS term FROM split) JOIN lex USING (term)) GROUP BY rid, s) GROUP BY rid)"
 _TERMS = lambda t: f"list_distinct(regexp_extract_all(lower({t}), '{TERM}'))"
 _LIKE = lambda a, b: f"len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat(list_transform({a}, lambda e: e[1:2]), list_transform({b}, lambda e: e[1:2]))))"
 ORACLE = f"""WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id DESC) AS rid, count(*) OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
@@ -133,7 +136,7 @@ split AS (SELECT rid, {_TERMS("text")} AS own, {_TERMS("edited")} AS changed FRO
 lex AS (SELECT term FROM (SELECT unnest(own) AS term FROM split) GROUP BY term
   HAVING count(*) >= greatest(2, {LEAST_SHARE} * (SELECT count(*) FROM docs)) AND count(*) <= {MOST_SHARE} * (SELECT count(*) FROM docs)),
 a AS {_PARTS("own")}, b AS {_PARTS("changed")},
-prints AS (SELECT p.*, coalesce(a.fp, ['--' || substr(md5(array_to_string(list_sort(s.own), ' ')), 1, 8)]) AS fa, coalesce(b.fp, ['--' || substr(md5(array_to_string(list_sort(s.changed), ' ')), 1, 8)]) AS fb
+prints AS (SELECT p.*, coalesce(a.fp, ['--' || substr(md5(array_to_string(list_sort(s.own), ' ')), 1, 6)]) AS fa, coalesce(b.fp, ['--' || substr(md5(array_to_string(list_sort(s.changed), ' ')), 1, 6)]) AS fb
   FROM pairs p JOIN split s USING (rid) LEFT JOIN a USING (rid) LEFT JOIN b USING (rid))
 SELECT x.doc_id, x.n_chars::BIGINT AS n_chars, sha256(x.edited) AS edited_sha256, array_to_string(x.fa, '') AS fingerprint, array_to_string(x.fb, '') AS edited_fingerprint,
   {_LIKE("x.fa", "x.fb")} AS near_edited, {_LIKE("x.fa", "y.fa")} AS near_next
