@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlore.llm import fingerprints, licenses, linededup, mixing, packing, quality, sharding
+from playlore.llm import fingerprints, licenses, linededup, mixing, neardup, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,8 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.op5_packing,
         "op6_quality": quality.op6_quality,
         "op9_mixing": mixing.op9_mixing,
+        "op10_neardup": neardup.op10_neardup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_linededup": linededup.ORACLE, "op2_fingerprints": fingerprints.ORACLE, "op3_licenses": licenses.ORACLE, "op4_sharding": sharding.ORACLE, "op6_quality": quality.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op1_linededup": linededup.ORACLE, "op2_fingerprints": fingerprints.ORACLE, "op3_licenses": licenses.ORACLE, "op4_sharding": sharding.ORACLE, "op6_quality": quality.ORACLE, "op9_mixing": mixing.ORACLE, "op10_neardup": neardup.ORACLE}
