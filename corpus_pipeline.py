@@ -1,4 +1,72 @@
-STAGES = []
+"""A training corpus from raw documents: clean, dedup by line, dedup by similarity, mix, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's docs. All but the last return the columns
+of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from playlore.llm.common import read, stash
+from playlore.llm.linededup import dedup_lines
+from playlore.llm.mixing import mix
+from playlore.llm.neardup import near_duplicates
+from playlore.llm.packing import pack_documents
+from playlore.llm.quality import judge
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _retexted(docs: DataFrame) -> DataFrame:
+    """clean_text as text, and n_chars to match."""
+    return docs.withColumns({"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}).select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go, and so do rejected documents."""
+    return _retexted(judge(docs.select(*COLUMNS)).filter("kept"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go; a document that has no word left after that goes too."""
+    left = dedup_lines(docs.select(*COLUMNS)).filter(F.col("clean_text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed") == 0))
+    return _retexted(left)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the least id stays; rows without an id stay."""
+    docs = docs.select(*COLUMNS)
+    least = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = docs.join(stash(least, "kept"), "doc_id").withColumn("r", F.row_number().over(first)).filter("r = 1")
+    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", near_dup_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: Tokens can't be made in SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

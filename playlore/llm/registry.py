@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlore.llm import fingerprints, licenses, linededup, mixing, neardup, packing, quality, sharding
+from playlore.llm import fingerprints, htmltext, langid, licenses, linededup, mixing, neardup, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": sharding.op4_sharding,
         "op5_packing": packing.op5_packing,
         "op6_quality": quality.op6_quality,
+        "op7_htmltext": htmltext.op7_htmltext,
+        "op8_langid": langid.op8_langid,
         "op9_mixing": mixing.op9_mixing,
         "op10_neardup": neardup.op10_neardup,
     }
