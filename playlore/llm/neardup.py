@@ -8,7 +8,7 @@
 3. Tiles are the documents of one prefix shingle. A small tile gives its pairs of
    similar size. A large one gives a star around the document most of whose prefix
    lies in large tiles; once the links are known, only pairs of different components
-   are left to look at.
+   are left, and the tile's blocks are compared by bitmaps, without listing pairs.
 4. A pair's bitmaps bound its overlap from above; pairs that pass are intersected exactly.
 5. Components come from the links by a distributed algorithm.
 
@@ -33,8 +33,8 @@ from playlore.llm.common import WORD, read, stash
 from playlore.llm.components import components
 from playlore.llm.shingles import shingle_set
 
-#: Production parameters: the similarity in percent; tiles up to SMALL give all their pairs.
-PERCENT, SMALL = 80, 32
+#: Production parameters: the similarity in percent; tiles up to SMALL give all their pairs, larger ones are dealt in blocks of about BLOCK.
+PERCENT, SMALL, BLOCK = 80, 32, 2048
 #: A shingle is frequent if chunks of rows that have it OFTEN times each count it COMMON times; at most LISTED are listed.
 COMMON, OFTEN, LISTED, CHUNK = 32, 3, 500_000, 4000
 
@@ -205,6 +205,77 @@ def _verified(percent: int):
     return run
 
 
+def _blocks(percent: int):
+    """Rows (shingle, i, j, doc_id, n, component, bits) sorted by the first three -> pairs of different components that the bitmaps don't rule out."""
+
+    def survivors(doc: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list[bytes]) -> np.ndarray:
+        order = np.argsort(n, kind="stable")
+        doc, n, component, bits = doc[order], n[order], component[order], [bits[i] for i in order]
+        widths, found, folded = np.array([len(b) for b in bits]), [], {}
+        for w in np.unique(widths).tolist():  # a partner is at most as much larger as to be one width up
+            first, last = np.searchsorted(widths, [w, 2 * w], side="left")[0], np.searchsorted(widths, 2 * w, side="right")
+            rows = b"".join(_folded(int.from_bytes(b, "little"), len(b), w).to_bytes(w, "little") for b in bits[first:last])
+            folded[w] = first, np.frombuffer(rows, np.uint64).reshape(-1, w // 8)
+        ends = np.searchsorted(n, 100 * n // percent, side="right")
+        for i in range(len(doc)):
+            first, rows = folded[int(widths[i])]
+            at = np.arange(i + 1, min(ends[i], first + len(rows)))
+            at = at[component[at] != component[i]]
+            if len(at):
+                mine, other = rows[i - first], rows[at - first]
+                most = np.minimum(n[i] - np.bitwise_count(mine & ~other).sum(1, dtype=np.int64), n[at] - np.bitwise_count(other & ~mine).sum(1, dtype=np.int64))
+                at = at[((100 + percent) * most >= percent * (n[i] + n[at])) & (doc[at] != doc[i])]
+                found.append(np.stack([np.minimum(doc[i], doc[at]), np.maximum(doc[i], doc[at])], 1))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
+        held, rows = None, ([], [], [], [])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(rows[0]) > 1:
+                found = [x for x in map(tuple, survivors(*[np.array(r) for r in rows[:3]], rows[3]).tolist()) if x not in done]
+                if len(done) > 500_000:
+                    done.clear()
+                done.update(found)
+                if found:
+                    yield _batch("a long, b long", [x for x, _ in found], [x for _, x in found])
+
+        for batch in batches:
+            for key, *row in zip(zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True), *[batch.column(k).to_pylist() for k in range(3, 7)], strict=True):
+                if key != held:
+                    yield from out()
+                    held, rows = key, ([], [], [], [])
+                for r, x in zip(rows, row, strict=True):
+                    r.append(x)
+        yield from out()
+
+    return run
+
+
+def _across(left: DataFrame, sketches: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs of different components within the tiles of left (shingle, doc_id, n, component), by blocks of about `block` documents: a task holds two blocks at most."""
+    sizes = left.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = left.join(sizes, "shingle").join(sketches.select("doc_id", "bits"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "n", "component", "bits")
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(_blocks(percent), "a long, b long").distinct()
+
+
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id is in wanted. Most others are dropped before the shuffle, by a bitmap of hashed ids.
+
+    The bitmap has 2 ** 26 bits, 8 MB, for any number of documents; where it fills up it lets more rows pass to the exact join.
+    """
+    spot = lambda df: df.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26)))
+    bits = spot(wanted).groupBy(F.expr("spot div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("spot % 32768")).alias("bits"))
+    met = spot(texts).withColumn("bucket", F.expr("spot div 32768")).join(F.broadcast(bits), "bucket")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("spot") % 32768 / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    kept = met.filter(F.expr("1") == F.call_function("shiftright", byte, (F.col("spot") % 8).cast("int")).bitwiseAND(F.lit(1)))
+    return kept.select(*texts.columns).join(wanted, "doc_id", "left_semi")
+
+
 def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bitmaps don't rule them out."""
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
@@ -227,7 +298,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     every = made.filter("frequent is null").drop("frequent")
     nodes = every.filter("doc_id is not null and n > 0")
     equal = nodes.select("doc_id", "n", "h1", "h2").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    equal = nodes.join(stash(equal, "equal-sets"), ["n", "h1", "h2"]).select(F.col("doc_id").alias("a"), "b").filter("a != b")
+    equal = stash(nodes.join(stash(equal, "equal-sets"), ["n", "h1", "h2"]).select(F.col("doc_id").alias("a"), "b").filter("a != b"), "equal-links")
 
     counted = made.filter("frequent is not null").groupBy("frequent").agg(F.sum(-F.col("n")).alias("c")).filter(F.col("c") >= COMMON)
     listed = counted.orderBy(F.desc("c"), "frequent").limit(LISTED).select("frequent").toPandas()["frequent"]  # at most LISTED numbers
@@ -237,6 +308,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     tiles = stash(rows.repartition(parts, "shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(_tiles(percent, small), PAIR), "tiles")
 
     large = tiles.filter("shingle is not null").select("shingle", F.col("a").alias("doc_id"), "n")
+    stands_for = equal.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("b"))  # one of each equal set is enough
+    large = large.join(stands_for, "doc_id", "left").select("shingle", F.coalesce("b", "doc_id").alias("doc_id"), "n").distinct()
     score = large.groupBy("doc_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
     large = stash(large.join(score, "doc_id"), "large-tiles")
     centre = large.groupBy("shingle").agg(F.max(F.struct("score", -F.col("doc_id"))).alias("m"), F.max_by(F.struct("doc_id", "n"), F.struct("score", -F.col("doc_id"))).alias("c"))
@@ -246,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     sketches = nodes.select("doc_id", "n", "bits")
     passing = stash(_passing(pairs, sketches, percent), "passing")
     wanted = passing.select(F.col("a").alias("doc_id")).union(passing.select("b")).union(large.select("doc_id")).distinct()
-    held = stash(texts.join(wanted, "doc_id", "left_semi"), "held-texts")
+    held = stash(_only(texts, wanted), "held-texts")
     links = stash(_links(passing, held, percent).unionByName(equal), "links")
 
     if not large.isEmpty():
@@ -255,9 +328,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
         placed = stash(placed, "placed")
         mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle")
         left = stash(placed.join(mixed, "shingle"), "mixed-tiles")
-        other = left.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        across = left.withColumnRenamed("doc_id", "a").join(other, "shingle").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & _similar_size(F.col("n"), F.col("nb"), percent))
-        more = _passing(across.select("a", "b").distinct(), sketches, percent).join(passing, ["a", "b"], "left_anti")
+        more = stash(_across(left, sketches, percent, BLOCK), "across")
         links = links.unionByName(_links(more, held, percent))
     of = components(links)
     return every.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
