@@ -9,22 +9,22 @@ HOUR_MS = 3_600_000.0
 
 
 def hours(ms: Column) -> Column:
-    """Milliseconds as hours, rounded so that sums in any order agree."""
-    return F.round(ms.cast("double") / F.lit(HOUR_MS), 6)
+    """Milliseconds as hours. Not rounded: a sum of whole numbers and one division are exact in any engine, rounding is not."""
+    return ms.cast("double") / F.lit(HOUR_MS)
 
 
 def minutes(ms: Column) -> Column:
-    return F.round(ms.cast("double") / F.lit(60_000.0), 4)
+    return ms.cast("double") / F.lit(60_000.0)
 
 
-def ratio(a: Column, b: Column, digits: int = 6) -> Column:
-    """a / b as a rounded double; null where b is 0."""
-    return F.round(a.cast("double") / F.when(b != 0, b.cast("double")), digits)
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as a double; null where b is 0."""
+    return a.cast("double") / F.when(b != 0, b.cast("double"))
 
 
-def share(condition: Column, digits: int = 6) -> Column:
+def share(condition: Column) -> Column:
     """The share of rows where condition holds."""
-    return F.round(F.avg(condition.cast("double")), digits)
+    return F.avg(condition.cast("double"))
 
 
 def week(day: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
+from typing import ClassVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,11 @@ class Tuning:
     gap_min: float = 30
     gap_night_min: float = 45
     gap_car_min: float = 60
-    attention_gap_min: float = 60
+    attention_gap_min: float = 120
+    loop_repeat: float = 0.25
+    discovery_novelty: float = 0.5
+    wander_entropy: float = 2.5
+    restless_skip: float = 0.4
     stuck_repeat_plays: int = 8
     poll_skip_ratio: float = 0.85
     poll_skip_slack_ms: int = 15_000
@@ -29,7 +34,7 @@ class Tuning:
     skiphall_min_rate: float = 0.85
     scene_floor: float = 0.3
 
-    BOUNDS = {"short_play_seconds": (5, 120), "gap_min": (5, 240), "gap_night_min": (5, 240), "gap_car_min": (5, 240), "attention_gap_min": (10, 480), "stuck_repeat_plays": (3, 50), "poll_skip_ratio": (0.1, 1), "skiphall_min_rate": (0.1, 1), "scene_floor": (0, 1)}
+    BOUNDS: ClassVar[dict[str, tuple[float, float]]] = {"short_play_seconds": (5, 120), "gap_min": (5, 1440), "gap_night_min": (5, 1440), "gap_car_min": (5, 1440), "attention_gap_min": (10, 1440), "stuck_repeat_plays": (3, 50), "poll_skip_ratio": (0.1, 1), "skiphall_min_rate": (0.1, 1), "scene_floor": (0, 1)}
 
     def sane(self) -> "Tuning":
         return replace(self, **{f.name: _clamped(getattr(self, f.name), *self.BOUNDS[f.name]) for f in fields(self) if f.name in self.BOUNDS})
