@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("insights", "listening", "sessions")
+MODULES: tuple[str, ...] = ("discovery", "insights", "listening", "sessions")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
