@@ -35,13 +35,15 @@ from playlore.llm.shingles import shingle_set
 
 #: Production parameters: the similarity in percent; tiles up to SMALL give all their pairs, larger ones are dealt in blocks of about BLOCK.
 PERCENT, SMALL, BLOCK = 80, 32, 2048
+#: Bits for each shingle in the bitmaps of large tiles, whose many pairs want a closer bound.
+WIDE = 16
 #: A shingle is frequent if chunks of rows that have it OFTEN times each count it COMMON times; at most LISTED are listed.
 COMMON, OFTEN, LISTED, CHUNK = 32, 3, 500_000, 4000
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    """Bits of the hashes' low ends; the width is a power of two, twice the set's size at least."""
-    width = max(64, 1 << int(2 * len(s) - 1).bit_length())
+def _bitmap(s: np.ndarray, times: int = 2) -> bytes:
+    """Bits of the hashes' low ends; the width is a power of two, so many times the set's size at least."""
+    width = max(64, 1 << int(times * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -206,7 +208,7 @@ def _verified(percent: int):
 
 
 def _blocks(percent: int):
-    """Rows (shingle, i, j, doc_id, n, component, bits) sorted by the first three -> pairs of different components that the bitmaps don't rule out."""
+    """Rows (centre, i, j, doc_id, n, component, bits) sorted by the first three -> pairs of different components that the bitmaps don't rule out."""
 
     def survivors(doc: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list[bytes]) -> np.ndarray:
         order = np.argsort(n, kind="stable")
@@ -220,26 +222,22 @@ def _blocks(percent: int):
         for i in range(len(doc)):
             first, rows = folded[int(widths[i])]
             at = np.arange(i + 1, min(ends[i], first + len(rows)))
-            at = at[component[at] != component[i]]
+            at = at[(component[at] != component[i]) & (doc[at] != doc[i])]
             if len(at):
                 mine, other = rows[i - first], rows[at - first]
                 most = np.minimum(n[i] - np.bitwise_count(mine & ~other).sum(1, dtype=np.int64), n[at] - np.bitwise_count(other & ~mine).sum(1, dtype=np.int64))
-                at = at[((100 + percent) * most >= percent * (n[i] + n[at])) & (doc[at] != doc[i])]
+                at = at[(100 + percent) * most >= percent * (n[i] + n[at])]
                 found.append(np.stack([np.minimum(doc[i], doc[at]), np.maximum(doc[i], doc[at])], 1))
         return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
         held, rows = None, ([], [], [], [])
 
         def out() -> Iterator[pa.RecordBatch]:
             if len(rows[0]) > 1:
-                found = [x for x in map(tuple, survivors(*[np.array(r) for r in rows[:3]], rows[3]).tolist()) if x not in done]
-                if len(done) > 500_000:
-                    done.clear()
-                done.update(found)
-                if found:
-                    yield _batch("a long, b long", [x for x, _ in found], [x for _, x in found])
+                found = survivors(*[np.array(r) for r in rows[:3]], rows[3])
+                if len(found):
+                    yield _batch("a long, b long", found[:, 0], found[:, 1])
 
         for batch in batches:
             for key, *row in zip(zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True), *[batch.column(k).to_pylist() for k in range(3, 7)], strict=True):
@@ -253,27 +251,39 @@ def _blocks(percent: int):
     return run
 
 
-def _across(left: DataFrame, sketches: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of different components within the tiles of left (shingle, doc_id, n, component), by blocks of about `block` documents: a task holds two blocks at most."""
-    sizes = left.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = left.join(sizes, "shingle").join(sketches.select("doc_id", "bits"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield _batch("doc_id long, bits binary", batch.column(0).to_pylist(), [_bitmap(s, WIDE) for s in sets])
+
+
+def _across(left: DataFrame, held: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs of different components within the tiles of left (centre, doc_id, n, component), by blocks of about `block` documents: a task holds two blocks at most."""
+    bits = held.join(left.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_widened, "doc_id long, bits binary")
+    sizes = left.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = left.join(sizes, "centre").join(bits, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "n", "component", "bits")
+    dealt = dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "n", "component", "bits")
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(_blocks(percent), "a long, b long").distinct()
+    return dealt.repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(_blocks(percent), "a long, b long").distinct()
 
 
-def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of texts whose doc_id is in wanted. Most others are dropped before the shuffle, by a bitmap of hashed ids.
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs with maybe: false if doc_id is surely not among ids. For keeping most rows out of a shuffle.
 
-    The bitmap has 2 ** 26 bits, 8 MB, for any number of documents; where it fills up it lets more rows pass to the exact join.
+    It is a bitmap of hashed ids, 2 ** 26 bits or 8 MB for any number of documents, broadcast; where it fills up, more rows are marked.
     """
     spot = lambda df: df.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26)))
-    bits = spot(wanted).groupBy(F.expr("spot div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("spot % 32768")).alias("bits"))
-    met = spot(texts).withColumn("bucket", F.expr("spot div 32768")).join(F.broadcast(bits), "bucket")
+    bits = spot(ids).groupBy(F.expr("spot div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("spot % 32768")).alias("bits"))
+    met = spot(docs).withColumn("bucket", F.expr("spot div 32768")).join(F.broadcast(bits), "bucket", "left")
     byte = F.conv(F.hex(F.substring("bits", (F.col("spot") % 32768 / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    kept = met.filter(F.expr("1") == F.call_function("shiftright", byte, (F.col("spot") % 8).cast("int")).bitwiseAND(F.lit(1)))
-    return kept.select(*texts.columns).join(wanted, "doc_id", "left_semi")
+    hit = F.call_function("shiftright", byte, (F.col("spot") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.select(*docs.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
+
+
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id is in wanted; most others are dropped before the shuffle."""
+    return marked(texts, wanted).filter("maybe").drop("maybe").join(wanted, "doc_id", "left_semi")
 
 
 def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -313,8 +323,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     score = large.groupBy("doc_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
     large = stash(large.join(score, "doc_id"), "large-tiles")
     centre = large.groupBy("shingle").agg(F.max(F.struct("score", -F.col("doc_id"))).alias("m"), F.max_by(F.struct("doc_id", "n"), F.struct("score", -F.col("doc_id"))).alias("c"))
-    star = large.join(centre.select("shingle", F.col("c.doc_id").alias("to"), F.col("c.n").alias("to_n")), "shingle").filter((F.col("doc_id") != F.col("to")) & _similar_size(F.col("n"), F.col("to_n"), percent))
-    star = star.select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b"))
+    # large tiles around one document are one: whoever shares a shingle is still together, and each document is in it once
+    large = large.join(centre.select("shingle", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("centre_n")), "shingle").select("centre", "centre_n", "doc_id", "n").distinct()
+    large = stash(large, "merged-tiles")
+    star = large.filter((F.col("doc_id") != F.col("centre")) & _similar_size(F.col("n"), F.col("centre_n"), percent))
+    star = star.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
     pairs = tiles.filter("shingle is null").select("a", "b").unionByName(star).distinct()
     sketches = nodes.select("doc_id", "n", "bits")
     passing = stash(_passing(pairs, sketches, percent), "passing")
@@ -323,13 +336,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     links = stash(_links(passing, held, percent).unionByName(equal), "links")
 
     if not large.isEmpty():
-        known = components(links)
-        placed = large.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        placed = stash(placed, "placed")
-        mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle")
-        left = stash(placed.join(mixed, "shingle"), "mixed-tiles")
-        more = stash(_across(left, sketches, percent, BLOCK), "across")
-        links = links.unionByName(_links(more, held, percent))
+        known = components(links).withColumnRenamed("node", "doc_id")
+        placed = stash(large.join(known, "doc_id", "left").select("centre", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "placed")
+        mixed = placed.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("centre")
+        more = stash(_across(stash(placed.join(mixed, "centre"), "mixed-tiles"), held, percent, BLOCK), "across")
+        links = stash(links.unionByName(_links(more, held, percent)), "links")
     of = components(links)
     return every.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
