@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from playlore.llm.common import read, stash
 from playlore.llm.linededup import dedup_lines
 from playlore.llm.mixing import mix
-from playlore.llm.neardup import near_duplicates
+from playlore.llm.neardup import marked, near_duplicates
 from playlore.llm.packing import pack_documents
 from playlore.llm.quality import judge
 
@@ -39,10 +39,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the least id stays; rows without an id stay."""
     docs = docs.select(*COLUMNS)
-    least = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    found = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    odd = stash(found.filter("doc_id <> component_id or rows > 1"), "not-alone")  # few; all other rows stay where they are
+    split = marked(docs, odd.select("doc_id"))
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(stash(least, "kept"), "doc_id").withColumn("r", F.row_number().over(first)).filter("r = 1")
-    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+    least = split.filter("maybe").join(odd, "doc_id", "left").filter("component_id is null or doc_id = component_id")
+    one = least.withColumn("r", F.when(F.col("doc_id").isNotNull(), F.row_number().over(first)).otherwise(1)).filter("r = 1")
+    return split.filter("not maybe").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

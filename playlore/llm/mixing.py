@@ -18,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlore.llm.common import read, unit_interval
+from playlore.llm.common import read, stash, unit_interval
 
 #: Production parameters: shares go as the source's size to this power, so large sources shrink and small ones grow.
 TEMPERATURE, SEED = 0.7, "mix"
 #: Rows of one source are spread over this many join keys.
 SALTS = 64
+#: Sources whose rates are broadcast: a few hundred bytes each.
+BROADCAST = 10_000
 
 
 def source_rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: int | None = None) -> DataFrame:
@@ -59,7 +61,12 @@ def _key(source: Column) -> Column:
 
 
 def draw(docs: DataFrame, rates: DataFrame, doc_id: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
-    """docs with rate and repeats. The hot source's rows are salted; the few rates are repeated for each salt."""
+    """docs with rate and repeats. Up to BROADCAST sources the rates are broadcast, and no row moves; beyond, the hot sources' rows are salted and the rates repeated for each salt."""
+    rates = stash(rates, "rates")
+    if rates.limit(BROADCAST + 1).count() <= BROADCAST:
+        keyed = docs.drop("rate", "repeats").withColumns({"source_key": _key(F.col(source)), "u": unit_interval(F.col(doc_id), seed)})
+        drawn = keyed.join(F.broadcast(rates.select("source_key", "rate", "thresholds")), "source_key")
+        return drawn.withColumn("repeats", F.size(F.filter("thresholds", lambda t: t <= F.col("u")))).drop("source_key", "thresholds", "u")
     salted = rates.select("source_key", "rate", "thresholds", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     keyed = docs.drop("rate", "repeats").withColumns({"source_key": _key(F.col(source)), "salt": F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int"), "u": unit_interval(F.col(doc_id), seed)})
     drawn = keyed.join(salted, ["source_key", "salt"]).withColumn("repeats", F.size(F.filter("thresholds", lambda t: t <= F.col("u"))))
