@@ -106,7 +106,8 @@ def album_completeness(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     return d.join(known, "album").filter("heard * 25 >= known").select("owner", text(F.col("mo")).alias("month"), "album", "heard", "known", ratio(F.col("heard"), F.col("known")).alias("part"))
 
 
-SLOT = F.concat(F.when(F.weekday("day") >= 5, "weekend").otherwise("weekday"), F.lit("-"), F.when(F.col("hour") < 5, "late").when(F.col("hour") < 11, "morning").when(F.col("hour") < 15, "midday").when(F.col("hour") < 20, "evening").otherwise("night"))
+def slot():
+    return F.concat(F.when(F.weekday("day") >= 5, "weekend").otherwise("weekday"), F.lit("-"), F.when(F.col("hour") < 5, "late").when(F.col("hour") < 11, "morning").when(F.col("hour") < 15, "midday").when(F.col("hour") < 20, "evening").otherwise("night"))
 _SLOT = "CASE WHEN isodow(day) >= 6 THEN 'weekend' ELSE 'weekday' END || '-' || CASE WHEN hour < 5 THEN 'late' WHEN hour < 11 THEN 'morning' WHEN hour < 15 THEN 'midday' WHEN hour < 20 THEN 'evening' ELSE 'night' END"
 
 
@@ -115,7 +116,7 @@ l AS (SELECT *, n * t / (an * sn)::DOUBLE AS lift FROM w WHERE n >= 2)
 SELECT owner, slot, artist, n AS plays, round(lift, 6) AS lift FROM l QUALIFY row_number() OVER (PARTITION BY owner, slot ORDER BY round(lift * log10(1 + n), 9) DESC, artist) <= 5""")
 def mood_map(plays: DataFrame) -> DataFrame:
     """What goes with ten times of the week (F44): one pass with a slot column."""
-    n = ALL.plays(plays).groupBy("owner", "artist", SLOT.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    n = ALL.plays(plays).groupBy("owner", "artist", slot().alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     over = lambda *k: F.sum("n").over(Window.partitionBy("owner", *k))
     w = n.withColumns({"an": over("artist"), "sn": over("slot"), "t": over()}).filter("n >= 2").withColumn("lift", F.col("n") * F.col("t") / (F.col("an") * F.col("sn")).cast("double"))
     return top_by(w, ["owner", "slot"], 5, F.round(F.col("lift") * F.log10(1 + F.col("n")), 9).desc(), F.col("artist")).select("owner", "slot", "artist", F.col("n").alias("plays"), F.round("lift", 6).alias("lift"))

@@ -17,10 +17,13 @@ QUERIES, ORACLE = C.queries, C.oracle
 ALL = Lens()
 TODAY = "2001-06-01"
 H = "3600000.0::DOUBLE"
-LATE = (F.col("hour") >= 23) | (F.col("hour") < 4)
 _LATE = "(hour >= 23 OR hour < 4)"
 
 
+def late():
+    return (F.col("hour") >= 23) | (F.col("hour") < 4)
+
+
 def _today(s: str = TODAY):
     return F.lit(s).cast("date")
 
@@ -30,8 +33,8 @@ SELECT owner, artist, count(*) FILTER ({_LATE}) AS late_plays, avg({_LATE}::INT)
 def late_canon(plays: DataFrame) -> DataFrame:
     """Artists of the small hours (F15): their late share against the listener's."""
     p = ALL.plays(plays)
-    base = p.groupBy("owner").agg(share(LATE).alias("base"))
-    a = p.groupBy("owner", "artist").agg(F.count_if(LATE).alias("late_plays"), share(LATE).alias("late_share"), F.count(F.lit(1)).alias("n")).filter("late_plays >= 8 and n >= 20")
+    base = p.groupBy("owner").agg(share(late()).alias("base"))
+    a = p.groupBy("owner", "artist").agg(F.count_if(late()).alias("late_plays"), share(late()).alias("late_share"), F.count(F.lit(1)).alias("n")).filter("late_plays >= 8 and n >= 20")
     return a.join(base, "owner").select("owner", "artist", "late_plays", "late_share", ratio(F.col("late_share"), F.col("base")).alias("lift"))
 
 
@@ -99,7 +102,8 @@ def cant_quit(plays: DataFrame) -> DataFrame:
     return ALL.plays(plays).groupBy("owner", "track").agg(F.count(F.lit(1)).alias("plays"), share(F.col("skipped")).alias("skip_rate")).filter("plays >= 4 and skip_rate >= 0.6")
 
 
-SEASON = F.element_at(F.array(*map(F.lit, ("winter", "winter", "spring", "spring", "spring", "summer", "summer", "summer", "autumn", "autumn", "autumn", "winter"))), F.month("day"))
+def season():
+    return F.element_at(F.array(*map(F.lit, ("winter", "winter", "spring", "spring", "spring", "summer", "summer", "summer", "autumn", "autumn", "autumn", "winter"))), F.month("day"))
 
 
 @C.query("f_seasonality", "plays", sql="""q AS (SELECT owner, artist, CASE WHEN month(day) IN (12, 1, 2) THEN 'winter' WHEN month(day) <= 5 THEN 'spring' WHEN month(day) <= 8 THEN 'summer' ELSE 'autumn' END AS season, count(*) AS c, count(DISTINCT year(day)) AS years FROM plays WHERE attended GROUP BY ALL),
@@ -108,7 +112,7 @@ SELECT owner, artist, season, c AS plays, years, round((c * an)::DOUBLE / (n * s
 def seasonality(plays: DataFrame) -> DataFrame:
     """Artists that belong to a season."""
     p = ALL.plays(plays)
-    q = p.groupBy("owner", "artist", SEASON.alias("season")).agg(F.count(F.lit(1)).alias("plays"), F.count_distinct(F.year("day")).alias("years"))
+    q = p.groupBy("owner", "artist", season().alias("season")).agg(F.count(F.lit(1)).alias("plays"), F.count_distinct(F.year("day")).alias("years"))
     w = q.withColumns({"n": F.sum("plays").over(Window.partitionBy("owner", "artist")), "sn": F.sum("plays").over(Window.partitionBy("owner", "season")), "an": F.sum("plays").over(Window.partitionBy("owner"))})
     up, down = F.col("plays") * F.col("an"), F.col("n") * F.col("sn")
     return w.filter((F.col("n") >= 20) & (F.col("plays") >= 10) & (F.col("years") >= 2) & (up >= 1.5 * down)).select("owner", "artist", "season", "plays", "years", F.round(up.cast("double") / down, 6).alias("lift"))
@@ -177,7 +181,7 @@ def eras(plays: DataFrame) -> DataFrame:
     span = weeks.groupBy("owner", "era").agg(F.min("wk").alias("s"), F.date_add(F.max("wk"), 7).alias("e"), F.count(F.lit(1)).alias("weeks"))
     # an era covers whole weeks, so its plays are found by an equal join on the week, given weeks without plays between
     grid = span.select("owner", "era", F.explode(F.sequence("s", F.date_sub("e", 7), F.expr("interval 7 days"))).alias("wk"))
-    heard = p.withColumn("wk", week(F.col("day"))).join(grid, ["owner", "wk"]).groupBy("owner", "era").agg(hours(F.sum("ms")).alias("hours"), share(F.col("skipped")).alias("skip_rate"), share(LATE).alias("late_share"))
+    heard = p.withColumn("wk", week(F.col("day"))).join(grid, ["owner", "wk"]).groupBy("owner", "era").agg(hours(F.sum("ms")).alias("hours"), share(F.col("skipped")).alias("skip_rate"), share(late()).alias("late_share"))
     return span.join(heard, ["owner", "era"]).join(top, ["owner", "era"]).select("owner", "era", text(F.col("s")).alias("start"), "weeks", "hours", "skip_rate", "late_share", F.array_join(F.transform("t", lambda x: x["artist"].cast("string")), ",").alias("top_artists"))
 
 
