@@ -36,7 +36,7 @@ from playlore.llm.shingles import shingle_set
 #: Production parameters: the similarity in percent; tiles up to SMALL give all their pairs, larger ones are dealt in blocks of about BLOCK.
 PERCENT, SMALL, BLOCK = 80, 32, 2048
 #: Bits for each shingle in the bitmaps of large tiles, whose many pairs want a closer bound.
-WIDE = 16
+WIDE = 4
 #: A shingle is frequent if chunks of rows that have it OFTEN times each count it COMMON times; at most LISTED are listed.
 COMMON, OFTEN, LISTED, CHUNK = 32, 3, 500_000, 4000
 
@@ -259,7 +259,7 @@ def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(left: DataFrame, held: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of different components within the tiles of left (centre, doc_id, n, component), by blocks of about `block` documents: a task holds two blocks at most."""
-    bits = held.join(left.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_widened, "doc_id long, bits binary")
+    bits = marked(held, left.select("doc_id")).filter("maybe").select("doc_id", "text").mapInArrow(_widened, "doc_id long, bits binary")
     sizes = left.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = left.join(sizes, "centre").join(bits, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -281,11 +281,6 @@ def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return met.select(*docs.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
 
 
-def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of texts whose doc_id is in wanted; most others are dropped before the shuffle."""
-    return marked(texts, wanted).filter("maybe").drop("maybe").join(wanted, "doc_id", "left_semi")
-
-
 def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bitmaps don't rule them out."""
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
@@ -295,6 +290,7 @@ def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs that reach the similarity, from their whole texts."""
+    texts = marked(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))).filter("maybe")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "texta", "textb")
     return joined.mapInArrow(_verified(percent), "a long, b long").distinct()
@@ -313,13 +309,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     counted = made.filter("frequent is not null").groupBy("frequent").agg(F.sum(-F.col("n")).alias("c")).filter(F.col("c") >= COMMON)
     listed = counted.orderBy(F.desc("c"), "frequent").limit(LISTED).select("frequent").toPandas()["frequent"]  # at most LISTED numbers
     frequent = spark.sparkContext.broadcast(np.sort(listed.to_numpy(np.int64).view(np.uint64)))
-    rows = texts.filter("doc_id is not null").mapInArrow(_prefixes(frequent, percent), TILE)
+    # one document of each equal set goes on; few are marked, and only those move to be looked up
+    again = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
+    spare = stash(equal.select(F.col("a").alias("doc_id")).distinct().join(again, "doc_id", "left_anti"), "spare")
+    split = marked(texts.filter("doc_id is not null"), spare)
+    single = split.filter("not maybe").drop("maybe").unionByName(split.filter("maybe").drop("maybe").join(spare, "doc_id", "left_anti"))
+    rows = single.mapInArrow(_prefixes(frequent, percent), TILE)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = stash(rows.repartition(parts, "shingle").sortWithinPartitions("shingle", "doc_id").mapInArrow(_tiles(percent, small), PAIR), "tiles")
 
     large = tiles.filter("shingle is not null").select("shingle", F.col("a").alias("doc_id"), "n")
-    stands_for = equal.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("b"))  # one of each equal set is enough
-    large = large.join(stands_for, "doc_id", "left").select("shingle", F.coalesce("b", "doc_id").alias("doc_id"), "n").distinct()
     score = large.groupBy("doc_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
     large = stash(large.join(score, "doc_id"), "large-tiles")
     centre = large.groupBy("shingle").agg(F.max(F.struct("score", -F.col("doc_id"))).alias("m"), F.max_by(F.struct("doc_id", "n"), F.struct("score", -F.col("doc_id"))).alias("c"))
@@ -332,7 +331,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     sketches = nodes.select("doc_id", "n", "bits")
     passing = stash(_passing(pairs, sketches, percent), "passing")
     wanted = passing.select(F.col("a").alias("doc_id")).union(passing.select("b")).union(large.select("doc_id")).distinct()
-    held = stash(_only(texts, wanted), "held-texts")
+    held = stash(marked(texts, wanted).filter("maybe").drop("maybe"), "held-texts")
     links = stash(_links(passing, held, percent).unionByName(equal), "links")
 
     if not large.isEmpty():
