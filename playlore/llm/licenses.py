@@ -114,6 +114,11 @@ def _pattern(words: str) -> str:
     return "".join(out)
 
 
+def _exact(words: str) -> str:
+    """Those words, spelt so, in normalised text."""
+    return "".join(f" {w} " for w in words.split())
+
+
 def _spelt(word: str) -> str:
     return "licen[cs]e" if word == "license" else "licen[cs]ed" if word == "licensed" else word
 
@@ -204,8 +209,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     step = docs.drop(*[c for c in made if c != text]).withColumn("_norm", normalised(F.col(text)))
     norm = F.col("_norm")
     none = F.array().cast("array<int>")
-    starts = F.flatten(F.array(*[F.when(F.contains(norm, F.lit(_pattern(p))), F.transform(places(norm, F.lit(_pattern(p))), lambda x: x["start"])).otherwise(none) for p, _ in BASE]))
-    base = F.filter(F.array(*[F.when(F.contains(norm, F.lit(_pattern(p))), F.lit(label)) for p, label in BASE]), lambda x: x.isNotNull())
+    starts = F.flatten(F.array(*[F.when(F.contains(norm, F.lit(_exact(p))), F.transform(places(norm, F.lit(_exact(p))), lambda x: x["start"])).otherwise(none) for p, _ in BASE]))
+    base = F.filter(F.array(*[F.when(F.contains(norm, F.lit(_exact(p))), F.lit(label)) for p, label in BASE]), lambda x: x.isNotNull())
     gate = F.contains(norm, F.lit(GATE[0]))
     for word in GATE[1:]:
         gate = gate | F.contains(norm, F.lit(word))
@@ -240,7 +245,7 @@ _Q = lambda s: s.replace("'", "''")
 _PLACES = lambda pattern: f"list_transform(range(1, len(regexp_extract_all(norm, {pattern})) + 1), lambda j: (length(array_to_string(list_transform(range(1, j + 1), lambda k: regexp_split_to_array(norm, {pattern})[k]), '')) - length(replace(array_to_string(list_transform(range(1, j + 1), lambda k: regexp_split_to_array(norm, {pattern})[k]), ''), ' ', '')) + length(array_to_string(regexp_extract_all(norm, {pattern})[1:j - 1], '')) - length(replace(array_to_string(regexp_extract_all(norm, {pattern})[1:j - 1], ''), ' ', '')))::BIGINT // 2)"
 _SIZE = "((length(m) - length(replace(m, ' ', ''))) // 2)"
 ORACLE = f"""WITH rules(pattern, keyword, label, priority, score, rank) AS (VALUES {", ".join(f"('{_Q(r['pattern'])}', '{r['keyword']}', '{r['label']}', {r['priority']}, {r['score']}::DOUBLE, {r['rank']})" for r in rules())}),
-base(pattern, label) AS (VALUES {", ".join(f"('{_pattern(p)}', '{label}')" for p, label in BASE)}),
+base(pattern, label) AS (VALUES {", ".join(f"('{_exact(p)}', '{label}')" for p, label in BASE)}),
 cut AS (SELECT row_number() OVER () AS rid, doc_id, trim(regexp_replace(lower(coalesce(text, '')), '{SEPARATORS}', '  ', 'g'), ' ') AS w FROM documents),
 docs AS (SELECT rid, doc_id, CASE WHEN w = '' THEN '' ELSE ' ' || w || ' ' END AS norm FROM cut),
 in_base AS (SELECT rid, label, unnest({_PLACES("pattern")}) AS start FROM docs JOIN base ON contains(norm, pattern)),

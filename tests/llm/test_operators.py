@@ -1,0 +1,301 @@
+"""Edge cases of the corpus operators, and brute-force versions of what SQL can't say."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from playlore.llm import fingerprints, htmltext, langid, licenses, linededup, mixing, neardup, quality, sharding
+from playlore.llm.components import components
+from playlore.llm.shingles import shingle_set
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows, extra=None):
+    """rows: (doc_id, text); lang and source alternate."""
+    data = [(i, t, "en" if k % 2 else "de", f"s{k % 3}" if k % 5 else None, len(t or "")) for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(data, SCHEMA)
+    return df.withColumn(extra, F.lit("clash")) if extra else df
+
+
+ODD = [(1, "a b c d e f g h i j k."), (2, None), (3, ""), (None, "x y"), (1, "a b c d e f g h i j k."), (4, " \n\n "), (5, "word " * 30_000), (6, None)]
+
+
+# ---- line dedup ----
+
+L = [f"line {i} has more than ten words so that it counts as a long one" for i in range(40)]
+
+
+def test_line_dedup_keeps_first_occurrences_and_finds_runs(spark):
+    rows = [(1, "\n".join(L[:6])), (2, "\n".join(["own " + L[20], *L[2:5], "own " + L[21]])), (3, "\n".join(L[10:14])), (4, "\n".join([L[11], L[12]] * 2))]
+    out = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert out[1].n_removed == out[3].n_removed == 0
+    assert out[2].clean_text == "\n".join(["own " + L[20], "own " + L[21]])
+    assert out[4].n_removed == 4 and out[4].clean_text == ""
+
+
+def test_line_dedup_extends_over_short_lines(spark):
+    rows = [(1, "\n".join([L[0], "short", L[1], "end"])), (2, "\n".join(["new", L[0], "short", L[1], "other end"]))]
+    out = {r.doc_id: r.clean_text for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert out[2] == "new\nother end"
+
+
+def test_line_dedup_edge_cases(spark):
+    out = linededup.dedup_lines(docs(spark, ODD, "n_lines"))
+    assert out.count() == len(ODD)
+    assert out.agg(F.sum("n_removed")).first()[0] == 0  # equal rows count as one document
+    assert linededup.dedup_lines(docs(spark, ODD).limit(0)).count() == 0
+
+
+# ---- fingerprints ----
+
+
+def test_fingerprints(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=120))) for i in range(40)] + [(99, None), (100, ""), (101, "w1 w2 w3"), (102, "w1 w2 w3")]
+    d = docs(spark, rows)
+    buckets = fingerprints.lookup(fingerprints.lexicon(d, least=0.01, most=0.9))
+    keyed = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("string").alias("row_key"))
+    got = {r.doc_id: r for r in fingerprints.edited_next(keyed, F.array_join(fingerprints.fingerprint(F.col("text"), buckets), "")).collect()}
+    texts = {i: t or "" for i, t in rows}
+    order = sorted(texts, reverse=True)
+    for i, j in zip(order, order[1:] + order[:1]):
+        k = len(texts[i]) // 3
+        assert got[i].edited == texts[i][: len(texts[i]) - k] + texts[j][:k]
+        assert got[i].next_own == got[j].own
+    assert got[101].own == got[102].own and got[99].own == got[100].own
+
+
+def test_a_lone_document_follows_itself(spark):
+    keyed = spark.createDataFrame([(7, "abcdef", "k")], "doc_id long, text string, row_key string")
+    r = fingerprints.edited_next(keyed, F.lit("p")).first()
+    assert r.edited == "abcdab" and r.next_own == "p"
+    assert fingerprints.edited_next(keyed.limit(0), F.lit("p")).count() == 0
+
+
+# ---- licences ----
+
+
+def test_licences(spark):
+    rows = [
+        (1, "Released under the MIT License."), (2, "mit-license MIT\nlicense; general public license"), (3, None), (4, "summit licenses omit license"),
+        (5, "Licensed under the Apache License, Version 2.0"), (6, "This work is licensed under CC BY-NC 4.0."), (7, "Ünder MİT license"), (8, "x " * 50_000 + "apache license"),
+    ]
+    out = {r.doc_id: r for r in licenses.scan(docs(spark, rows, "labels")).collect()}
+    assert (out[1].n_base, out[1].first_word, out[1].base_labels, out[1].labels) == (1, 3, "mit", "mit")
+    assert (out[2].n_base, out[2].first_word, out[2].last_word, out[2].base_labels) == (3, 0, 4, "gpl,mit")
+    assert (out[3].n_words, out[3].n_base, out[3].first_word, out[3].labels, out[3].score) == (0, 0, None, "", 0.0)
+    assert out[4].n_base == 0 and out[7].n_base == 0
+    assert out[5].labels == "apache,apache-2.0" and len(out[5].detections) == 1  # the longer rule contains the others
+    assert out[6].labels == "cc-by-nc-4.0"
+    assert (out[8].first_word, out[8].n_words) == (50_000, 50_002)
+
+
+# ---- sharding ----
+
+
+def test_the_table_is_full_even_and_stable():
+    names = sharding.shard_names(16)
+    table = sharding.fill_table(names, 1009)
+    held = Counter(table)
+    assert set(held) == set(range(16)) and max(held.values()) - min(held.values()) <= 1
+    fewer = sharding.fill_table(names[:-1], 1009)
+    moved = sum(a != b for a, b in zip(table, fewer) if a != 15)
+    assert moved < 0.35 * 1009
+    with pytest.raises(ValueError):
+        sharding.fill_table(names, 1000)
+
+
+def test_sharding_edge_cases(spark):
+    out = sharding.assign(docs(spark, ODD, "slot"), "doc_id", sharding.shard_names(8), 101).collect()
+    assert len(out) == len(ODD) and all(r.shard for r in out)
+    assert sharding.assign(docs(spark, ODD).limit(0), "doc_id", ["a"], 101).count() == 0
+
+
+# ---- quality ----
+
+
+def brute_quality(text):
+    words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", text or "") if w]
+    grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {i + k for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for k in range(5)}
+    lines = [x for x in (text or "").split("\n") if x.strip("\x20\x09\x0a\x0b\x0c\x0d")]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(["a ", "b ", "c ", "d\n", "#", "é\t", " ", ". "]) for _ in range(rng.randrange(200)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "a b c d e " * 400)]
+    out = {r.doc_id: r for r in quality.judge(docs(spark, rows, "kept")).collect()}
+    for i, t in rows:
+        r = out[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(t), t
+    assert not out[100].kept and out[100].base_failed
+
+
+def test_quality_removes_lines_and_rejects_what_loses_much(spark):
+    good = "This is a sentence of a dozen words, and it ends as it should."
+    rows = [(1, f"{good}\n{good[::-1]}.\nHome | News | About | Contact\nAccept all cookies to go on."), (2, f"Short one here.\n" + "Home | News | About | Contact | More | Even more\n" * 3), (3, f"{good}\nIt goes on and on, and nothing is wrong with it.")]
+    out = {r.doc_id: r for r in quality.judge(docs(spark, rows), max_lost=0.5).collect()}
+    assert out[1].clean_text == f"{good}\n{good[::-1]}." and out[1].kept
+    assert not out[2].kept
+    assert out[3].kept and out[3].clean_text == rows[2][1]
+
+
+# ---- HTML ----
+
+
+def test_html(spark):
+    nav = "<nav><a href=/>Home</a></nav>"
+    page = lambda body: f"<html><head><title>t</title><script>var a='</p>';</script></head><body>{nav}{body}<footer>f</footer></body></html>"
+    notice = "<div>We have moved to a new house and you may visit us there today</div>"
+    rows = [
+        (1, "http://h.org/1", page("<article><h1>A &amp; B</h1><p>x<b>y</b>\n z<p>q&#233;</article>")),
+        (2, "http://h.org/2", page(f"{notice}<div>Only here is a text that no other page has got in it</div>")),
+        (3, "http://h.org/3", page(f"{notice}<div>Another text that is found on this page and nowhere else</div>")),
+        (4, "http://H.org:80/4", page(f"{notice}<p>Third</p>")), (5, "http://i.org/4", page(f"{notice}")), (6, None, None), (7, "u", ""), (7, "u", ""),
+        (8, "v", "<article><div class='comments'><p>no</p></div><form>no</form><p>" + "long " * 30_000 + "</p></article>"),
+    ]
+    out = {(r.page_id): r.text for r in htmltext.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()}
+    assert out[1] == "A & B\nxy z\nqé"
+    assert out[2] == "Only here is a text that no other page has got in it"
+    assert out[3].startswith("Another text") and out[4] == "Third"
+    assert out[5] == "We have moved to a new house and you may visit us there today"
+    assert out[6] == out[7] == "" and out[8] == " ".join(["long"] * 30_000)
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# ---- language identification ----
+
+
+def test_language_identification(spark):
+    rng = random.Random(1)
+    vocabulary = {"en": "the and of to in is it you that he was for on are with".split(), "de": "der die und in den von zu das mit sich des auf für ist im".split()}
+    rows = []
+    for i in range(240):
+        g = "en" if i % 2 else "de"
+        rows.append((i, " ".join(rng.choices(vocabulary[g], k=30)), g, "s", 0))
+    rows += [(1000, None, None, "s", 0), (1001, "123 !?", "en", "s", 0), (1002, "the and of", None, "s", 0), (1003, "ж" * 60, None, "s", 0)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(d.filter(langid.fold(F.col("doc_id")) != 1))
+    out = {r.doc_id: r for r in langid.predict(d, model).collect()}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(held) > 50 and all(out[i].lang_pred == rows[i][2] for i in held)
+    assert out[1000].lang_pred == out[1001].lang_pred == "und" and out[1002].lang_pred == "en"
+    assert out[1003].lang_pred in ("en", "de") and out[1003].rejected
+    assert {r.lang_pred for r in langid.predict(d, langid.train(d.limit(0))).collect()} == {"und"}
+    assert langid.predict(d.limit(0), model).count() == 0
+
+
+def test_probabilities_sum_to_one():
+    import numpy as np
+
+    rows = np.array([[97, 98, 99], [97, 98, 97], [98, 99, 97], [99, 97, 98]], np.uint32)
+    m = langid.fit(["x"], {"x": (rows, np.array([3, 1, 2, 2]))}, order=3)
+    for context in ([97, 98], [98, 99], [99, 99]):
+        total = sum(np.exp(m._logs(np.array([*context, c], np.uint32))[-1, 0]) for c in (97, 98, 99, 7))
+        assert total == pytest.approx(1, abs=1e-9)
+
+
+# ---- mixing ----
+
+
+def test_mixing(spark):
+    rows = [(i, f"t{i}", "en", "hot" if i % 3 else "rare", 0) for i in range(3000)] + [(5000, "t", "en", None, 0), (None, "t", "en", "hot", 0)]
+    d = spark.createDataFrame(rows, SCHEMA).withColumn("copy", F.lit("clash"))
+    out = mixing.mix(d, weights={"hot": 1.0, "rare": 1.0}, total=3000).collect()
+    n = Counter(r.source for r in out)
+    assert abs(n["hot"] - 1500) < 150 and abs(n["rare"] - 1500) < 150 and None not in n
+    keys = [r.shuffle_key for r in out]
+    assert keys == sorted(keys)
+    by_doc = Counter(r.doc_id for r in out if r.source == "rare" and r.doc_id is not None)
+    assert all(by_doc[r.doc_id] == r.repeats for r in out if r.source == "rare")
+    rates = {r.source_key: r.rate for r in mixing.source_rates(d).collect()}
+    salted = mixing.BROADCAST
+    try:
+        mixing.BROADCAST = 0
+        other = mixing.mix(d, weights={"hot": 1.0, "rare": 1.0}, total=3000).collect()
+    finally:
+        mixing.BROADCAST = salted
+    assert sorted(map(repr, other)) == sorted(map(repr, [type(other[0])(**{c: r[c] for c in other[0].__fields__}) for r in out]))
+    assert rates["s:rare"] > 1 > rates["s:hot"]
+    assert mixing.mix(d.limit(0)).count() == 0
+
+
+# ---- near duplicates ----
+
+
+def brute_components(rows, percent=80):
+    sets = [(i, set(shingle_set((t or "").encode()).tolist())) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[k + 1 :]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_match_brute_force(spark, seed):
+    """Families with more members than a small tile holds, some only linked by way of others, and a passage in all texts."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(500)]
+    passage = rng.choices(words, k=30)
+    rows = []
+    for _ in range(6):
+        base = rng.choices(words, k=rng.choice([8, 60, 150])) + passage
+        for _ in range(rng.choice([3, 60])):
+            text = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append(" ".join(text))
+    rows += [rows[0]] * 5 + ["", "a b", "A B", "a b c"] + [" ".join(rng.choices(words, k=40) + passage) for _ in range(60)]
+    rng.shuffle(rows)
+    rows = [(3 * i, t) for i, t in enumerate(rows)]
+    small = neardup.near_duplicates(docs(spark, rows, "n_shingles"), small=8)
+    out = {r.doc_id: r.component_id for r in small.collect()}
+    assert out == brute_components(rows)
+
+
+def test_near_duplicate_edge_cases(spark):
+    out = neardup.near_duplicates(docs(spark, ODD, "component_id")).collect()
+    assert len(out) == len(ODD)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in out} == {(1, 7, 1), (2, 0, 2), (3, 0, 3), (None, 1, None), (4, 0, 4), (5, 1, 5), (6, 0, 6)}
+    assert neardup.near_duplicates(docs(spark, ODD).limit(0)).count() == 0
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = random.Random(9)
+    for _ in range(200):
+        base = [str(rng.random()) for _ in range(rng.choice([5, 9, 40, 300]))]
+        other = [w if rng.random() > 0.02 else "x" + w for w in base] + ["tail"] * rng.randrange(2)
+        a, b = shingle_set(" ".join(base).encode()), shingle_set(" ".join(other).encode())
+        if neardup.reaches(a, b):
+            assert neardup.may_reach(len(a), neardup._bitmap(a), len(b), neardup._bitmap(b))
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (5, 4), (7, 7), (None, 3)] + [(100 + i, 101 + i) for i in range(40)]
+    out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {k: v for k, v in out.items() if k < 100} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert {v for k, v in out.items() if k >= 100} == {100}
+
+
+def test_shingle_sets():
+    assert len(shingle_set(b"")) == len(shingle_set(None)) == 0
+    assert len(shingle_set(b"a b c d e f")) == 2 and len(shingle_set(b"a b")) == 1
+    assert (shingle_set(b"A b\x0bC") == shingle_set(b" a  B\nc ")).all()
+    assert hashlib.md5(shingle_set(b"a b").tobytes()).digest() != hashlib.md5(shingle_set(b"ab").tobytes()).digest()
