@@ -5,14 +5,15 @@ from pyspark.sql import functions as F
 
 from playlore.llm import mixing
 
-S = "The quick brown fox number {} jumps over the lazy dog, and then it sleeps in the sun for {} hours."
+def line(k: int) -> str:
+    return " ".join(f"w{(k * 37 + 11 * j) % 997}x{k}" for j in range(14)) + " sun."
 
 
 def test_pipeline(spark, tmp_path):
-    other = [S.format(f"a{i} b{i} c{i}", f"x{i} y{i} z{i}") for i in range(40)]
+    other = [line(i) for i in range(40)]
     rows = [
         (1, "\n".join(other[:5]), "en", "s", 0), (2, "\n".join(["An own line of more than ten words that is in no other text.", *other[1:3]]), "en", "s", 0),
-        (3, "Home | News\n" * 20, "en", "s", 0), (4, None, "en", "s", 0), (5, other[10], "en", "s", 0), (6, other[10].replace("sun", "SUN"), "en", "s", 0),
+        (3, "Home | News\n" * 20, "en", "s", 0), (4, None, "en", "s", 0), (5, " ".join(other[10:14]), "en", "s", 0), (6, " ".join(other[10:14]).replace("sun.", "Sun!", 1), "en", "s", 0),
         (7, "\n".join(other[20:22]), "en", None, 0), (8, "\n".join(other[20:22]), "en", "t", 0), (9, f"{other[30]}\nHome | News | More", "en", "t", 0),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
