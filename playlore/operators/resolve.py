@@ -45,7 +45,7 @@ def supersede(plays: DataFrame) -> DataFrame:
     A poll's stamp may be the start or the end, a scrobble may lack the id: each reading is an anti-join of its own.
     """
     p = plays.withColumns({"_start": F.when(F.col("source") == "extended_export", F.col("played_at_utc") - _ms(F.col("ms_played"))).otherwise(F.col("raw_at")), "_end": F.col("raw_at") + _ms(F.col("ms_played")), "_title": F.lower("track_name"), "_artist": F.lower("artist_name")})
-    export, poll, scrobble = (p.filter(F.col("source") == s) for s in ("extended_export", "recently_played_poll", "stylus"))
+    export, poll, scrobble = (p.filter(F.col("source") == s) for s in ("extended_export", "recently_played_poll", "scrobble"))
     by_id, by_name = ["owner", "spotify_track_id"], ["owner", "_title", "_artist"]
     known = export.filter("spotify_track_id is not null")
     poll = near_in_time(near_in_time(poll, known, by_id, "raw_at", "_start", 15), known, by_id, "raw_at", "played_at_utc", 15)
@@ -54,7 +54,7 @@ def supersede(plays: DataFrame) -> DataFrame:
     for mine, theirs in (("raw_at", "_start"), ("_end", "raw_at")):
         with_id = near_in_time(with_id, others, by_id, mine, theirs, 30)
         without = near_in_time(without, others, by_name, mine, theirs, 30)
-    rest = p.filter("source is null or source not in ('recently_played_poll', 'stylus')")
+    rest = p.filter("source is null or source not in ('recently_played_poll', 'scrobble')")
     return rest.unionByName(poll).unionByName(with_id).unionByName(without).drop("_start", "_end", "_title", "_artist")
 
 

@@ -72,9 +72,9 @@ def one_track_wonders(plays: DataFrame) -> DataFrame:
     return top_by(hit, ["owner", "artist"], 1, F.desc("plays"), F.col("track")).select("owner", "artist", "track", "plays", ratio(F.col("plays"), F.col("t")).alias("share"))
 
 
-@C.query("f_deep_cuts", "plays", sql="""c AS (SELECT owner, artist, track, count(*) AS n, row_number() OVER (PARTITION BY owner, artist ORDER BY count(*) DESC, track) AS r FROM plays WHERE attended GROUP BY owner, artist, track)
+@C.query("f_beyond_favourites", "plays", sql="""c AS (SELECT owner, artist, track, count(*) AS n, row_number() OVER (PARTITION BY owner, artist ORDER BY count(*) DESC, track) AS r FROM plays WHERE attended GROUP BY owner, artist, track)
 SELECT owner, artist, sum(n)::BIGINT AS plays, (coalesce(sum(n) FILTER (r > 5), 0))::DOUBLE / sum(n)::DOUBLE AS deep_share FROM c GROUP BY ALL HAVING sum(n) >= 10""")
-def deep_cuts(plays: DataFrame) -> DataFrame:
+def beyond_favourites(plays: DataFrame) -> DataFrame:
     """How much of an artist is heard beyond the five favourites (F32)."""
     c = ALL.plays(plays).groupBy("owner", "artist", "track").agg(F.count(F.lit(1)).alias("n"))
     r = c.withColumn("r", F.row_number().over(Window.partitionBy("owner", "artist").orderBy(F.desc("n"), "track")))

@@ -47,9 +47,9 @@ def test_exports_supersede_polls_that_stamp_start_or_end(spark):
 
 
 def test_scrobbles_give_way(spark):
-    e = log(spark, [(0, "stylus", {"track_name": "song 1", "artist_name": "band"}), (10, "recently_played_poll", song(1)), (4000, "stylus", {"track_name": "Other", "artist_name": "Band"})])
+    e = log(spark, [(0, "scrobble", {"track_name": "song 1", "artist_name": "band"}), (10, "recently_played_poll", song(1)), (4000, "scrobble", {"track_name": "Other", "artist_name": "Band"})])
     out = op.supersede(op.normalise(e)).orderBy("raw_at").collect()
-    assert [r.source for r in out] == ["recently_played_poll", "stylus"]
+    assert [r.source for r in out] == ["recently_played_poll", "scrobble"]
 
 
 def _resolved(spark, rows, isrcs=(), merges=(), merge_versions=True):
@@ -83,7 +83,7 @@ def test_merged_artists_and_play_index(spark):
 
 
 def test_watermark(spark):
-    e = log(spark, [(0, "stylus", song(1))])
+    e = log(spark, [(0, "scrobble", song(1))])
     assert op.unresolved(e, T0).count() == 0
     assert op.unresolved(e, T0 - timedelta(seconds=1)).count() == 1
 
@@ -134,9 +134,9 @@ def test_scrobble_inbox(spark):
     assert counts == {"phone": (1, 1, 0), "car": (0, 0, 1)}
     assert ingest.now_playing(unpacked).first().track_name == "Now"
     e = ingest.scrobble_events(judged, now()).collect()
-    assert len(e) == 1 and e[0].occurred_at.minute == 0 and json.loads(e[0].payload)["platform"] == "stylus:Phone"
+    assert len(e) == 1 and e[0].occurred_at.minute == 0 and json.loads(e[0].payload)["platform"] == "scrobble:Phone"
     old = ingest.scrubbed(ingest.scrobble_events(judged, now()), devices, now()).first()
-    assert json.loads(old.payload)["platform"] == "stylus" and "media_player" not in json.loads(old.payload)
+    assert json.loads(old.payload)["platform"] == "scrobble" and "media_player" not in json.loads(old.payload)
 
 
 def test_tags_and_weather(spark):
