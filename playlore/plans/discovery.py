@@ -184,7 +184,7 @@ def fronts(plays: DataFrame) -> DataFrame:
     return f.filter("ratio >= 1.5 or ratio <= 0.6").select("owner", "artist", "ratio", F.when(F.col("ratio") >= 1.5, "warm").otherwise("cold").alias("front"))
 
 
-@C.query("f_backtest", "plays", sql=f"""t AS (SELECT (DATE '{TODAY}' - i)::DATE AS target FROM range(1, 29) r(i)), da AS (SELECT owner, day, artist, count(*) AS n FROM plays WHERE attended GROUP BY ALL), e AS (SELECT owner, target, artist, sum(n) AS n FROM t JOIN da ON day < target AND day >= target - 182 GROUP BY ALL),
+@C.query("f_backtest", "plays", sql=f"""t AS (SELECT (DATE '{TODAY}' - i::INTEGER)::DATE AS target FROM range(1, 29) r(i)), da AS (SELECT owner, day, artist, count(*) AS n FROM plays WHERE attended GROUP BY ALL), e AS (SELECT owner, target, artist, sum(n) AS n FROM t JOIN da ON day < target AND day >= target - 182 GROUP BY ALL),
 top AS (SELECT owner, target, artist FROM e QUALIFY row_number() OVER (PARTITION BY owner, target ORDER BY n DESC, artist) <= 10), act AS (SELECT owner, day AS target, artist FROM da JOIN t ON target = day)
 SELECT act.owner, count(*) AS heard, count(top.artist) AS hits FROM act LEFT JOIN top USING (owner, target, artist) GROUP BY act.owner""")
 def backtest(plays: DataFrame, days: int = 28, history: int = 182) -> DataFrame:

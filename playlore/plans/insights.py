@@ -107,7 +107,7 @@ def season():
 
 
 @C.query("f_seasonality", "plays", sql="""q AS (SELECT owner, artist, CASE WHEN month(day) IN (12, 1, 2) THEN 'winter' WHEN month(day) <= 5 THEN 'spring' WHEN month(day) <= 8 THEN 'summer' ELSE 'autumn' END AS season, count(*) AS c, count(DISTINCT year(day)) AS years FROM plays WHERE attended GROUP BY ALL),
-t AS (SELECT owner, artist, sum(c) AS n FROM q GROUP BY ALL), s AS (SELECT owner, season, sum(c) AS sn, sum(sum(c)) OVER (PARTITION BY owner) AS an FROM q GROUP BY ALL)
+t AS (SELECT owner, artist, sum(c) AS n FROM q GROUP BY ALL), s AS (SELECT owner, season, sum(c) AS sn, sum(sum(c)) OVER (PARTITION BY owner) AS an FROM q GROUP BY owner, season)
 SELECT owner, artist, season, c AS plays, years, round((c * an)::DOUBLE / (n * sn)::DOUBLE, 6) AS lift FROM q JOIN t USING (owner, artist) JOIN s USING (owner, season) WHERE n >= 20 AND c >= 10 AND years >= 2 AND c * an >= 1.5 * n * sn""")
 def seasonality(plays: DataFrame) -> DataFrame:
     """Artists that belong to a season."""
