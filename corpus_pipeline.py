@@ -64,7 +64,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: Tokens can't be made in SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Tokens can't be made in SQL; tests/llm/test_pipeline_by_hand.py has a brute-force version.
 ORACLE_SQL = None
 
 
