@@ -7,8 +7,12 @@ the first document that has them, matches are extended line by line both ways,
 and the later run is deleted. A deleted line always has an equal line earlier,
 so the first occurrence of any line stays.
 
-Short lines are never fingerprints, but a run may extend over them. Only line
-hashes are shuffled; the texts move once, to meet the lines they lose.
+Short lines are never fingerprints, but a run may extend over them. Winnowing
+alone may pass over a line, so passages are sought as well: the shortest runs of
+lines that have PASSAGE words, from each line on and up to each line. All but the
+first occurrence of such a run goes, in whatever document that is; the runs cover
+every later repeat of PASSAGE words or more, however short its lines are. Only
+line hashes are shuffled; the texts move once, to meet the lines they lose.
 
 Edge cases: a null or empty text loses nothing; "earlier" is by doc_id, nulls
 first, then by position; rows with the same id and text count as one document,
@@ -25,6 +29,8 @@ from playlore.llm.common import WORD, let, read, row_key, stash
 
 #: Production parameters: lines in a window, and the words that a line needs to be a fingerprint.
 WINDOW, MIN_WORDS = 2, 10
+#: Words of a run of lines whose later repeats all go.
+PASSAGE = 50
 
 
 def line_hash(line: Column) -> Column:
@@ -39,12 +45,47 @@ def winnow(hashes: Column, eligible: Column, window: int = WINDOW) -> Column:
     return F.array_distinct(F.filter(let(masked, windows), lambda x: x.isNotNull()))
 
 
+def passages(hashes: Column, words: Column, least: int = PASSAGE) -> Column:
+    """(start, stop, head, hash) of each shortest run of lines with `least` words, from each line on and up to each line.
+
+    Lines without a word neither start nor end a run, so a run has at most `least` lines besides those.
+    """
+    entry = lambda n, i: F.struct(i.alias("pos"), n.alias("n"))
+    more = lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), (a["k"] + F.when(a["sum"] < least, 1).otherwise(0)).alias("k"))
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("k"))
+    needed = lambda part: F.aggregate(part, zero, more, lambda a: F.when(a["sum"] >= least, a["k"]))
+    run = lambda a, b: F.struct(a.alias("start"), b.alias("stop"))
+
+    def runs(ink: Column) -> Column:
+        onward = lambda x, i: let(needed(F.slice(ink, i + 1, F.lit(least))), lambda k: F.when(k.isNotNull(), run(x["pos"], F.get(ink, i + k - 1)["pos"])))
+        before = lambda i: F.reverse(F.slice(ink, F.greatest(i - least + 2, F.lit(1)), F.least(i + 1, F.lit(least))))
+        backward = lambda x, i: let(needed(before(i)), lambda k: F.when(k.isNotNull(), run(F.get(ink, i - k + 1)["pos"], x["pos"])))
+        forth = F.transform(ink, lambda x, i: F.when(x["n"] >= least, run(x["pos"], x["pos"])).otherwise(onward(x, i)))
+        back = F.transform(ink, lambda x, i: F.when(x["n"] < least, backward(x, i)))
+        return F.array_distinct(F.filter(F.concat(forth, back), lambda r: r.isNotNull()))
+
+    found = let(F.filter(F.transform(words, entry), lambda x: x["n"] > 0), runs)
+    part = lambda r: F.slice(hashes, r["start"] + 1, r["stop"] - r["start"] + 1)
+    return F.transform(found, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), F.get(hashes, r["start"]).alias("head"), F.xxhash64(part(r)).alias("hash")))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, hashes, picked), one row for each distinct row_key."""
+    """(row_key, doc_id, hashes, picked, passages), one row for each distinct row_key."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    long_enough = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)) >= MIN_WORDS)
-    made = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "doc_id", F.transform(lines, line_hash).alias("hashes"), long_enough.alias("eligible"))
-    return made.select("row_key", "doc_id", "hashes", winnow(F.col("hashes"), F.col("eligible")).alias("picked")).dropDuplicates(["row_key"])
+    words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)))
+    made = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "doc_id", F.transform(lines, line_hash).alias("hashes"), words.alias("words"))
+    made = made.dropDuplicates(["row_key"])
+    long_enough = F.transform("words", lambda n: n >= MIN_WORDS)
+    return made.select("row_key", "doc_id", "hashes", winnow(F.col("hashes"), long_enough).alias("picked"), passages(F.col("hashes"), F.col("words")).alias("passages"))
+
+
+def later_passages(made: DataFrame) -> DataFrame:
+    """(row_key, pos): the lines of all passages but the first of each."""
+    held = made.select("row_key", "doc_id", F.explode("passages").alias("p")).select("p.head", "p.hash", "row_key", "doc_id", "p.start", "p.stop")
+    firsts = held.groupBy("head", "hash").agg(F.min(F.struct("doc_id", "row_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = stash(firsts.select("head", "hash", F.col("first.row_key").alias("key0"), F.col("first.start").alias("start0")), "passage-firsts")
+    later = held.join(firsts, ["head", "hash"]).filter("row_key != key0 or start != start0")
+    return later.select("row_key", F.explode(F.sequence("start", "stop")).alias("pos"))
 
 
 def matched(own: Column, other: Column, delta: Column, anchors: Column) -> Column:
@@ -73,7 +114,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     other = made.select(F.col("row_key").alias("key0"), F.col("hashes").alias("hashes0"))
     both = anchors.join(own, "row_key").join(other, "key0")
     removed = both.select("row_key", F.explode(matched(F.col("hashes"), F.col("hashes0"), F.col("delta"), F.col("anchors"))).alias("pos"))
-    return removed.groupBy("row_key").agg(F.collect_set("pos").alias("removed"))
+    return removed.unionByName(later_passages(made)).groupBy("row_key").agg(F.collect_set("pos").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -44,6 +44,34 @@ def test_line_dedup_extends_over_short_lines(spark):
     assert out[2] == "new\nother end"
 
 
+def test_line_dedup_removes_every_later_repeat_of_fifty_words(spark):
+    """Against plain Python: repeats whose neighbours have lesser hashes, of short lines only, and of documents that hold no first line."""
+    rng = random.Random(7)
+    line = lambda k: " ".join(f"x{rng.randrange(10**6)}" for _ in range(k))
+    shared = [[line(60)], [line(150)], [line(8) for _ in range(9)], [line(3), "", *[line(9) for _ in range(6)]], [line(30), line(30)], [line(9) for _ in range(5)]]
+    rows = []
+    for i in range(60):
+        body = [line(rng.choice([4, 12, 70])) for _ in range(3)]
+        for part in rng.sample(shared, 3):
+            body += [*part, *[line(rng.choice([12, 12, 4])) for _ in range(2)]]
+        rows.append((i, "\n".join(body)))
+    rows += [(100, "\n".join([L[0], *shared[5], line(9)])), (101, "\n".join([*shared[5], *shared[2]])), (102, "\n".join([line(60), *shared[2], line(60)]))]
+    lines = {i: t.split("\n") for i, t in rows}
+    seen, want = set(), {i: set() for i in lines}
+    for i in sorted(lines):
+        for a in range(len(lines[i])):
+            for b in range(a, len(lines[i])):
+                part = tuple(lines[i][a : b + 1])
+                if part[0] and part[-1] and sum(len(x.split()) for x in part) >= 50:
+                    want[i] |= set(range(a, b + 1)) if part in seen else set()
+                    seen.add(part)
+    got = {r.row_key.split(":")[0]: set(r.removed) for r in linededup.repeated_lines(docs(spark, rows)).collect()}
+    assert sum(map(len, want.values())) > 500
+    for i in lines:
+        assert want[i] <= got.get(str(i), set()), i
+        assert all(any(lines[i][p] == x for j in lines if j <= i for q, x in enumerate(lines[j]) if (j, q) < (i, p)) for p in got.get(str(i), ()))
+
+
 def test_line_dedup_edge_cases(spark):
     out = linededup.dedup_lines(docs(spark, ODD, "n_lines"))
     assert out.count() == len(ODD)
