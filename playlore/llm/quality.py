@@ -2,7 +2,8 @@
 
 Every line is judged by rules for navigation, boilerplate, symbols, shouting and
 missing punctuation; failing lines are removed; a document that loses too large a
-share of its text is rejected. A few whole-document counts are rules as well.
+share of its text is rejected. Phrases and separators, which prose has too, fail a
+line only if it is short or if they make up a share of its words. A few whole-document counts are rules as well.
 All of it is one projection: no shuffle, no Python.
 
 Edge cases: a null or empty text has no words and is rejected; repeated rows are
@@ -26,15 +27,26 @@ BOILERPLATE = (
     "(?i)(?:accept (?:all )?cookies|cookie (?:policy|settings|notice)|(?:enable|requires) javascript|privacy policy|terms of (?:use|service)"
     "|all rights reserved|subscribe (?:to|now)|sign (?:up|in) (?:for|to|now)|log ?in to|click here|share (?:this|on)|read more|skip to (?:main )?content|back to top|powered by|lorem ipsum)"
 )
+#: A phrase counts if no letter or digit adjoins it. Lines of so many words fail by phrases and separators only if these are so many hundredths of the words.
+PHRASE = f"{BOILERPLATE}s?(?![\\p{{L}}\\p{{N}}])".replace("(?i)", "(?i)(?<![\\p{L}\\p{N}])")
+LONG_LINE, MARKS_PERCENT = 20, 10
 TERMINAL = "[.!?…:;\"'”’»)\\]。！？][ \\t\\r]*$"
 
 
+def marked(line: Column) -> Column:
+    """True if phrases and separators fail the line."""
+    n_words = lambda x: F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
+    marks = F.regexp_count(line, F.lit(NAVIGATION)) + n_words(F.array_join(F.regexp_extract_all(line, F.lit(PHRASE), F.lit(0)), " "))
+    share = lambda m: (m > 0) & ((n_words(line) < LONG_LINE) | (100 * m >= MARKS_PERCENT * n_words(line)))
+    return F.when(line.rlike(NAVIGATION) | line.rlike(BOILERPLATE), let(marks, share)).otherwise(F.lit(False))
+
+
 def line_fails(line: Column) -> Column:
     """True for a line that has a word and breaks a rule."""
     upper, lower = F.regexp_count(line, F.lit(UPPER)), F.regexp_count(line, F.lit(LOWER))
     bare = ~line.rlike(TERMINAL) & (F.size(F.regexp_extract_all(line, F.lit(WORD), F.lit(0))) < 5)
     symbols = F.regexp_count(line, F.lit(SYMBOL)) * 10 > F.length(line)
-    return line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | symbols | ((upper >= 12) & (upper > 2 * lower)) | bare
+    return marked(line) | symbols | ((upper >= 12) & (upper > 2 * lower)) | bare
 
 
 def repeat_words(words: Column, window: int = WINDOW) -> Column:

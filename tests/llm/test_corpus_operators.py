@@ -176,6 +176,16 @@ def test_quality_removes_lines_and_rejects_what_loses_much(spark):
     assert out[3].kept and out[3].clean_text == rows[2][1]
 
 
+def test_quality_keeps_prose_with_a_phrase_or_a_separator(spark):
+    prose = lambda k, at, mark: " ".join(mark if i == at else f"word{i}" for i in range(k)) + "."
+    kept = [prose(900, 400, mark) for mark in ("the privacy policy of", "read more", "Sign in to", "a > b")] + [prose(40, 9, "Read More"), "Here aoneshare onealy and spread more go in one line of clean text, all with care."]
+    gone = ["Read more of this in the paper of today, if you like.", " | ".join(f"Part {i} of it" for i in range(30)), "Privacy Policy, Terms of Use, Cookie Settings and all the other notices of ours that you may read here at any time. All rights reserved."]
+    texts = dict(enumerate(kept + [f"{kept[0]}\n{x}" for x in gone]))
+    out = {r.doc_id: r for r in quality.judge(docs(spark, list(texts.items()))).collect()}
+    for i, text in texts.items():
+        assert out[i].kept and out[i].clean_text == (text if i < len(kept) else kept[0]), text
+
+
 # ---- HTML ----
 
 
