@@ -74,10 +74,13 @@ def draw(docs: DataFrame, rates: DataFrame, doc_id: str = "doc_id", source: str
 
 
 def replicate(drawn: DataFrame, doc_id: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """A row for each copy, in an order that a hash of id and copy gives."""
+    """A row for each copy, in an order that a hash of id and copy gives; rows of one id follow one another by their content.
+
+    The order needs the whole rows, so they move, whichever columns are selected later.
+    """
     copies = drawn.drop("copy", "shuffle_key").filter("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     key = F.md5(F.concat(F.lit(f"{seed}:order:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.col("copy").cast("string")))
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key", F.xxhash64(*copies.columns))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: int | None = None, seed: str = SEED) -> DataFrame:
@@ -85,8 +88,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs).select("doc_id", "source", "repeats", "copy", "shuffle_key")
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "repeats", "copy", "shuffle_key")
 
 
 ORACLE = f"""WITH counted AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {TEMPERATURE}) AS w FROM documents GROUP BY 1),

@@ -266,6 +266,18 @@ def test_mixing(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_mixing_moves_whole_documents(spark, tmp_path):
+    rows = [(i % 50, f"text {i}", "en", "s", 0) for i in range(400)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(d, total=800).collect()
+    assert got == mixing.mix(spark.createDataFrame(rows[::-1], SCHEMA), total=800).collect()  # the order is that of whole rows
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = mixing.op9_mixing(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Sort":
+        plan = plan.children().head()
+    assert all(f"{c}#" in plan.children().head().output().mkString(",") for c in d.columns)
+
+
 # ---- near duplicates ----
 
 
