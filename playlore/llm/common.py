@@ -17,8 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one under /tmp only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share, by spark.checkpoint.dir. Only a local session, as in tests, may leave it unset."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +38,27 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes what stash wrote for df. For intermediate results that nothing will read again."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def marked(rows: DataFrame, keys: DataFrame, name: str = "doc_id") -> DataFrame:
+    """rows with maybe: false if the key `name` is surely not among keys. For keeping most rows out of a shuffle.
+
+    It is a bitmap of hashed keys, 2 ** 26 bits or 8 MB for any number of rows, broadcast; where it fills up, more rows are marked.
+    """
+    spot = lambda df: df.withColumn("spot", F.pmod(F.xxhash64(name), F.lit(1 << 26)))
+    bits = spot(keys).groupBy(F.expr("spot div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("spot % 32768")).alias("bits"))
+    met = spot(rows).withColumn("bucket", F.expr("spot div 32768")).join(F.broadcast(bits), "bucket", "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("spot") % 32768 / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (F.col("spot") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlore.llm.common import WORD, read, stash
+from playlore.llm.common import WORD, marked, read, stash
 from playlore.llm.components import components
 from playlore.llm.shingles import shingle_set
 
@@ -268,19 +268,6 @@ def _across(left: DataFrame, held: DataFrame, percent: int, block: int) -> DataF
     return dealt.repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(_blocks(percent), "a long, b long").distinct()
 
 
-def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs with maybe: false if doc_id is surely not among ids. For keeping most rows out of a shuffle.
-
-    It is a bitmap of hashed ids, 2 ** 26 bits or 8 MB for any number of documents, broadcast; where it fills up, more rows are marked.
-    """
-    spot = lambda df: df.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26)))
-    bits = spot(ids).groupBy(F.expr("spot div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("spot % 32768")).alias("bits"))
-    met = spot(docs).withColumn("bucket", F.expr("spot div 32768")).join(F.broadcast(bits), "bucket", "left")
-    byte = F.conv(F.hex(F.substring("bits", (F.col("spot") % 32768 / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, (F.col("spot") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return met.select(*docs.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
-
-
 def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bitmaps don't rule them out."""
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
