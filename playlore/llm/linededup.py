@@ -1,18 +1,18 @@
 """Line dedup by winnowing.
 
-Every line is hashed. Of each window of consecutive lines the least hash is
-selected, so a run of repeated lines that fills a window is sure to share a
-fingerprint with its first occurrence. Fingerprints are joined by position with
-the first document that has them, matches are extended line by line both ways,
-and the later run is deleted. A deleted line always has an equal line earlier,
-so the first occurrence of any line stays.
-
-Short lines are never fingerprints, but a run may extend over them. Winnowing
-alone may pass over a line, so passages are sought as well: the shortest runs of
-lines that have PASSAGE words, from each line on and up to each line. All but the
-first occurrence of such a run goes, in whatever document that is; the runs cover
-every later repeat of PASSAGE words or more, however short its lines are. Only
-line hashes are shuffled; the texts move once, to meet the lines they lose.
+Every line is hashed. A window is a shortest run of consecutive lines that has
+MIN_WORDS words, from each line on and up to each line, so a window is measured in
+words and one long line fills it alone. The least line hash of each window is
+selected as its fingerprint: a repeated run of MIN_WORDS words or more holds a whole
+window and is sure to share a fingerprint with every other occurrence. Fingerprints
+are joined by position with all documents that have them; a match is extended both
+ways to the ends of its window, and where neighbouring windows match too, by
+overlap, to the ends of the run. All but the first occurrence of a window is
+deleted, in whatever document that is.
+
+So a line goes if it lies in a run of lines of MIN_WORDS words that occurs earlier,
+in any earlier document or before it in its own. Only hashes are shuffled; the texts
+move once, to meet the lines they lose.
 
 Edge cases: a null or empty text loses nothing; "earlier" is by doc_id, nulls
 first, then by position; rows with the same id and text count as one document,
@@ -25,30 +25,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlore.llm.common import WORD, let, read, row_key, stash
+from playlore.llm.common import WORD, let, marked, read, row_key, stash
 
-#: Production parameters: lines in a window, and the words that a line needs to be a fingerprint.
-WINDOW, MIN_WORDS = 2, 10
-#: Words of a run of lines whose later repeats all go.
-PASSAGE = 50
+#: Production parameter: words of a window. Shorter repeats (headings, greetings) stay.
+MIN_WORDS = 10
 
 
 def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
-def winnow(hashes: Column, eligible: Column, window: int = WINDOW) -> Column:
-    """Positions of the least eligible hash of each window, the first of equals; a text shorter than a window is one window."""
-    masked = F.transform(hashes, lambda h, i: F.when(F.get(eligible, i), h))
-    least = lambda part, at: F.when(F.array_min(part).isNotNull(), at + F.array_position(part, F.array_min(part)).cast("int") - 1)
-    windows = lambda m: F.transform(F.sequence(F.lit(0), F.greatest(F.size(m) - window, F.lit(0))), lambda i: let(F.slice(m, i + 1, F.lit(window)), lambda p: least(p, i)))
-    return F.array_distinct(F.filter(let(masked, windows), lambda x: x.isNotNull()))
+def windows(hashes: Column, words: Column, least: int = MIN_WORDS) -> Column:
+    """(start, stop, print, hash) of each shortest run of lines with `least` words, from each line on and up to each line.
 
-
-def passages(hashes: Column, words: Column, least: int = PASSAGE) -> Column:
-    """(start, stop, head, hash) of each shortest run of lines with `least` words, from each line on and up to each line.
-
-    Lines without a word neither start nor end a run, so a run has at most `least` lines besides those.
+    print is the least line hash in it, hash is of all of it. Lines without a word neither start nor
+    end a run, so a run has at most `least` lines besides those.
     """
     entry = lambda n, i: F.struct(i.alias("pos"), n.alias("n"))
     more = lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), (a["k"] + F.when(a["sum"] < least, 1).otherwise(0)).alias("k"))
@@ -66,55 +57,26 @@ def passages(hashes: Column, words: Column, least: int = PASSAGE) -> Column:
 
     found = let(F.filter(F.transform(words, entry), lambda x: x["n"] > 0), runs)
     part = lambda r: F.slice(hashes, r["start"] + 1, r["stop"] - r["start"] + 1)
-    return F.transform(found, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), F.get(hashes, r["start"]).alias("head"), F.xxhash64(part(r)).alias("hash")))
+    return F.transform(found, lambda r: let(part(r), lambda p: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), F.array_min(p).alias("print"), F.xxhash64(p).alias("hash"))))
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, hashes, picked, passages), one row for each distinct row_key."""
+    """(row_key, doc_id, windows), one row for each distinct row_key."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)))
     made = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "doc_id", F.transform(lines, line_hash).alias("hashes"), words.alias("words"))
-    made = made.dropDuplicates(["row_key"])
-    long_enough = F.transform("words", lambda n: n >= MIN_WORDS)
-    return made.select("row_key", "doc_id", "hashes", winnow(F.col("hashes"), long_enough).alias("picked"), passages(F.col("hashes"), F.col("words")).alias("passages"))
-
-
-def later_passages(made: DataFrame) -> DataFrame:
-    """(row_key, pos): the lines of all passages but the first of each."""
-    held = made.select("row_key", "doc_id", F.explode("passages").alias("p")).select("p.head", "p.hash", "row_key", "doc_id", "p.start", "p.stop")
-    firsts = held.groupBy("head", "hash").agg(F.min(F.struct("doc_id", "row_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = stash(firsts.select("head", "hash", F.col("first.row_key").alias("key0"), F.col("first.start").alias("start0")), "passage-firsts")
-    later = held.join(firsts, ["head", "hash"]).filter("row_key != key0 or start != start0")
-    return later.select("row_key", F.explode(F.sequence("start", "stop")).alias("pos"))
-
-
-def matched(own: Column, other: Column, delta: Column, anchors: Column) -> Column:
-    """Positions of own that lie in a run equal to other (delta lines before) around an anchor.
-
-    Positions become characters, 2 for an anchor, 1 for another equal line and 0 for the rest; what
-    stands between two zeros is a run, and it counts if it holds a 2.
-    """
-    mark = F.transform(own, lambda h, i: F.when(F.array_contains(anchors, i), F.lit("2")).when(F.coalesce(F.get(other, i - delta) == h, F.lit(False)), F.lit("1")).otherwise(F.lit("0")))
-    runs = F.transform(F.split(F.array_join(mark, ""), "0"), lambda r: F.when(F.contains(r, F.lit("2")), r).otherwise(F.lit("")))
-    padded = lambda rs: F.array_join(F.transform(F.arrays_zip(rs.alias("a"), F.split(F.array_join(mark, ""), "0").alias("b")), lambda x: F.rpad(x["a"], F.length(x["b"]), F.lit("0"))), "0")
-    kept = let(runs, padded)
-    at = F.transform(F.split(kept, ""), lambda c, i: F.when(c != "0", i))
-    return F.filter(at, lambda i: i.isNotNull())
+    return made.dropDuplicates(["row_key"]).select("row_key", "doc_id", windows(F.col("hashes"), F.col("words")).alias("windows"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(row_key, removed): the positions of the lines that each document loses."""
     made = stash(sketch(docs), "line-sketch")
-    prints = made.select("row_key", "doc_id", "hashes", F.explode("picked").alias("pos")).select(F.get("hashes", F.col("pos")).alias("hash"), "row_key", "doc_id", "pos")
-    firsts = prints.groupBy("hash").agg(F.min(F.struct("doc_id", "row_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = stash(firsts.select("hash", F.col("first.row_key").alias("key0"), F.col("first.pos").alias("pos0")), "line-firsts")
-    later = prints.join(firsts, "hash").filter("row_key != key0 or pos != pos0")
-    anchors = stash(later.groupBy("row_key", "key0", (F.col("pos") - F.col("pos0")).alias("delta")).agg(F.collect_set("pos").alias("anchors")), "line-anchors")
-    own = made.select("row_key", "hashes")
-    other = made.select(F.col("row_key").alias("key0"), F.col("hashes").alias("hashes0"))
-    both = anchors.join(own, "row_key").join(other, "key0")
-    removed = both.select("row_key", F.explode(matched(F.col("hashes"), F.col("hashes0"), F.col("delta"), F.col("anchors"))).alias("pos"))
-    return removed.unionByName(later_passages(made)).groupBy("row_key").agg(F.collect_set("pos").alias("removed"))
+    prints = made.select("row_key", "doc_id", F.explode("windows").alias("w")).select("w.print", "w.hash", "row_key", "doc_id", "w.start", "w.stop")
+    firsts = prints.groupBy("print", "hash").agg(F.min(F.struct("doc_id", "row_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = stash(firsts.select("print", "hash", F.col("first.row_key").alias("key0"), F.col("first.start").alias("start0")), "line-firsts")
+    # most windows occur once: only those that may occur again move to meet the first
+    later = marked(prints, firsts.select("hash"), "hash").filter("maybe").join(firsts, ["print", "hash"]).filter("row_key != key0 or start != start0")
+    return later.select("row_key", F.explode(F.sequence("start", "stop")).alias("pos")).groupBy("row_key").agg(F.collect_set("pos").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -138,19 +100,13 @@ def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lines AS (SELECT rid, i - 1 AS pos, ls[i] AS line, ('0x' || substr(md5(ls[i]), 1, 15))::BIGINT AS h,
-    CASE WHEN len(regexp_extract_all(ls[i], '{WORD}')) >= {MIN_WORDS} THEN ('0x' || substr(md5(ls[i]), 1, 15))::BIGINT END AS m
-  FROM docs, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
-tops AS (SELECT rid, greatest(max(pos) - {WINDOW - 1}, 0) AS top FROM lines GROUP BY rid),
-windows AS (SELECT rid, unnest(range(top + 1)) AS w FROM tops),
-picked AS (SELECT DISTINCT rid, p AS pos FROM (SELECT w.rid, w.w, arg_min(l.pos, (l.m, l.pos)) AS p FROM windows w JOIN lines l ON l.rid = w.rid AND l.pos BETWEEN w.w AND w.w + {WINDOW - 1} WHERE l.m IS NOT NULL GROUP BY ALL)),
-prints AS (SELECT l.h, rid, pos FROM picked JOIN lines l USING (rid, pos)),
-firsts AS (SELECT h, arg_min(rid, (rid, pos)) AS rid0, arg_min(pos, (rid, pos)) AS pos0 FROM prints GROUP BY h HAVING count(*) > 1),
-hits AS (SELECT rid, rid0, pos - pos0 AS delta, pos FROM prints JOIN firsts USING (h) WHERE rid != rid0 OR pos != pos0),
-equal AS (SELECT g.rid, g.rid0, g.delta, a.pos FROM (SELECT DISTINCT rid, rid0, delta FROM hits) g JOIN lines a ON a.rid = g.rid JOIN lines b ON b.rid = g.rid0 AND b.pos = a.pos - g.delta AND b.line = a.line),
-runs AS (SELECT *, pos - row_number() OVER (PARTITION BY rid, rid0, delta ORDER BY pos) AS run FROM equal),
-good AS (SELECT DISTINCT r.rid, r.rid0, r.delta, r.run FROM runs r JOIN hits USING (rid, rid0, delta, pos)),
-removed AS (SELECT DISTINCT r.rid, r.pos FROM runs r JOIN good USING (rid, rid0, delta, run)),
+lines AS (SELECT rid, i - 1 AS pos, len(regexp_extract_all(ls[i], '{WORD}')) AS n FROM docs, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+inked AS (SELECT rid, pos, sum(n) OVER w AS upto, sum(n) OVER w - n AS before FROM lines WHERE n > 0 WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+forth AS (SELECT a.rid, a.pos AS start, b.pos AS stop FROM (SELECT *, before + {MIN_WORDS} AS goal FROM inked) a ASOF JOIN inked b ON a.rid = b.rid AND a.goal <= b.upto),
+back AS (SELECT a.rid, b.pos AS start, a.pos AS stop FROM (SELECT *, upto - {MIN_WORDS} AS goal FROM inked) a ASOF JOIN inked b ON a.rid = b.rid AND a.goal >= b.before),
+windows AS (SELECT rid, start, stop, md5(array_to_string(ls[start + 1:stop + 1], chr(10))) AS run FROM (SELECT * FROM forth UNION SELECT * FROM back) JOIN docs USING (rid)),
+later AS (SELECT rid, start, stop FROM windows QUALIFY row_number() OVER (PARTITION BY run ORDER BY rid, start) > 1),
+removed AS (SELECT DISTINCT rid, unnest(range(start, stop + 1)) AS pos FROM later),
 made AS (SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(x.gone), 0)::BIGINT AS n_removed,
     array_to_string(list_filter(ls, lambda l, i: NOT coalesce(list_contains(x.gone, i - 1), false)), chr(10)) AS t
   FROM docs d LEFT JOIN (SELECT rid, list(pos) AS gone FROM removed GROUP BY rid) x USING (rid))

@@ -26,11 +26,18 @@ def clean(text):
     if len(words) < quality.MIN_WORDS or 100 * len(again) > quality.MAX_REPEAT_PERCENT * len(words):
         return None
 
+    def marked(line, n):
+        if not (re.search(quality.NAVIGATION, line) or re.search(quality.BOILERPLATE, line)):
+            return False
+        phrases = [m for m in re.finditer(quality.BOILERPLATE + "s?", line) if not (line[: m.start()][-1:].isalnum() or line[m.end() :][:1].isalnum())]
+        marks = len(re.findall(quality.NAVIGATION, line)) + sum(len(m[0].split()) for m in phrases)
+        return marks > 0 and (n < quality.LONG_LINE or 100 * marks >= quality.MARKS_PERCENT * n)
+
     def fails(line):
         n = len(WORD.findall(line))
         upper, lower = len(re.findall(quality.UPPER, line)), len(re.findall(quality.LOWER, line))
         symbols = sum(c in "#*$%&|<>" for c in line)
-        bad = re.search(quality.NAVIGATION, line) or re.search(quality.BOILERPLATE, line) or 10 * symbols > len(line) or (upper >= 12 and upper > 2 * lower)
+        bad = marked(line, n) or 10 * symbols > len(line) or (upper >= 12 and upper > 2 * lower)
         return n > 0 and bool(bad or (n < 5 and not re.search(quality.TERMINAL, line)))
 
     lines = text.split("\n")
@@ -39,25 +46,22 @@ def clean(text):
 
 
 def without_repeats(texts):
-    """texts (id -> text) without later repeated runs of lines."""
+    """texts (id -> text) without lines of runs of MIN_WORDS words that occur earlier."""
     lines = {i: t.split("\n") for i, t in texts.items()}
-    prints = defaultdict(list)
+    seen, gone = set(), defaultdict(set)
     for i in sorted(lines):
-        order = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) if len(WORD.findall(x)) >= linededup.MIN_WORDS else None for x in lines[i]]
-        picked = set()
-        for at in range(max(len(order) - linededup.WINDOW, 0) + 1):
-            window = [(order[p], p) for p in range(at, min(at + linededup.WINDOW, len(order))) if order[p] is not None]
-            picked |= {min(window)[1]} if window else set()
-        for p in sorted(picked):
-            prints[lines[i][p]].append((i, p))
-    gone = defaultdict(set)
-    for (first, p0), *later in prints.values():
-        for i, p in later:
-            for step in (-1, 1):
-                a, b = p, p0
-                while 0 <= a < len(lines[i]) and 0 <= b < len(lines[first]) and lines[i][a] == lines[first][b]:
-                    gone[i].add(a)
-                    a, b = a + step, b + step
+        words = [len(WORD.findall(x)) for x in lines[i]]
+        for a in range(len(words)):
+            b, total = a, words[a]
+            while words[a] and b + 1 < len(words) and total < linededup.MIN_WORDS:
+                b, total = b + 1, total + words[b + 1]
+            while words[a] and total >= linededup.MIN_WORDS and b < len(words) and b - a < 60:  # and some longer runs
+                part = tuple(lines[i][a : b + 1])
+                gone[i] |= set(range(a, b + 1)) if part in seen else set()
+                seen.add(part)
+                b += 1
+                while b < len(words) and not words[b]:
+                    b += 1
     left = {i: "\n".join(x for p, x in enumerate(lines[i]) if p not in gone[i]) if gone[i] else t for i, t in texts.items()}
     return {i: t for i, t in left.items() if WORD.search(t) or not gone[i]}
 
