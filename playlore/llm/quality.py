@@ -104,6 +104,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _Q = lambda s: s.replace("'", "''")
 _COUNT = lambda what, pattern: f"len(regexp_extract_all({what}, '{_Q(pattern)}'))"
+# DuckDB's patterns can't look around, so the characters on either side are matched along; all of that kind are doubled, so that neighbours need not share one.
+_WIDE = "regexp_replace(line, '([^\\p{L}\\p{N}])', '\\1\\1', 'g')"
+_ALONE = "(?i)(?:^|[^\\p{L}\\p{N}])(" + BOILERPLATE[4:].replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?") + "s?)(?:$|[^\\p{L}\\p{N}])"
+_PHRASES = f"array_to_string(regexp_extract_all({_WIDE}, '{_ALONE}', 1), ' ')"
+_MARKS = f"({_COUNT('line', NAVIGATION)} + {_COUNT(_PHRASES, WORD)})"
+_MARKED = f"""((regexp_matches(line, '{_Q(NAVIGATION)}') OR regexp_matches(line, '{_Q(BOILERPLATE)}')) AND {_MARKS} > 0
+      AND ({_COUNT("line", WORD)} < {LONG_LINE} OR 100 * {_MARKS} >= {MARKS_PERCENT} * {_COUNT("line", WORD)}))"""
 ORACLE = f"""WITH body AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 worded AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w FROM body),
 grams AS (SELECT rid, i, array_to_string(w[i + 1:i + {WINDOW}], ' ') AS g FROM worded, LATERAL (SELECT unnest(range(greatest(len(w) - {WINDOW - 1}, 0))) AS i)),
@@ -111,7 +118,7 @@ again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g)
 covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range({WINDOW}) r(k) GROUP BY rid),
 lined AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM body),
 judged AS (SELECT rid, line, regexp_matches(line, '{WORD}') AS inked,
-    regexp_matches(line, '{_Q(NAVIGATION)}') OR regexp_matches(line, '{_Q(BOILERPLATE)}') OR {_COUNT("line", SYMBOL)} * 10 > length(line)
+    {_MARKED} OR {_COUNT("line", SYMBOL)} * 10 > length(line)
     OR ({_COUNT("line", UPPER)} >= 12 AND {_COUNT("line", UPPER)} > 2 * {_COUNT("line", LOWER)})
     OR (NOT regexp_matches(line, '{_Q(TERMINAL)}') AND {_COUNT("line", WORD)} < 5) AS broken FROM lined),
 by_doc AS (SELECT rid, count(*) FILTER (inked) - count(DISTINCT line) FILTER (inked) AS n_dup, coalesce(sum(length(line)) FILTER (inked AND broken), 0) AS lost FROM judged GROUP BY rid),
