@@ -44,32 +44,37 @@ def test_line_dedup_extends_over_short_lines(spark):
     assert out[2] == "new\nother end"
 
 
-def test_line_dedup_removes_every_later_repeat_of_fifty_words(spark):
-    """Against plain Python: repeats whose neighbours have lesser hashes, of short lines only, and of documents that hold no first line."""
+def earlier_runs(rows, least):
+    """id -> positions of the lines in a run of `least` words that occurs earlier, from all runs of each text."""
+    lines = {i: (t or "").split("\n") for i, t in rows}
+    seen, gone = set(), {i: set() for i in lines}
+    for i in sorted(lines):
+        runs = [(a, b) for a in range(len(lines[i])) for b in range(a, len(lines[i]))]
+        for a, b in sorted(runs):
+            part = tuple(lines[i][a : b + 1])
+            if part[0].split() and part[-1].split() and sum(len(x.split()) for x in part) >= least:
+                gone[i] |= set(range(a, b + 1)) if part in seen else set()
+                seen.add(part)
+    return gone
+
+
+def test_line_dedup_is_all_later_runs_of_ten_words(spark):
+    """Against plain Python: one line, runs of short lines, lines with lesser neighbours, and runs whose lines have other first holders."""
     rng = random.Random(7)
     line = lambda k: " ".join(f"x{rng.randrange(10**6)}" for _ in range(k))
-    shared = [[line(60)], [line(150)], [line(8) for _ in range(9)], [line(3), "", *[line(9) for _ in range(6)]], [line(30), line(30)], [line(9) for _ in range(5)]]
+    shared = [[line(60)], [line(9) for _ in range(9)], [line(3), "", *[line(2) for _ in range(6)]], [line(30), line(3)], [line(11)], [line(4), line(5)]]
     rows = []
     for i in range(60):
         body = [line(rng.choice([4, 12, 70])) for _ in range(3)]
         for part in rng.sample(shared, 3):
-            body += [*part, *[line(rng.choice([12, 12, 4])) for _ in range(2)]]
+            body += [*part[rng.randrange(2) * (len(part) // 2) :], *[line(rng.choice([12, 12, 4])) for _ in range(2)]]
         rows.append((i, "\n".join(body)))
-    rows += [(100, "\n".join([L[0], *shared[5], line(9)])), (101, "\n".join([*shared[5], *shared[2]])), (102, "\n".join([line(60), *shared[2], line(60)]))]
-    lines = {i: t.split("\n") for i, t in rows}
-    seen, want = set(), {i: set() for i in lines}
-    for i in sorted(lines):
-        for a in range(len(lines[i])):
-            for b in range(a, len(lines[i])):
-                part = tuple(lines[i][a : b + 1])
-                if part[0] and part[-1] and sum(len(x.split()) for x in part) >= 50:
-                    want[i] |= set(range(a, b + 1)) if part in seen else set()
-                    seen.add(part)
-    got = {r.row_key.split(":")[0]: set(r.removed) for r in linededup.repeated_lines(docs(spark, rows)).collect()}
-    assert sum(map(len, want.values())) > 500
-    for i in lines:
-        assert want[i] <= got.get(str(i), set()), i
-        assert all(any(lines[i][p] == x for j in lines if j <= i for q, x in enumerate(lines[j]) if (j, q) < (i, p)) for p in got.get(str(i), ()))
+    long, short, three = "this one line has ten words at the very least", "and a short one", "\n".join(["one two three", "four five six", "one two four", "six seven eight"])
+    rows += [(100, long), (101, f"{long}\n{short}"), (102, f"{long}\n{short}"), (103, three), (104, three), (105, "one two three\nfour five six")]
+    want = earlier_runs(rows, linededup.MIN_WORDS)
+    got = {int(r.row_key.split(":")[0]): set(r.removed) for r in linededup.repeated_lines(docs(spark, rows)).collect()}
+    assert {i: x for i, x in want.items() if x} == got
+    assert got[101] == {0} and got[102] == {0, 1} and got[104] == {0, 1, 2, 3} and 105 not in got
 
 
 def test_line_dedup_edge_cases(spark):
@@ -188,6 +193,8 @@ def test_quality_keeps_prose_with_a_phrase_or_a_separator(spark):
 
 # ---- HTML ----
 
+PAGE = "page_id long, url string, html string"
+
 
 def test_html(spark):
     nav = "<nav><a href=/>Home</a></nav>"
@@ -199,14 +206,69 @@ def test_html(spark):
         (3, "http://h.org/3", page(f"{notice}<div>Another text that is found on this page and nowhere else</div>")),
         (4, "http://H.org:80/4", page(f"{notice}<p>Third</p>")), (5, "http://i.org/4", page(f"{notice}")), (6, None, None), (7, "u", ""), (7, "u", ""),
         (8, "v", "<article><div class='comments'><p>no</p></div><form>no</form><p>" + "long " * 30_000 + "</p></article>"),
+        (9, "http://j.org/1", "<main><div class='post-notice-free search-results'><p>Found by its words</p></div><section id='menu'><p>Soup and bread</p></section></main>"),
     ]
-    out = {(r.page_id): r.text for r in htmltext.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()}
+    out = {(r.page_id): r.text for r in htmltext.extract(spark.createDataFrame([(*r, "clash") for r in rows], f"{PAGE}, text string")).collect()}
     assert out[1] == "A & B\nxy z\nqé"
     assert out[2] == "Only here is a text that no other page has got in it"
     assert out[3].startswith("Another text") and out[4] == "Third"
     assert out[5] == "We have moved to a new house and you may visit us there today"
     assert out[6] == out[7] == "" and out[8] == " ".join(["long"] * 30_000)
-    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert out[9] == "Found by its words\nSoup and bread"
+    assert htmltext.extract(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def by_all_windows(pages):
+    """page -> blocks that stay, by listing every window of LONG tokens of every page. pages: page -> (host, open blocks)."""
+    long = htmltext.LONG
+    spans = lambda t: [tuple(t[i : i + min(long, len(t))]) for i in range(len(t) - min(long, len(t)) + 1)]
+    holders = {}
+    for p, (h, blocks) in pages.items():
+        for b in blocks:
+            for w in spans(b.split()):
+                holders.setdefault((h, w), set()).add(p)
+
+    def share(h, block, least):
+        t = block.split()
+        over = {i + k for i, w in enumerate(spans(t)) if len(holders[h, w]) >= least for k in range(len(w))}
+        return len(over) / len(t)
+
+    out = {}
+    for p, (h, blocks) in pages.items():
+        half = max(htmltext.PAGES, htmltext.HALF * sum(x == h for x, _ in pages.values()))
+        stays = [b for b in blocks if share(h, b, htmltext.PAGES) < htmltext.MOST]
+        if sum(len(b.split()) for b in stays) < htmltext.LEFT * sum(len(b.split()) for b in blocks):
+            stays = [b for b in blocks if share(h, b, half) < htmltext.MOST] or blocks
+        out[p] = stays
+    return out
+
+
+def test_html_without_markup_is_decided_by_repeats_alone(spark):
+    """Pages of divs: frames with a date in them, copies of a page, and quotations, on two hosts with equal texts."""
+    rng = random.Random(5)
+    words = lambda k: " ".join(f"w{rng.randrange(4000)}" for _ in range(k))
+    frame, quote, body = [words(12), words(4), words(20)], words(9), [words(30), words(40)]
+    pages = {}
+    for p in range(60):
+        h = ("a.org", "b.org")[p % 2]
+        dated = [f"{frame[0]} {words(2)}", frame[1], frame[2]] if p % 5 else []
+        own = body if p in (3, 7, 11, 15) else [words(25), f"{words(12)} {quote} {words(12)}", words(rng.choice([3, 60]))]
+        pages[p] = (h, [*dated[:2], *own, *dated[2:]])
+    rows = [(p, f"http://{h}/{p}", "".join(f"<div>{b}</div>" for b in blocks)) for p, (h, blocks) in pages.items()]
+    want = by_all_windows(pages)
+    out = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert out == {p: "\n".join(x) for p, x in want.items()}
+    assert sum(len(pages[p][1]) - len(x) for p, x in want.items()) > 100 and all(quote in out[p] for p in pages if p not in (3, 7, 11, 15))
+    assert out[3] == "\n".join(body)
+
+
+def test_html_furniture_inside_articles_goes_and_shared_paragraphs_stay(spark):
+    rng = random.Random(6)
+    words = lambda k: " ".join(f"w{rng.randrange(4000)}" for _ in range(k))
+    furniture, shared = words(15), words(40)
+    rows = [(p, f"http://a.org/{p}", f"<article><p>{words(30)} {p}</p>" + (f"<p>{shared}</p>" if p < 8 else "") + (f"<p>{furniture}</p>" if p % 3 else "") + "</article>") for p in range(30)]
+    out = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(furniture not in t for t in out.values()) and all((shared in out[p]) == (p < 8) for p in out)
 
 
 # ---- language identification ----
