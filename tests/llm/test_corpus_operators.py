@@ -218,6 +218,18 @@ def test_html(spark):
     assert htmltext.extract(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_suffixes_of_many_blocks_at_once():
+    rng = random.Random(4)
+    blocks = [(rng.randrange(2**63), k // 3, rng.choice([htmltext.OWN, htmltext.OPEN]), " ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 3, 7, 8, 20, 31, 32, 90])))) for k in range(200)]
+    got = set(zip(*[x.tolist() for x in htmltext.array_of(blocks)]))
+    want = set()
+    for host, page, says, text in blocks:
+        heads, _ = htmltext.of_block(host, text)
+        mine = heads if says == htmltext.OPEN else [*heads[htmltext.sampled(heads)], htmltext.block_hash(host, text)]
+        want |= {(int(x), page, says == htmltext.OPEN) for x in mine}
+    assert got == want
+
+
 def by_all_windows(pages):
     """page -> blocks that stay, by listing every window of LONG tokens of every page. pages: page -> (host, open blocks)."""
     long = htmltext.LONG
