@@ -22,25 +22,17 @@ def _today():
     return F.lit(TODAY).cast("date")
 
 
-@C.query("f_adjacency", "plays", "tracks", sql=f"""e AS (SELECT artist AS a, track % 211 AS tag_id, count(*) AS n FROM plays GROUP BY ALL), sim AS (SELECT x.a AS a, y.a AS b, count(*)::DOUBLE / 211 AS match FROM e x JOIN e y ON x.tag_id = y.tag_id AND x.a <> y.a GROUP BY ALL),
-own AS (SELECT owner, artist, sum(ms) / {H} AS h FROM plays WHERE attended GROUP BY ALL HAVING count(*) >= 25), sc AS (SELECT owner, b AS artist, sum(match * log10(1 + h)) AS s, count(*) AS seeds FROM own JOIN sim ON a = own.artist GROUP BY ALL)
+@C.query("f_adjacency", "plays", "edges", sql=f"""own AS (SELECT owner, artist, sum(ms) / {H} AS h FROM plays WHERE attended GROUP BY ALL HAVING count(*) >= 25),
+sc AS (SELECT owner, other AS artist, sum(match * log10(1 + h)) AS s, count(*) AS seeds FROM own JOIN edges USING (artist) GROUP BY ALL)
 SELECT sc.owner, sc.artist, seeds, round(s / max(s) OVER (PARTITION BY sc.owner), 6) AS score FROM sc ANTI JOIN own USING (owner, artist) QUALIFY row_number() OVER (PARTITION BY sc.owner ORDER BY round(s, 9) DESC, sc.artist) <= 20""")
-def adjacency(plays: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Artists like many of those a listener has, whom they don't have (F69). Likeness: shared catalogue slots."""
-    e = plays.select("artist", (F.col("track") % 211).alias("tag_id")).distinct()
-    sim = vectors_shared(e)
+def adjacency(plays: DataFrame, edges: DataFrame) -> DataFrame:
+    """Artists like many of those a listener has, whom they don't have (F69): the table of edges, joined to owned artists only."""
     own = ALL.plays(plays).groupBy("owner", "artist").agg(hours(F.sum("ms")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n >= 25")
-    scored = own.join(sim, own["artist"] == sim["a"]).groupBy("owner", F.col("b").alias("artist")).agg(F.sum(F.col("match") * F.log10(1 + F.col("h"))).alias("s"), F.count(F.lit(1)).alias("seeds"))
+    scored = own.join(edges, "artist").groupBy("owner", F.col("other").alias("artist")).agg(F.sum(F.col("match") * F.log10(1 + F.col("h"))).alias("s"), F.count(F.lit(1)).alias("seeds"))
     new = scored.join(own.select("owner", "artist"), ["owner", "artist"], "left_anti").withColumn("score", F.round(F.col("s") / F.max("s").over(Window.partitionBy("owner")), 6))
     return top_by(new, ["owner"], 20, F.round("s", 9).desc(), F.col("artist")).select("owner", "artist", "seeds", "score")
 
 
-def vectors_shared(e: DataFrame) -> DataFrame:
-    """(a, b, match) both ways."""
-    a, b = e.select(F.col("artist").alias("a"), "tag_id"), e.select(F.col("artist").alias("b"), "tag_id")
-    return a.join(b, "tag_id").filter("a <> b").groupBy("a", "b").agg((F.count(F.lit(1)).cast("double") / 211).alias("match"))
-
-
 @C.query("f_tag_signature", "plays", "tracks", sql="""g AS (SELECT tag, count(*)::DOUBLE / sum(count(*)) OVER () AS base FROM plays JOIN tracks USING (track) WHERE attended GROUP BY tag), o AS (SELECT owner, tag, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY owner) AS part FROM plays JOIN tracks USING (track) WHERE attended GROUP BY owner, tag)
 SELECT owner, tag, n AS plays, part AS share, round(part / base, 6) AS lift FROM o JOIN g USING (tag)""")
 def tag_signature(plays: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -153,12 +145,15 @@ def blend(plays: DataFrame) -> DataFrame:
     return a.join(b, "track").withColumn("score", F.lit(2.0) * F.col("mine") * F.col("theirs") / (F.col("mine") + F.col("theirs")))
 
 
-@C.query("f_blend_any", "tracks", sql="SELECT DISTINCT a.track AS track, b.track AS other FROM (SELECT * FROM tracks WHERE track % 5 = 0) a JOIN (SELECT * FROM tracks WHERE track % 5 = 1) b ON (a.name = b.name AND true) OR a.duration_ms = b.duration_ms")
+@C.query("f_blend_any", "tracks", sql="SELECT a.track AS track, min(b.track) AS other FROM tracks a JOIN tracks b ON a.track <> b.track AND ((a.name = b.name AND a.album = b.album) OR a.duration_ms = b.duration_ms) GROUP BY a.track")
 def blend_any(tracks: DataFrame) -> DataFrame:
-    """An OR of two equalities, as a union of two joins."""
-    a = tracks.filter("track % 5 = 0")
-    b = tracks.filter("track % 5 = 1").select(F.col("track").alias("other"), F.col("name").alias("other_name"), F.col("duration_ms").alias("other_ms"))
-    return any_of(a, b, [("name", "other_name"), ("duration_ms", "other_ms")], "track", ["other"])
+    """The first other track of the same name and album, or of the same length (F54): an OR of equalities as the two least of each group, without pairs."""
+
+    def first_other(*keys: str) -> DataFrame:
+        two = tracks.groupBy(*keys).agg(F.min("track").alias("m")).join(tracks, list(keys)).filter("track > m").groupBy(*keys).agg(F.min("m").alias("m"), F.min("track").alias("second"))
+        return tracks.join(two, list(keys)).select("track", F.when(F.col("track") == F.col("m"), F.col("second")).otherwise(F.col("m")).alias("other"))
+
+    return first_other("name", "album").unionByName(first_other("duration_ms")).groupBy("track").agg(F.min("other").alias("other"))
 
 
 @C.query("f_forecast", "plays", sql=f"""d AS (SELECT unnest(generate_series(1, 26))::INTEGER AS i), days AS (SELECT (DATE '{TODAY}' - 7 * i)::DATE AS day FROM d), p AS (SELECT p.* FROM plays p SEMI JOIN days USING (day) WHERE attended)
@@ -198,17 +193,18 @@ def backtest(plays: DataFrame, days: int = 28, history: int = 182) -> DataFrame:
     return actual.join(top, ["owner", "target", "artist"], "left").groupBy("owner").agg(F.count(F.lit(1)).alias("heard"), F.count("hit").alias("hits"))
 
 
-@C.query("f_brier", "plays", sql="""d AS (SELECT DISTINCT owner, day FROM plays WHERE attended), b AS (SELECT owner, isodow(day) AS dow, count(*)::DOUBLE / 300 AS p FROM d WHERE day < DATE '1999-01-01' GROUP BY ALL),
-g AS (SELECT owner, unnest(generate_series(DATE '1999-01-01', DATE '1999-12-31', INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT owner FROM d)), s AS (SELECT g.owner, month(g.day) AS m, pow(least(coalesce(p, 0), 1) - (d.day IS NOT NULL)::INT, 2) AS e FROM g LEFT JOIN d USING (owner, day) LEFT JOIN b ON b.owner = g.owner AND b.dow = isodow(g.day))
-SELECT m::INTEGER AS month, round(avg(e), 6) AS brier, count(*) AS n FROM s GROUP BY m""")
+@C.query("f_brier", "plays", sql="""d AS (SELECT DISTINCT owner, day FROM plays WHERE attended), b AS (SELECT owner, year(day) + 1 AS y, isodow(day) AS dow, count(*)::DOUBLE / 53 AS p FROM d GROUP BY ALL), e AS (SELECT min(day) AS lo, max(day) AS hi FROM d),
+g AS (SELECT owner, unnest(generate_series((SELECT lo FROM e), (SELECT hi FROM e), INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT owner FROM d)), s AS (SELECT g.owner, year(g.day) AS y, month(g.day) AS m, pow(coalesce(p, 0) - (d.day IS NOT NULL)::INT, 2) AS e FROM g LEFT JOIN d USING (owner, day) LEFT JOIN b ON b.owner = g.owner AND b.y = year(g.day) AND b.dow = isodow(g.day))
+SELECT y::INTEGER AS year, m::INTEGER AS month, round(avg(e), 6) AS brier, count(*) AS n FROM s GROUP BY y, m""")
 def brier(plays: DataFrame) -> DataFrame:
-    """How good weekday base rates were over the year after."""
+    """How good the weekday rates of the year before are, day by day."""
     d = ALL.plays(plays).select("owner", "day").distinct()
-    base = d.filter("day < date '1999-01-01'").groupBy("owner", F.weekday("day").alias("dow")).agg((F.count(F.lit(1)).cast("double") / 300).alias("p"))
-    grid = d.select("owner").distinct().withColumn("day", F.explode(F.expr("sequence(date '1999-01-01', date '1999-12-31', interval 1 day)"))).withColumn("dow", F.weekday("day"))
-    e = grid.join(d.withColumn("hit", F.lit(1)), ["owner", "day"], "left").join(base, ["owner", "dow"], "left")
-    err = F.pow(F.least(F.coalesce("p", F.lit(0.0)), F.lit(1.0)) - F.coalesce("hit", F.lit(0)), F.lit(2))
-    return e.groupBy(F.month("day").alias("month")).agg(F.round(F.avg(err), 6).alias("brier"), F.count(F.lit(1)).alias("n"))
+    base = d.groupBy("owner", (F.year("day") + 1).alias("year"), F.weekday("day").alias("dow")).agg((F.count(F.lit(1)).cast("double") / 53).alias("p"))
+    span = d.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))  # one row
+    grid = d.select("owner").distinct().crossJoin(F.broadcast(span)).select("owner", F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("day")).withColumns({"dow": F.weekday("day"), "year": F.year("day")})
+    e = grid.join(d.withColumn("hit", F.lit(1)), ["owner", "day"], "left").join(base, ["owner", "year", "dow"], "left")
+    err = F.pow(F.coalesce("p", F.lit(0.0)) - F.coalesce("hit", F.lit(0)), F.lit(2))
+    return e.groupBy("year", F.month("day").alias("month")).agg(F.round(F.avg(err), 6).alias("brier"), F.count(F.lit(1)).alias("n"))
 
 
 @C.query("f_crate", "plays", "tracks", sql=f"""n AS (SELECT owner, album, count(*) AS plays, count(DISTINCT day) AS days, max(day) AS l, avg(skipped::INT) AS sr FROM plays JOIN tracks USING (track) WHERE attended GROUP BY ALL)

@@ -20,44 +20,63 @@ ALL = Lens()
 H = "3600000.0::DOUBLE"
 TODAY = "2001-06-01"
 
-#: A playlist of the driver's tables: an artist's tracks as one listener found them, added on the day of the find.
-_LISTS = "lists AS (SELECT artist AS list, track, min(day) AS added FROM plays WHERE owner = 3 AND artist < 60 GROUP BY ALL)"
+#: A playlist of the driver's tables: an artist's tracks as a listener found them, added on the day of the find.
+_LISTS = "lists AS (SELECT owner, artist AS list, track, min(day) AS added FROM plays GROUP BY ALL)"
 
 
 def lists(plays: DataFrame) -> DataFrame:
-    return plays.filter("owner = 3 and artist < 60").groupBy(F.col("artist").alias("list"), "track").agg(F.min("day").alias("added"))
+    return plays.groupBy("owner", F.col("artist").alias("list"), "track").agg(F.min("day").alias("added"))
 
 
 _ITEMS = _LISTS + f""", u AS (SELECT track, count(*) AS plays, avg(skipped::INT) AS sr, max(day) AS last_day FROM plays WHERE attended GROUP BY track),
-items AS (SELECT list, l.track, added, coalesce(plays, 0) AS plays, sr, CASE WHEN coalesce(plays, 0) = 0 THEN 'unheard' WHEN plays >= 8 AND sr <= 0.2 THEN 'gem' WHEN plays >= 5 AND sr >= 0.5 THEN 'dead' WHEN plays >= 20 THEN 'core' ELSE 'ok' END AS kind FROM lists l LEFT JOIN u USING (track))"""
+items AS (SELECT owner, list, l.track, added, coalesce(plays, 0) AS plays, sr, last_day, CASE WHEN coalesce(plays, 0) = 0 THEN 'unheard' WHEN plays >= 8 AND sr <= 0.2 THEN 'gem' WHEN plays >= 5 AND sr >= 0.5 THEN 'dead' WHEN plays >= 20 THEN 'core' ELSE 'ok' END AS kind FROM lists l LEFT JOIN u USING (track))"""
 
 
 def items(plays: DataFrame) -> DataFrame:
     """A playlist's items with the plays of all listeners and what they amount to (F136)."""
-    use = ALL.plays(plays).groupBy("track").agg(F.count(F.lit(1)).alias("plays"), share(F.col("skipped")).alias("sr"))
+    use = ALL.plays(plays).groupBy("track").agg(F.count(F.lit(1)).alias("plays"), share(F.col("skipped")).alias("sr"), F.max("day").alias("last_day"))
     joined = lists(plays).join(use, "track", "left").withColumn("plays", F.coalesce("plays", F.lit(0)))
     kind = F.when(F.col("plays") == 0, "unheard").when((F.col("plays") >= 8) & (F.col("sr") <= 0.2), "gem").when((F.col("plays") >= 5) & (F.col("sr") >= 0.5), "dead").when(F.col("plays") >= 20, "core").otherwise("ok")
     return joined.withColumn("kind", kind)
 
 
-@C.query("f_playlist_items", "plays", sql=_ITEMS + " SELECT list, track, plays, sr AS skip_rate, kind FROM items")
+@C.query("f_playlist_items", "plays", sql=_ITEMS + " SELECT owner, list, track, plays, sr AS skip_rate, kind FROM items")
 def playlist_items(plays: DataFrame) -> DataFrame:
-    return items(plays).select("list", "track", "plays", F.col("sr").alias("skip_rate"), "kind")
+    return items(plays).select("owner", "list", "track", "plays", F.col("sr").alias("skip_rate"), "kind")
 
 
-@C.query("f_playlist_health", "plays", sql=_ITEMS + " SELECT list, count(*) AS items, count(*) FILTER (kind = 'gem') AS gems, count(*) FILTER (kind = 'dead') AS dead, count(*) FILTER (kind = 'unheard') AS unheard, count(*) FILTER (plays > 0)::DOUBLE / count(*) AS completion FROM items GROUP BY list")
+@C.query("f_playlist_health", "plays", sql=_ITEMS + " SELECT owner, list, count(*) AS items, count(*) FILTER (kind = 'gem') AS gems, count(*) FILTER (kind = 'dead') AS dead, count(*) FILTER (kind = 'unheard') AS unheard, count(*) FILTER (plays > 0)::DOUBLE / count(*) AS completion FROM items GROUP BY ALL")
 def playlist_health(plays: DataFrame) -> DataFrame:
     """Items first, lists after (F134)."""
     kinds = [F.count_if(F.col("kind") == k).alias(n) for n, k in (("gems", "gem"), ("dead", "dead"), ("unheard", "unheard"))]
-    return items(plays).groupBy("list").agg(F.count(F.lit(1)).alias("items"), *kinds, (F.count_if(F.col("plays") > 0).cast("double") / F.count(F.lit(1))).alias("completion"))
+    return items(plays).groupBy("owner", "list").agg(F.count(F.lit(1)).alias("items"), *kinds, (F.count_if(F.col("plays") > 0).cast("double") / F.count(F.lit(1))).alias("completion"))
 
 
-@C.query("f_playlist_within", "plays", sql=_LISTS + " SELECT list, count(play_id) AS plays_within, count(DISTINCT p.track) AS heard FROM lists l LEFT JOIN plays p ON p.track = l.track AND p.day >= l.added AND p.attended GROUP BY list")
+@C.query("f_playlist_totals", "plays", sql=_ITEMS + " SELECT owner, count(DISTINCT list) AS lists, count(*) AS items, count(DISTINCT track) AS tracks, count(*) FILTER (kind = 'gem') AS gems, count(*) FILTER (kind = 'dead') AS dead FROM items GROUP BY owner")
+def playlist_totals(plays: DataFrame) -> DataFrame:
+    """All of a listener's lists together (F135)."""
+    kinds = [F.count_if(F.col("kind") == k).alias(n) for n, k in (("gems", "gem"), ("dead", "dead"))]
+    return items(plays).groupBy("owner").agg(F.count_distinct("list").alias("lists"), F.count(F.lit(1)).alias("items"), F.count_distinct("track").alias("tracks"), *kinds)
+
+
+@C.query("f_playlist_revisit", "plays", sql=_ITEMS + f""", l AS (SELECT owner, list, count(*) AS items, count(*) FILTER (kind = 'gem') AS gems, avg(sr) AS sr, max(last_day) AS last_day FROM items GROUP BY ALL),
+s AS (SELECT *, round(CASE WHEN gems >= 3 AND DATE '{TODAY}' - last_day > 30 THEN 3 WHEN sr <= 0.3 AND items >= 5 THEN 2 WHEN items >= 10 THEN 1 ELSE 0 END + gems::DOUBLE / items, 6) AS score FROM l)
+SELECT owner, list, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY owner ORDER BY score DESC, list) <= 6""")
+def playlist_revisit(plays: DataFrame) -> DataFrame:
+    """Lists worth another visit: long left with gems, hardly skipped, or long (F137)."""
+    n = items(plays).groupBy("owner", "list").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("kind") == "gem").alias("gems"), F.avg("sr").alias("sr"), F.max("last_day").alias("last_day"))
+    away = F.datediff(F.lit(TODAY).cast("date"), "last_day") > 30
+    rule = F.when((F.col("gems") >= 3) & away, 3).when((F.col("sr") <= 0.3) & (F.col("items") >= 5), 2).when(F.col("items") >= 10, 1).otherwise(0)
+    scored = n.withColumn("score", F.round(rule + F.col("gems").cast("double") / F.col("items"), 6)).filter("score > 0")
+    return top_by(scored, ["owner"], 6, F.desc("score"), F.col("list")).select("owner", "list", "score")
+
+
+@C.query("f_playlist_within", "plays", sql=_LISTS + " SELECT l.owner, list, count(play_id) AS plays_within, count(DISTINCT p.track) AS heard FROM lists l LEFT JOIN plays p ON p.owner = l.owner AND p.track = l.track AND p.day >= l.added AND p.attended GROUP BY ALL")
 def playlist_within(plays: DataFrame) -> DataFrame:
-    """Plays of a list's items since they were added."""
-    p = ALL.plays(plays).select("track", "day", "play_id")
-    since = lists(plays).join(p, "track", "left").withColumn("in", F.col("day") >= F.col("added"))
-    return since.groupBy("list").agg(F.count_if("in").alias("plays_within"), F.count_distinct(F.when(F.col("in"), F.col("track"))).alias("heard"))
+    """The owner's plays of a list's items since they were added."""
+    p = ALL.plays(plays).select("owner", "track", "day", "play_id")
+    since = lists(plays).join(p, ["owner", "track"], "left").withColumn("in", F.col("day") >= F.col("added"))
+    return since.groupBy("owner", "list").agg(F.count_if("in").alias("plays_within"), F.count_distinct(F.when(F.col("in"), F.col("track"))).alias("heard"))
 
 
 _WILD = "w AS (SELECT * FROM stream_plays WHERE platform = 'view'), own AS (SELECT track, count(*) AS plays FROM stream_plays WHERE platform <> 'view' AND ms >= 20000 GROUP BY track)"
@@ -89,9 +108,9 @@ def scenes(plays: DataFrame, artists: DataFrame) -> DataFrame:
     return s.select("owner", "scene", "artists", hours(F.col("ms")).alias("hours"), (F.col("ms").cast("double") / F.sum("ms").over(Window.partitionBy("owner"))).alias("share"), "lead")
 
 
-@C.query("f_scene_timeline", "plays", "artists", sql=f"SELECT strftime(date_trunc('week', day), '%Y-%m-%d') AS week, scene, sum(ms) / {H} AS hours FROM plays JOIN artists USING (artist) WHERE attended AND day >= DATE '1999-06-07' GROUP BY 1, 2")
+@C.query("f_scene_timeline", "plays", "artists", sql=f"SELECT strftime(date_trunc('week', day), '%Y-%m-%d') AS week, scene, sum(ms) / {H} AS hours FROM plays JOIN artists USING (artist) WHERE attended GROUP BY 1, 2")
 def scene_timeline(plays: DataFrame, artists: DataFrame) -> DataFrame:
-    return ALL.plays(plays).filter("day >= date '1999-06-07'").join(artists.select("artist", "scene"), "artist").groupBy(text(week(F.col("day"))).alias("week"), "scene").agg(hours(F.sum("ms")).alias("hours"))
+    return ALL.plays(plays).join(artists.select("artist", "scene"), "artist").groupBy(text(week(F.col("day"))).alias("week"), "scene").agg(hours(F.sum("ms")).alias("hours"))
 
 
 @C.query("f_scene_phases", "plays", "artists", sql=f"""w AS (SELECT owner, scene, date_trunc('week', day)::DATE AS wk, sum(ms)::BIGINT AS ms FROM plays JOIN artists USING (artist) WHERE attended GROUP BY ALL), b AS (SELECT *, avg(ms) OVER (PARTITION BY owner, scene) AS usual FROM w)
@@ -103,25 +122,25 @@ def scene_phases(plays: DataFrame, artists: DataFrame) -> DataFrame:
     return top_by(b, ["owner", "scene"], 1, F.desc("ms"), F.col("wk")).select("owner", "scene", text(F.col("wk")).alias("week"), hours(F.col("ms")).alias("hours"), F.round(F.col("ms") / F.col("usual"), 6).alias("times"))
 
 
-@C.query("f_concerts", "plays", "orders", sql="""c AS (SELECT o_custkey % 100 AS artist, o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 200 = 0)
+@C.query("f_concerts", "plays", "orders", sql="""c AS (SELECT DISTINCT o_custkey % 100 AS artist, o_orderdate::DATE AS d FROM orders)
 SELECT c.artist, strftime(c.d, '%Y-%m-%d') AS day, count(play_id) FILTER (p.day < c.d) AS before, count(play_id) FILTER (p.day >= c.d) AS after FROM c LEFT JOIN plays p ON p.artist = c.artist AND p.day >= c.d - 30 AND p.day < c.d + 30 AND attended GROUP BY c.artist, c.d""")
 def concerts(plays: DataFrame, orders: DataFrame) -> DataFrame:
-    """Plays in the month before and the month after a concert (F68): equal on artist and 30-day bucket, so a long history costs no more."""
-    c = orders.filter("o_orderkey % 200 = 0").select((F.col("o_custkey") % 100).alias("artist"), F.to_date("o_orderdate").alias("d")).distinct()
+    """Plays in the month before and the month after a concert (F68): days of plays first, then equal on artist and 30-day bucket, so a long history costs no more."""
+    c = orders.select((F.col("o_custkey") % 100).alias("artist"), F.to_date("o_orderdate").alias("d")).distinct()
     bucket = lambda d: F.floor(F.unix_date(d) / 30)
     near = c.withColumn("b", F.explode(F.sequence(bucket(F.col("d")) - 1, bucket(F.col("d")) + 1)))
-    p = ALL.plays(plays).select("artist", "day", bucket(F.col("day")).alias("b"))
+    p = ALL.plays(plays).groupBy("artist", "day").agg(F.count(F.lit(1)).alias("k")).withColumn("b", bucket(F.col("day")))
     d = F.datediff("day", "d")
-    times = orders.filter("o_orderkey % 200 = 0").groupBy((F.col("o_custkey") % 100).alias("artist"), F.to_date("o_orderdate").alias("d")).agg(F.count(F.lit(1)).alias("k"))
-    n = near.join(p, ["artist", "b"], "left").groupBy("artist", "d").agg(F.count_if((d >= -30) & (d < 0)).alias("before"), F.count_if((d >= 0) & (d < 30)).alias("after"))
-    return n.join(times, ["artist", "d"]).select("artist", text(F.col("d")).alias("day"), (F.col("before") * F.col("k")).alias("before"), (F.col("after") * F.col("k")).alias("after"))
+    held = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("k"))), F.lit(0))
+    n = near.join(p, ["artist", "b"], "left").groupBy("artist", "d").agg(held((d >= -30) & (d < 0)).alias("before"), held((d >= 0) & (d < 30)).alias("after"))
+    return n.select("artist", text(F.col("d")).alias("day"), "before", "after")
 
 
-@C.query("f_same_song_streak", "plays", sql="d AS (SELECT DISTINCT owner, artist, day FROM plays WHERE attended), g AS (SELECT owner, artist, day - (row_number() OVER (PARTITION BY owner, artist ORDER BY day))::INTEGER AS k FROM d), r AS (SELECT owner, artist, count(*) AS days FROM g GROUP BY owner, artist, k) SELECT owner, arg_max(artist, (days, -artist)) AS artist, max(days) AS days FROM r GROUP BY owner")
+@C.query("f_same_song_streak", "plays", sql="d AS (SELECT DISTINCT owner, track, day FROM plays WHERE attended), g AS (SELECT owner, track, day - (row_number() OVER (PARTITION BY owner, track ORDER BY day))::INTEGER AS k FROM d), r AS (SELECT owner, track, count(*) AS days FROM g GROUP BY owner, track, k) SELECT owner, arg_max(track, (days, -track)) AS track, max(days) AS days FROM r GROUP BY owner")
 def same_song_streak(plays: DataFrame) -> DataFrame:
-    """The artist heard the most days running (F197)."""
-    r = day_runs(ALL.plays(plays), ["owner", "artist"])
-    return r.groupBy("owner").agg(arg_max(F.col("artist"), F.col("length"), -F.col("artist")).alias("artist"), F.max("length").alias("days"))
+    """The song heard the most days running (F197)."""
+    r = day_runs(ALL.plays(plays), ["owner", "track"])
+    return r.groupBy("owner").agg(arg_max(F.col("track"), F.col("length"), -F.col("track")).alias("track"), F.max("length").alias("days"))
 
 
 @C.query("f_same_artist_run", "plays", sql="s AS (SELECT owner, played_at, play_id, artist, (coalesce(artist <> lag(artist) OVER (PARTITION BY owner ORDER BY played_at, play_id), true))::INT AS o FROM plays WHERE attended), g AS (SELECT *, sum(o) OVER (PARTITION BY owner ORDER BY played_at, play_id ROWS UNBOUNDED PRECEDING) AS k FROM s), r AS (SELECT owner, artist, count(*) AS n FROM g GROUP BY owner, artist, k) SELECT owner, max(n) AS longest, count(*) FILTER (n >= 3) AS runs_of_three FROM r GROUP BY owner")
@@ -180,11 +199,11 @@ def popularity_movers(orders: DataFrame) -> DataFrame:
 
 @C.query("f_source_coverage", "plays", sql="SELECT platform, count(*) AS plays, count(*) FILTER (EXISTS (SELECT 1 FROM plays b WHERE b.owner = a.owner AND b.track = a.track AND b.platform <> a.platform AND b.day BETWEEN a.day - 60 AND a.day + 60)) AS covered FROM plays a GROUP BY platform")
 def source_coverage(plays: DataFrame) -> DataFrame:
-    """How many of a source's plays another source has as well, about that time (F165): a marker from an equal join in place of a correlated EXISTS."""
-    a = plays.select("play_id", "owner", "track", "platform", "day")
-    b = plays.select(F.col("owner"), F.col("track"), F.col("platform").alias("other"), F.col("day").alias("other_day"))
-    on = a.join(b, ["owner", "track"]).filter((F.col("platform") != F.col("other")) & (F.abs(F.datediff("day", "other_day")) <= 60)).select("owner", "track", "platform", "day").distinct().withColumn("seen", F.lit(1))
-    return a.join(on, ["owner", "track", "platform", "day"], "left").groupBy("platform").agg(F.count(F.lit(1)).alias("plays"), F.count("seen").alias("covered"))
+    """How many of a source's plays another source has as well, about that time (F165): the least and the greatest source of a window of days differ. No pairs are formed."""
+    near = Window.partitionBy("owner", "track").orderBy(F.unix_date("day")).rangeBetween(-60, 60)
+    seen = plays.select("owner", "track", "platform", "day").withColumn("other", F.min("platform").over(near) != F.max("platform").over(near))
+    return seen.groupBy("platform").agg(F.count(F.lit(1)).alias("plays"), F.count_if("other").alias("covered"))
+
 
 
 @C.query("f_activities", "plays", sql="""d AS (SELECT owner, day, count(*) AS n, min(hour) AS h, avg(skipped::INT) AS sr FROM plays WHERE attended GROUP BY ALL), a AS (SELECT owner, CASE WHEN n >= 4 AND sr <= 0.2 THEN 'focus' WHEN h >= 22 THEN 'wind-down' WHEN h BETWEEN 6 AND 9 AND isodow(day) <= 5 THEN 'commute' WHEN n >= 4 AND isodow(day) >= 6 THEN 'party' ELSE 'everyday' END AS activity, n FROM d)
@@ -197,12 +216,13 @@ def activities(plays: DataFrame) -> DataFrame:
     return d.groupBy("owner", activity.alias("activity")).agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("plays"))
 
 
-@C.query("f_missing_days", "plays", sql="d AS (SELECT DISTINCT day FROM plays WHERE owner = 7), g AS (SELECT unnest(generate_series(DATE '1999-01-01', DATE '1999-12-31', INTERVAL 1 DAY))::DATE AS day), m AS (SELECT day, day - (row_number() OVER (ORDER BY day))::INTEGER AS k FROM g ANTI JOIN d USING (day)) SELECT strftime(min(day), '%Y-%m-%d') AS start, strftime(max(day), '%Y-%m-%d') AS end_day, count(*) AS days FROM m GROUP BY k")
+@C.query("f_missing_days", "plays", sql="d AS (SELECT DISTINCT owner, day FROM plays), o AS (SELECT owner, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1), g AS (SELECT owner, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS day FROM o), m AS (SELECT owner, day, day - (row_number() OVER (PARTITION BY owner ORDER BY day))::INTEGER AS k FROM g ANTI JOIN d USING (owner, day)) SELECT owner, strftime(min(day), '%Y-%m-%d') AS start, strftime(max(day), '%Y-%m-%d') AS end_day, count(*) AS days FROM m GROUP BY owner, k")
 def missing_days(plays: DataFrame) -> DataFrame:
-    """Ranges of a year's days without data (F210)."""
-    grid = plays.sparkSession.sql("select 7L as owner, explode(sequence(date '1999-01-01', date '1999-12-31', interval 1 day)) as day")
-    m = grid.join(plays.filter("owner = 7").select("day").distinct(), "day", "left_anti")
-    return day_runs(m, ["owner"]).select(text(F.col("start")).alias("start"), text(F.col("end")).alias("end_day"), F.col("length").alias("days"))
+    """Ranges of days without data between a listener's first and last (F210)."""
+    d = plays.select("owner", "day").distinct()
+    grid = d.groupBy("owner").agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select("owner", F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("day"))
+    m = grid.join(d, ["owner", "day"], "left_anti")
+    return day_runs(m, ["owner"]).select("owner", text(F.col("start")).alias("start"), text(F.col("end")).alias("end_day"), F.col("length").alias("days"))
 
 
 @C.query("f_words_playlist", "plays", "tracks", sql="""u AS (SELECT artist, track, count(*) AS plays, avg(skipped::INT) AS sr FROM plays WHERE attended GROUP BY ALL), s AS (SELECT artist, track, round((bpm BETWEEN 100 AND 140)::INT * 2 + energy * 3 + (release_year >= 1980 AND release_year < 1990)::INT * 2 - sr * 2 + log10(1 + plays), 6) AS score FROM u JOIN tracks USING (track) WHERE NOT explicit AND sr <= 0.8),
@@ -217,11 +237,11 @@ def words_playlist(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     return best.select("artist", "track", "score").orderBy(F.desc("score"), "track", "artist").limit(30)
 
 
-@C.query("f_lineage", "tracks", sql="SELECT a.track AS cover, b.track AS original FROM tracks a JOIN tracks b ON a.name = b.name AND a.release_year > b.release_year AND starts_with(a.album, 'Brand#1') AND b.tag = a.tag")
+@C.query("f_lineage", "tracks", sql="SELECT track AS cover, original FROM (SELECT track, release_year, first_value(track) OVER w AS original, first_value(release_year) OVER w AS year FROM tracks WINDOW w AS (PARTITION BY name, tag ORDER BY release_year, track)) WHERE release_year > year")
 def lineage(tracks: DataFrame) -> DataFrame:
-    """Songs of one title with an older one (F187): equal on the title, the rest as a residual."""
-    old = tracks.select(F.col("track").alias("original"), "name", "tag", F.col("release_year").alias("old_year"))
-    return tracks.filter(F.startswith("album", F.lit("Brand#1"))).join(old, ["name", "tag"]).filter("release_year > old_year").select(F.col("track").alias("cover"), "original")
+    """Each song with the oldest of its title, if that is older (F187)."""
+    first = tracks.groupBy("name", "tag").agg(F.min(F.struct("release_year", "track")).alias("f"))
+    return tracks.join(first, ["name", "tag"]).filter(F.col("release_year") > F.col("f.release_year")).select(F.col("track").alias("cover"), F.col("f.track").alias("original"))
 
 
 @C.query("f_call_stats", "orders", sql="SELECT o_orderpriority AS purpose, count(*) AS calls, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, max(o_totalprice) FILTER (o_orderstatus = 'F') AS worst FROM orders GROUP BY 1")

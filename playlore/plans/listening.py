@@ -135,10 +135,10 @@ def month_detail(plays: DataFrame) -> DataFrame:
     return p.groupBy("owner", text(month(F.col("day"))).alias("month")).agg(F.count(F.lit(1)).alias("plays"), hours(F.sum("ms")).alias("hours"), F.count_distinct(new).alias("new_tracks"), F.count_distinct("artist").alias("artists"))
 
 
-@C.query("f_exit_points", "plays", sql="SELECT track, ((ms // 10000) * 10)::BIGINT AS second, count(*) AS skips FROM plays WHERE attended AND skipped AND track < 200 GROUP BY ALL")
+@C.query("f_exit_points", "plays", sql="SELECT track, ((ms // 10000) * 10)::BIGINT AS second, count(*) AS skips FROM plays WHERE attended AND skipped GROUP BY ALL")
 def exit_points(plays: DataFrame) -> DataFrame:
     """Where tracks are skipped, in steps of ten seconds."""
-    return ALL.plays(plays).filter("skipped and track < 200").groupBy("track", (F.floor(F.col("ms") / 10_000) * 10).cast("long").alias("second")).agg(F.count(F.lit(1)).alias("skips"))
+    return ALL.plays(plays).filter("skipped").groupBy("track", (F.floor(F.col("ms") / 10_000) * 10).cast("long").alias("second")).agg(F.count(F.lit(1)).alias("skips"))
 
 
 @C.query("f_early_exits", "plays", sql="SELECT track, count(*) AS skips, avg(ms) / 1000 AS mean_s, round(stddev_samp(ms) / 1000, 4) AS sd_s FROM plays WHERE skipped AND ms > 5000 GROUP BY track HAVING count(*) >= 6 AND stddev_samp(ms) < 120000")

@@ -152,15 +152,21 @@ def handoff(plays: DataFrame) -> DataFrame:
     return pairs.crossJoin(F.broadcast(total)).select("from_device", "to_device", "sessions", F.round(F.col("sessions") / F.col("all"), 6).alias("share"))
 
 
-@C.query("f_co_listening", "stream_plays", sql=_CUT + """, mem AS (SELECT DISTINCT artist, owner, session FROM s), sz AS (SELECT artist, count(*) AS n FROM mem GROUP BY 1),
-j AS (SELECT x.artist AS a, y.artist AS b, count(*) AS shared FROM mem x JOIN mem y ON x.owner = y.owner AND x.session = y.session AND x.artist < y.artist GROUP BY ALL HAVING count(*) >= 3)
-SELECT a, b, shared, round(shared / (p.n + q.n - shared), 6) AS jaccard FROM j JOIN sz p ON p.artist = a JOIN sz q ON q.artist = b""")
-def co_listening(plays: DataFrame) -> DataFrame:
-    """How far two artists share sessions (F172)."""
-    from playlore.operators.vectors import jaccard_pairs
-
-    members = op.sessionize(plays, STREAM).select("artist", F.struct("owner", "session").alias("held")).distinct()
-    return jaccard_pairs(members, "artist", "held", 3)
+@C.query("f_co_listening", "stream_plays", sql=_CUT + """, best AS (SELECT artist FROM s GROUP BY 1 ORDER BY count(*) DESC, artist LIMIT 60), mem AS (SELECT DISTINCT artist, owner, session FROM s SEMI JOIN best USING (artist)), sz AS (SELECT artist, count(*) AS n FROM mem GROUP BY 1),
+j AS (SELECT x.artist AS a, y.artist AS b, count(*) AS shared FROM mem x JOIN mem y ON x.owner = y.owner AND x.session = y.session AND x.artist <> y.artist GROUP BY ALL HAVING count(*) >= 3)
+SELECT a, b, shared, round(shared / (p.n + q.n - shared), 6) AS jaccard FROM j JOIN sz p ON p.artist = a JOIN sz q ON q.artist = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(shared / (p.n + q.n - shared), 6) DESC, b) <= 4""")
+def co_listening(plays: DataFrame, most: int = 60, edges: int = 4) -> DataFrame:
+    """How far the most heard artists share sessions, the nearest of each (F172). A session gives at most most * (most - 1) pairs."""
+    cut = op.sessionize(plays, STREAM).select("artist", "owner", "session")
+    best = cut.groupBy("artist").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "artist").limit(most).select("artist")
+    members = cut.join(F.broadcast(best), "artist").distinct()
+    sizes = members.groupBy("artist").agg(F.count(F.lit(1)).alias("n"))  # most rows at most
+    a, b = members.withColumnRenamed("artist", "a"), members.withColumnRenamed("artist", "b")
+    j = a.join(b, ["owner", "session"]).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= 3")
+    sized = j.join(F.broadcast(sizes.withColumnRenamed("n", "na")), j["a"] == sizes["artist"]).drop("artist").join(F.broadcast(sizes.withColumnRenamed("n", "nb")), F.col("b") == F.col("artist"))
+    like = sized.withColumn("jaccard", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6))
+    return top_by(like, ["a"], edges, F.desc("jaccard"), F.col("b")).select("a", "b", "shared", "jaccard")
+
 
 
 @C.query("f_record_sessions", "stream_plays", sql=_CUT + """, r AS (SELECT owner, session, ms, max(ms) OVER (PARTITION BY owner ORDER BY start_at, session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ses WHERE attention <> 'unattended')

@@ -40,12 +40,18 @@ def languages(documents: DataFrame) -> DataFrame:
     return documents.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
 
 
-@C.query("f_text_neighbours", "documents", sql=_TFIDF + ", x AS (SELECT doc_id, term FROM k WHERE rank <= 5) SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3")
+@C.query("f_text_neighbours", "documents", sql=_TFIDF + """, x AS (SELECT doc_id, list(term ORDER BY term) AS terms FROM k WHERE rank <= 5 GROUP BY 1), g AS (SELECT terms, min(doc_id) AS doc_id, count(*) AS size FROM x GROUP BY 1 HAVING len(terms) >= 3)
+SELECT a.doc_id AS a, b.doc_id AS b, a.size AS copies_a, b.size AS copies_b, len(list_intersect(a.terms, b.terms))::INTEGER AS shared FROM g a JOIN g b ON a.doc_id < b.doc_id AND len(list_intersect(a.terms, b.terms)) >= 3""")
 def neighbours(documents: DataFrame) -> DataFrame:
-    """Texts that share three of their five best keywords (F114)."""
-    k = op.tf_idf(op.terms(documents, "doc_id", F.col("text"), "lang"), "doc_id", "lang", top=5).select("doc_id", "term")
-    a, b = k.withColumnRenamed("doc_id", "a"), k.withColumnRenamed("doc_id", "b")
-    return a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= 3")
+    """Texts that share three of their five best keywords (F114): those with the same five are one class, and classes meet by their triples."""
+    k = op.tf_idf(op.terms(documents, "doc_id", F.col("text"), "lang"), "doc_id", "lang", top=5)
+    x = k.groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("terms")).filter(F.size("terms") >= 3)
+    g = x.groupBy("terms").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("size"))
+    triples = F.array(*[F.concat_ws(" ", F.get("terms", F.lit(i)), F.get("terms", F.lit(j)), F.get("terms", F.lit(m))) for i in range(5) for j in range(i + 1, 5) for m in range(j + 1, 5)])
+    whole = F.filter(triples, lambda t: F.size(F.split(t, " ")) == 3)
+    side = lambda s: g.select(F.explode(whole).alias("triple"), F.col("doc").alias(s), F.col("terms").alias(f"terms_{s}"), F.col("size").alias(f"copies_{s}"))
+    pairs = side("a").join(side("b"), "triple").filter("a < b").drop("triple").distinct()
+    return pairs.select("a", "b", "copies_a", "copies_b", F.size(F.array_intersect("terms_a", "terms_b")).alias("shared"))
 
 
 @C.query("f_wordiness", "documents", sql=_TERMS + " SELECT doc_id, sum(tf)::BIGINT AS words, count(*) AS terms, count(*)::DOUBLE / sum(tf)::DOUBLE AS richness FROM c GROUP BY doc_id HAVING sum(tf) >= 50")
@@ -174,14 +180,15 @@ def integrity(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     return plays.join(known, "track", "left").agg(F.count(F.lit(1)).alias("plays"), F.count_if(F.col("ms") <= 0).alias("empty_plays"), F.count_if(F.col("known").isNull()).alias("without_track"), F.count_distinct("play_id").alias("ids"))
 
 
-@C.query("f_playlist_overlap", "plays", sql="""m AS (SELECT DISTINCT artist AS list, track % 300 AS item FROM plays WHERE artist < 40), s AS (SELECT list, count(*) AS n FROM m GROUP BY 1), p AS (SELECT a.list AS a, b.list AS b, count(*) AS shared FROM m a JOIN m b ON a.item = b.item AND a.list < b.list GROUP BY ALL HAVING count(*) >= 3)
-SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM p JOIN s x ON x.list = a JOIN s y ON y.list = b""")
+@C.query("f_playlist_overlap", "plays", sql="""m AS (SELECT DISTINCT owner, artist AS list, track FROM plays), s AS (SELECT owner, list, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT owner, a.list AS a, b.list AS b, count(*) AS shared FROM m a JOIN m b USING (owner, track) WHERE a.list < b.list GROUP BY ALL)
+SELECT p.owner, a, b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard, round(shared / least(x.n, y.n), 6) AS containment FROM p JOIN s x ON x.owner = p.owner AND x.list = a JOIN s y ON y.owner = p.owner AND y.list = b""")
 def playlist_overlap(plays: DataFrame) -> DataFrame:
-    """Lists that share items (F173)."""
-    from playlore.operators.vectors import jaccard_pairs
+    """A listener's lists that share items, with Jaccard likeness and containment (F173). A track is in few lists, so pairs are few."""
+    m = plays.select("owner", F.col("artist").alias("list"), "track").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("owner", "list")))
+    a, b = m.select("owner", "track", F.col("list").alias("a"), F.col("n").alias("na")), m.select("owner", "track", F.col("list").alias("b"), F.col("n").alias("nb"))
+    p = a.join(b, ["owner", "track"]).filter("a < b").groupBy("owner", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    return p.select("owner", "a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"), F.round(F.col("shared") / F.least("na", "nb"), 6).alias("containment"))
 
-    m = plays.filter("artist < 40").select(F.col("artist").alias("list"), (F.col("track") % 300).alias("item")).distinct()
-    return jaccard_pairs(m, "list", "item", 3)
 
 
 @C.query("f_family_tree", "artists", sql="""e AS (SELECT artist AS a, (artist * 7 + 3) % 100 AS b FROM artists UNION SELECT (artist * 7 + 3) % 100, artist FROM artists), r1 AS (SELECT DISTINCT b AS artist FROM e WHERE a = 5 AND b <> 5), r2 AS (SELECT DISTINCT b AS artist FROM e JOIN r1 ON a = r1.artist WHERE b <> 5 AND b NOT IN (SELECT artist FROM r1))

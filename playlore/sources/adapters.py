@@ -6,11 +6,15 @@ same rows. Only the columns that a query needs are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Listeners that the line items are dealt to.
 OWNERS = 20
+#: Like artists on either side; moods and themes of lyrics.
+NEAR = 5
+MOODS = ("calm", "bleak", "bright", "tender", "angry")
+THEMES = ("love", "loss", "city", "road", "night", "home", "money")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,11 +69,44 @@ def artists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def liked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(owner, track, added): a listener's liked songs, the first that each order's customer bought of a part, thinned by key."""
-    li = _read(spark, sf_dir, "lineitem").filter("l_orderkey % 7 = 0")
+    """(owner, track, added): a listener's liked songs, the parts of which an order's line was accepted and is finished."""
+    li = _read(spark, sf_dir, "lineitem").filter("l_returnflag = 'A' and l_linestatus = 'F'")
     return li.groupBy((F.col("l_orderkey") % OWNERS).alias("owner"), F.col("l_partkey").alias("track")).agg(F.min(F.to_date("l_shipdate")).alias("added"))
 
 
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artist, other, match): a table of like artists, those of the next wealth in their country, NEAR either way."""
+    s = _read(spark, sf_dir, "supplier")
+    ranked = s.select(F.col("s_suppkey").alias("artist"), F.col("s_nationkey").alias("n"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")).alias("rn"))
+    steps = F.array(*[F.lit(k) for k in range(-NEAR, NEAR + 1) if k])
+    seen = ranked.select("artist", "n", F.explode(steps).alias("step"), "rn").withColumn("at", F.col("rn") + F.col("step"))
+    return seen.join(ranked.select(F.col("artist").alias("other"), "n", F.col("rn").alias("at")), ["n", "at"]).select("artist", "other", (F.lit(1.0) / (1 + F.abs("step"))).alias("match"))
+
+
+def artist_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artist, tag, weight): the types of three parts that stand for an artist, the name of one in lower case."""
+    s, p = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "part")
+    picks = s.select(F.col("s_suppkey").alias("artist"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("j")).withColumn("p_partkey", (F.col("artist") * 7 + F.col("j") * 13) % 200)
+    named = picks.join(p.select("p_partkey", "p_name", "p_type"), "p_partkey").select("artist", F.when(F.col("j") < 3, F.lower("p_type")).otherwise(F.lower("p_name")).alias("tag"), F.floor(F.lit(100) / F.col("j")).cast("int").alias("weight"))
+    return named.groupBy("artist", "tag").agg(F.max("weight").alias("weight"))
+
+
+def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(release, artist, released, kind): orders as new records."""
+    o = _read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("release"), (F.col("o_custkey") % 1000).alias("artist"), F.to_date("o_orderdate").alias("released"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("kind"))
+
+
+def lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(track, lang, words, valence, mood, theme): texts as the lyrics of tracks, with moods of a fixed table."""
+    d = _read(spark, sf_dir, "documents")
+    valence = ((F.coalesce("n_chars", F.lit(0)) * 37) % 201 - 100) / F.lit(100.0)
+    mood = F.element_at(F.array(*map(F.lit, MOODS)), (F.col("doc_id") % len(MOODS) + 1).cast("int"))
+    theme = F.element_at(F.array(*map(F.lit, THEMES)), (F.coalesce("n_chars", F.lit(0)) % len(THEMES) + 1).cast("int"))
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}]{3,}"), F.lit(0))))
+    return d.select(F.col("doc_id").alias("track"), "lang", words.alias("words"), valence.alias("valence"), mood.alias("mood"), theme.alias("theme"))
+
+
 def stream_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as plays of a listener, for sessions. ms is a whole number of milliseconds."""
     e = _read(spark, sf_dir, "events")
@@ -113,7 +150,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer")
 
 
-TABLES = {f.__name__: f for f in (plays, tracks, artists, liked, stream_plays, rates, documents, embeddings, conversations, orders, customers)}
+TABLES = {f.__name__: f for f in (plays, tracks, artists, liked, edges, artist_tags, releases, lyrics, stream_plays, rates, documents, embeddings, conversations, orders, customers)}
 
 _MINUTE = "((l_orderkey * 7 + l_linenumber * 131 + l_partkey) % 1440)"
 SQL = {
@@ -124,8 +161,14 @@ SQL = {
   round((p_partkey % 97) / 97.0::DOUBLE, 6) AS energy, round(-30 + (p_partkey % 53) / 2.0::DOUBLE, 3) AS loudness, (p_partkey % 12 + 1)::INTEGER AS key_number, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS key_mode,
   floor(p_retailprice * 200)::BIGINT AS duration_ms, p_size % 10 = 0 AS explicit FROM part""",
     "artists": "SELECT s_suppkey AS artist, s_name AS artist_name, n_name AS country, n_regionkey::BIGINT AS scene, greatest(floor(s_acctbal * 1000), 0)::BIGINT AS listeners FROM supplier JOIN nation ON s_nationkey = n_nationkey",
-    "liked": f"SELECT l_orderkey % {OWNERS} AS owner, l_partkey AS track, min(l_shipdate)::DATE AS added FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1, 2",
+    "liked": f"SELECT l_orderkey % {OWNERS} AS owner, l_partkey AS track, min(l_shipdate)::DATE AS added FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY 1, 2",
     "stream_plays": """SELECT user_id AS owner, event_id AS play_id, ts AS played_at, (props->>'$.k')::BIGINT AS track, (props->>'$.k')::BIGINT % 17 AS artist, (props->>'$.k')::BIGINT % 5 AS album,
   floor(value * 1000)::BIGINT AS ms, event_type = 'error' AS skipped, event_type IN ('click', 'signup') AS interaction, event_type AS platform FROM events""",
+    "edges": f"""SELECT a.artist, b.artist AS other, 1.0::DOUBLE / (1 + abs(a.rn - b.rn)) AS match FROM (SELECT s_suppkey AS artist, s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS rn FROM supplier) a
+  JOIN (SELECT s_suppkey AS artist, s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS rn FROM supplier) b ON a.n = b.n AND a.rn <> b.rn AND abs(a.rn - b.rn) <= {NEAR}""",
+    "artist_tags": """SELECT s_suppkey AS artist, CASE WHEN j < 3 THEN lower(p_type) ELSE lower(p_name) END AS tag, max(100 // j)::INTEGER AS weight FROM supplier, range(1, 4) x(j), part WHERE p_partkey = (s_suppkey * 7 + j * 13) % 200 GROUP BY 1, 2""",
+    "releases": "SELECT o_orderkey AS release, o_custkey % 1000 AS artist, o_orderdate::DATE AS released, lower(substr(o_orderpriority, 3, 20)) AS kind FROM orders",
+    "lyrics": f"""SELECT doc_id AS track, lang, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}]{{3,}}'))) AS words, ((coalesce(n_chars, 0) * 37) % 201 - 100) / 100.0::DOUBLE AS valence,
+  {list(MOODS)}[doc_id % {len(MOODS)} + 1] AS mood, {list(THEMES)}[coalesce(n_chars, 0) % {len(THEMES)} + 1] AS theme FROM documents""",
     "rates": "SELECT o_custkey AS cust, o_orderdate::DATE AS valid_from, max(o_orderkey) AS rate FROM orders GROUP BY 1, 2",
 }
