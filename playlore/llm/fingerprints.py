@@ -1,19 +1,21 @@
 """Document fingerprints by I-Match over many randomised lexicon subsets.
 
 The lexicon holds the terms whose inverse document frequency lies in a chosen
-band. It is dealt at random into 256 subsets. A document's distinct lexicon terms
-are sorted, and for each subset that it has terms of, those terms are hashed
+band. ROUNDS times it is dealt at random into 256 subsets, so a term is in a subset of
+each round and subsets of different rounds overlap. A document's distinct lexicon
+terms are sorted, and for each subset that it has terms of, those terms are hashed
 together; the fingerprint lists subset and hash. Two fingerprints are alike as
 far as their subsets agree, so an edit changes some subsets and leaves others.
 
 Size: the lower bound of the band says how large the lexicon can get. A term in
 at least a share p of the documents, with t distinct terms a document on average,
-leaves room for t / p terms, whatever the number of documents.
+leaves room for t / p terms, whatever the number of documents; over MOST_TERMS is
+an error, and calls for a narrower band.
 
 Edge cases: a null text is empty; a text without lexicon terms is fingerprinted
 by all its terms, so equal texts always have equal fingerprints; repeated rows
 get equal results; in `edited_next`, rows with the same id and text follow
-each other, null ids come last, and a lone document is followed by itself;
+each other, null ids come last in an order by hash, and a lone document is followed by itself;
 an empty table stays empty; input columns that clash with an output name are
 replaced in the output.
 """
@@ -27,9 +29,12 @@ from playlore.llm.common import let, read, row_key
 
 #: Production parameters: the band, as shares of documents that have a term.
 LEAST_SHARE, MOST_SHARE = 0.002, 0.25
-BUCKETS = 4096
-#: Rows of a bucket of ids, and buckets at most: their limits are a literal.
-BUCKET_ROWS, MOST_BUCKETS = 2000, 4096
+#: Times that the lexicon is dealt into 256 subsets, by a byte of a term's hash each.
+ROUNDS = 2
+#: Buckets of the look-up table, and terms of a lexicon at most.
+BUCKETS, MOST_TERMS = 4096, 2_000_000
+#: Rows of a bucket of ids, and buckets at most: their limits are a literal of GROUP lists.
+BUCKET_ROWS, MOST_BUCKETS, GROUP = 2000, 65536, 256
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -48,6 +53,8 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, mos
 
 def lookup(lex: DataFrame) -> Column:
     """The lexicon as a literal, an array of buckets, so that a look-up costs the same for any size. Its bound is that of the lexicon."""
+    if (n := lex.count()) > MOST_TERMS:
+        raise ValueError(f"{n} terms are too many for a look-up table: narrow the band")
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("long")
     filled = lex.groupBy(bucket.alias("id")).agg(F.collect_list("term").alias("held"))
     empty = F.array().cast("array<string>")
@@ -57,16 +64,17 @@ def lookup(lex: DataFrame) -> Column:
 
 
 def fingerprint(text: Column, buckets: Column) -> Column:
-    """array<string>: two hex digits of the subset and six of the hash of its terms; for a text without lexicon terms one entry, "--" and its hash."""
+    """array<string>: round, two hex digits of the subset and five of the hash of its terms; for a text without lexicon terms one entry, "---" and its hash."""
     inside = lambda t: F.array_contains(F.get(buckets, F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")), t)
 
     def of(all_terms: Column) -> Column:
-        placed = F.sort_array(F.transform(F.filter(all_terms, inside), lambda t: F.struct(F.substring(F.md5(t), 1, 2).alias("s"), t.alias("t"))))
+        drawn = lambda t, m: F.array(*[F.struct(F.concat(F.lit(str(r)), F.substring(m, 2 * r + 1, 2)).alias("s"), t.alias("t")) for r in range(ROUNDS)])
+        placed = F.sort_array(F.flatten(F.transform(F.filter(all_terms, inside), lambda t: let(F.md5(t), lambda m: drawn(t, m)))))
         # one string, a line for each run of a subset's terms: linear, where a filter for each subset would not be
         line = lambda p, x, i: F.when(F.coalesce(F.get(p, i - 1)["s"] == x["s"], F.lit(False)), F.concat(F.lit(" "), x["t"])).otherwise(F.concat(F.lit("\n"), x["s"], x["t"]))
         runs = lambda p: F.split(F.substring(F.array_join(F.transform(p, lambda x, i: line(p, x, i)), ""), 2, 2147483647), "\n")
-        parts = lambda p: F.transform(runs(p), lambda g: F.concat(F.substring(g, 1, 2), F.substring(F.md5(F.substring(g, 3, 2147483647)), 1, 6)))
-        whole = F.array(F.concat(F.lit("--"), F.substring(F.md5(F.array_join(F.array_sort(all_terms), " ")), 1, 6)))
+        parts = lambda p: F.transform(runs(p), lambda g: F.concat(F.substring(g, 1, 3), F.substring(F.md5(F.substring(g, 4, 2147483647)), 1, 5)))
+        whole = F.array(F.concat(F.lit("---"), F.substring(F.md5(F.array_join(F.array_sort(all_terms), " ")), 1, 5)))
         return let(placed, lambda p: F.when(F.size(p) > 0, parts(p)).otherwise(whole))
 
     return let(terms(text), of)
@@ -74,7 +82,7 @@ def fingerprint(text: Column, buckets: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of the subsets that either has terms of in which both agree."""
-    subsets = lambda x: F.transform(x, lambda e: F.substring(e, 1, 2))
+    subsets = lambda x: F.transform(x, lambda e: F.substring(e, 1, 3))
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(subsets(a), subsets(b)))
 
 
@@ -82,27 +90,37 @@ def entries(printed: Column) -> Column:
     return F.regexp_extract_all(printed, F.lit(".{8}"), F.lit(0))
 
 
+def above(x: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are above x, by a look at the heads of groups of bounds and at one group."""
+    groups = [bounds[i : i + GROUP] for i in range(0, len(bounds), GROUP)]
+    literal = lambda v, kind: F.from_json(F.lit(str(v)), kind)
+    upto = lambda held: F.size(F.filter(held, lambda b: b <= x))
+    group = upto(literal([g[0] for g in groups], "array<bigint>"))
+    below = let(group, lambda k: F.when(k == 0, 0).otherwise((k - 1) * GROUP + upto(F.get(literal(groups, "array<array<bigint>>"), k - 1))))
+    return F.lit(len(bounds)) - below
+
+
 def edited_next(keyed: DataFrame, printed: Column) -> DataFrame:
     """keyed (doc_id, text, row_key) with own, which is printed, with edited, each text's last third replaced by the head of the next document's, and next_own.
 
-    Documents are dealt by quantiles of the id, so the texts move once. Each bucket gets the first
-    document of the next one as a guest, for its last document to look at.
+    Documents are dealt by quantiles of the id, null ids by their hash, so the texts move once. Each
+    bucket gets the first document of the next one as a guest, for its last document to look at.
     """
-    backwards = F.bitwise_not(F.col("doc_id"))
+    backwards, missing = F.bitwise_not(F.col("doc_id")), F.col("doc_id").isNull()
     rows, parts = keyed.count(), int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(MOST_BUCKETS, max(parts, rows // BUCKET_ROWS))
     bounds = keyed.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("b")).first()["b"] or [] if buckets > 1 else []
-    limits = F.from_json(F.lit(str(sorted(set(bounds)))), "array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(MOST_BUCKETS)).otherwise(F.size(F.filter(limits, lambda x: x > F.col("doc_id"))))
-    dealt = keyed.withColumn("bucket", bucket)
-    firsts = dealt.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), backwards.alias("i"), F.col("row_key"))).alias("f"))
-    around = Window.orderBy("bucket")  # at most MOST_BUCKETS + 1 rows
+    keyed = keyed.withColumn("tie", F.md5("row_key"))
+    by_hash = F.floor(F.conv(F.substring("tie", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int") + MOST_BUCKETS
+    dealt = keyed.withColumn("bucket", F.when(missing, by_hash).otherwise(above(F.col("doc_id"), sorted(set(bounds)))))
+    firsts = dealt.groupBy("bucket").agg(F.min(F.struct(missing.alias("n"), backwards.alias("i"), F.col("tie"), F.col("row_key"))).alias("f"))
+    around = Window.orderBy("bucket")  # at most 2 * MOST_BUCKETS rows
     last = F.last("bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     guests = firsts.select(F.col("f.row_key").alias("row_key"), F.coalesce(F.lag("bucket").over(around), last).alias("target"))
-    visiting = keyed.join(F.broadcast(guests), "row_key").select(*keyed.columns, F.col("target").alias("bucket"), F.lit(True).alias("guest"))
+    visiting = keyed.join(F.broadcast(guests), "row_key").select(*keyed.columns, F.col("target").alias("bucket"), F.lit(True).alias("guest")).dropDuplicates(["row_key"])
     hosts = dealt.withColumn("guest", F.lit(False)).withColumn("own", printed)
-    w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").isNull(), backwards, "row_key")
-    led = hosts.unionByName(visiting.withColumn("own", printed)).withColumns({"next_text": F.lead("text").over(w), "next_own": F.lead("own").over(w)}).filter("not guest")
+    w = Window.partitionBy("bucket").orderBy("guest", missing, backwards, "tie")
+    led = hosts.unionByName(visiting.withColumn("own", printed)).withColumns({"next_text": F.lead("text").over(w), "next_own": F.lead("own").over(w)}).filter("not guest").drop("tie")
     taken = F.floor(F.char_length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - taken), F.substring(F.col("next_text"), F.lit(1), taken))
     return led.withColumn("edited", edited).drop("bucket", "guest", "next_text")
@@ -125,9 +143,9 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PARTS = lambda t: f"(SELECT rid, list(s || h ORDER BY s) AS fp FROM (SELECT rid, s, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 6) AS h FROM (SELECT rid, term, substr(md5(term), 1, 2) AS s FROM (SELECT rid, unnest({t}) AS term FROM split) JOIN lex USING (term)) GROUP BY rid, s) GROUP BY rid)"
+_PARTS = lambda t: f"(SELECT rid, list(s || h ORDER BY s) AS fp FROM (SELECT rid, s, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 5) AS h FROM (SELECT rid, term, r::VARCHAR || substr(md5(term), 2 * r::BIGINT + 1, 2) AS s FROM (SELECT rid, unnest({t}) AS term FROM split) JOIN lex USING (term), range({ROUNDS}) x(r)) GROUP BY rid, s) GROUP BY rid)"
 _TERMS = lambda t: f"list_distinct(regexp_extract_all(lower({t}), '{TERM}'))"
-_LIKE = lambda a, b: f"len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat(list_transform({a}, lambda e: e[1:2]), list_transform({b}, lambda e: e[1:2]))))"
+_LIKE = lambda a, b: f"len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat(list_transform({a}, lambda e: e[1:3]), list_transform({b}, lambda e: e[1:3]))))"
 ORACLE = f"""WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id DESC) AS rid, count(*) OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
 pairs AS (SELECT a.rid, a.n, a.doc_id, a.text, length(a.text) AS n_chars, b.rid AS next_rid,
     substr(a.text, 1, length(a.text) - length(a.text) // 3) || substr(b.text, 1, length(a.text) // 3) AS edited
@@ -136,7 +154,7 @@ split AS (SELECT rid, {_TERMS("text")} AS own, {_TERMS("edited")} AS changed FRO
 lex AS (SELECT term FROM (SELECT unnest(own) AS term FROM split) GROUP BY term
   HAVING count(*) >= greatest(2, {LEAST_SHARE} * (SELECT count(*) FROM docs)) AND count(*) <= {MOST_SHARE} * (SELECT count(*) FROM docs)),
 a AS {_PARTS("own")}, b AS {_PARTS("changed")},
-prints AS (SELECT p.*, coalesce(a.fp, ['--' || substr(md5(array_to_string(list_sort(s.own), ' ')), 1, 6)]) AS fa, coalesce(b.fp, ['--' || substr(md5(array_to_string(list_sort(s.changed), ' ')), 1, 6)]) AS fb
+prints AS (SELECT p.*, coalesce(a.fp, ['---' || substr(md5(array_to_string(list_sort(s.own), ' ')), 1, 5)]) AS fa, coalesce(b.fp, ['---' || substr(md5(array_to_string(list_sort(s.changed), ' ')), 1, 5)]) AS fb
   FROM pairs p JOIN split s USING (rid) LEFT JOIN a USING (rid) LEFT JOIN b USING (rid))
 SELECT x.doc_id, x.n_chars::BIGINT AS n_chars, sha256(x.edited) AS edited_sha256, array_to_string(x.fa, '') AS fingerprint, array_to_string(x.fb, '') AS edited_fingerprint,
   {_LIKE("x.fa", "x.fb")} AS near_edited, {_LIKE("x.fa", "y.fa")} AS near_next
