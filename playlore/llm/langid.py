@@ -9,17 +9,19 @@ log-probabilities for each language; texts are scored by look-ups in it.
 
 A text gets the language of the lowest cross-entropy a character, and a score:
 the probability of that language against the others. Rejection is calibrated by
-the cross-entropies of sampled texts outside the counts: `rejected` says that
-less than REJECT of them are as high.
-
-Bounds: the model is fitted on at most SAMPLE documents of each language, those
-of the least id hashes, and keeps at most GRAMS n-grams of the highest order of
-each language; whole texts are scored, and all of them.
-
-Edge cases: a null text, or one without letters, is "und" with score 0; rows
-without a language teach nothing; repeated rows count as often as they occur;
-without any training document all is "und"; an empty table stays empty; other
-columns are not carried.
+the cross-entropies of sampled texts outside the counts: `rejected` says that the
+text's is above all but REJECT of theirs.
+
+Bounds: the model is fitted on a sample of the labelled documents, each taken with
+the probability that makes SAMPLE of its language on average, by a hash of its id;
+all n-grams of the sample count. Labels are few: over MOST_LANGS is an error. Whole
+texts are scored, and all of them.
+
+Edge cases: a null text, or one without letters, is "und" with score 0; a document
+without an id is not held out and teaches nothing, nor do rows without a language;
+repeated rows count as often as they occur; a language of under APART_FROM labelled
+rows is never rejected; without any training document all is "und"; an empty table
+stays empty; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -36,9 +38,9 @@ from pyspark.sql import functions as F
 from playlore.llm.common import read, stash
 
 #: Production parameters.
-ORDER, SAMPLE, GRAMS, DISCOUNT, REJECT, FOLDS = 4, 4000, 200_000, 0.75, 0.02, 3
-#: One sampled document in so many is kept from the counts, to calibrate rejection with.
-CALIBRATE = 5
+ORDER, SAMPLE, DISCOUNT, REJECT, FOLDS, MOST_LANGS = 4, 4000, 0.75, 0.02, 3, 5000
+#: One sampled document in so many is kept from the counts, to calibrate rejection with, if its language has APART_FROM.
+CALIBRATE, APART_FROM = 5, 50
 #: A text's characters are scored in pieces of this many, to bound memory.
 PIECE = 1_000_000
 #: No character.
@@ -72,7 +74,7 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
 
 
 def grams(c: np.ndarray, order: int) -> np.ndarray:
-    """The n-grams that end at each character from the second on, shorter ones not at all. """
+    """The n-grams that end at each character from the second on, shorter ones not at all."""
     out = np.zeros(max(len(c) - order + 1, 0), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(order):
@@ -117,7 +119,7 @@ class Model:
     backs: list[np.ndarray]  # of the contexts of each order, by the same hashes
     starts: list[np.ndarray]  # of each order: where the hashes with the same INDEX_BITS highest bits begin
     unseen: np.ndarray  # of a character that no training text has
-    typical: np.ndarray  # quantiles of the cross-entropy of training texts, by language
+    highest: np.ndarray  # by language, the cross-entropy that all but REJECT of its texts outside the counts have at most
 
     def find(self, order: int, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of g in the hashes of an order, and whether they are there. Hashes are even, so a few steps from the start of their bucket reach them."""
@@ -235,7 +237,7 @@ def fit(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], orde
     unseen = np.log([discount * len(by_order[0][g][1]) / by_order[0][g][1].sum() / (alphabet + 1) for g in langs])
     edges = np.arange(2**INDEX_BITS, dtype=np.uint64) << np.uint64(64 - INDEX_BITS)
     starts = [np.append(np.searchsorted(h, edges), len(h)) for h in hashes]
-    return Model(langs, hashes, [np.log(p) for p in probs], backs, starts, unseen, np.zeros((len(langs), 0)))
+    return Model(langs, hashes, [np.log(p) for p in probs], backs, starts, unseen, np.full(len(langs), np.inf))
 
 
 def grams_of_rows(rows: np.ndarray) -> np.ndarray:
@@ -260,14 +262,23 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % folds).cast("int")
 
 
-def train(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE, most: int = GRAMS) -> Model | None:
-    """labelled: doc_id, text, lang. What comes to the driver is bounded by languages * most n-grams."""
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = labelled.filter("lang is not null and text is not null").select("doc_id", "lang").withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= sample).select("doc_id").distinct()
-    chosen = stash(labelled.filter("lang is not null and text is not null").join(some, "doc_id", "left_semi").select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0).alias("apart")), "language-sample")
+def sample_of(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text, apart): the documents that the model is fitted on. No row moves: a broadcast row a language says how likely one is taken."""
+    usable = labelled.filter("lang is not null and text is not null and doc_id is not null")
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} labels: that is no column of languages")
+    rates = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["n"]), r["n"] >= APART_FROM) for r in sizes], "lang string, rate double, enough boolean")
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31) < F.col("rate")
+    apart = F.col("enough") & (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0)
+    return usable.join(F.broadcast(rates), "lang").filter(drawn).select("lang", "text", apart.alias("apart"))
+
+
+def train(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model | None:
+    """labelled: doc_id, text, lang. What comes to the driver is the distinct n-grams of the bounded sample."""
+    chosen = stash(sample_of(labelled, sample), "language-sample")
     counts = chosen.filter("not apart").mapInArrow(_counted(order), COUNTED).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= most).select("lang", "gram", "n").toArrow()
+    kept = counts.select("lang", "gram", "n").toArrow()
     if not kept.num_rows:
         return None
     lang = np.array(kept["lang"].to_pylist(), object)
@@ -284,9 +295,9 @@ def train(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE, most: i
             found = [(g, float(x[held.value.langs.index(g)])) for (g, _), x in zip(some, h, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang", "h"])
 
-    marks = chosen.filter("apart").mapInArrow(measured, "lang string, h double").groupBy("lang").agg(F.percentile("h", F.array(*[F.lit(i / 20) for i in range(21)])).alias("q")).collect()
+    marks = chosen.filter("apart").mapInArrow(measured, "lang string, h double").groupBy("lang").agg(F.percentile("h", F.lit(1 - REJECT)).alias("q")).collect()
     by = {r["lang"]: r["q"] for r in marks}
-    model.typical = np.array([by.get(g, [np.inf] * 21) for g in langs])
+    model.highest = np.array([by.get(g, np.inf) for g in langs])
     return model
 
 
@@ -298,11 +309,7 @@ def decide(model: Model, h: np.ndarray, length: int) -> tuple[str, float, float,
     best = int(np.argmin(h))
     # log-likelihood ratios grow with length; the cap keeps scores of long texts apart
     odds = np.exp(-(h - h[best]) * min(length - 1, 50))
-    score, q = float(odds[best] / odds.sum()), model.typical[best]
-    if not np.isfinite(q[-1]):
-        return model.langs[best], score, float(h[best]), False
-    tail = 1 - np.searchsorted(q, h[best], side="left") / len(q) if h[best] <= q[-1] else float(np.exp(-(h[best] - q[-1]) / max(q[-1] - q[0], 0.05)) / len(q))
-    return model.langs[best], score, float(h[best]), bool(tail < REJECT)
+    return model.langs[best], float(odds[best] / odds.sum()), float(h[best]), bool(h[best] > model.highest[best])
 
 
 def decisions(model: Model | None, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
@@ -333,4 +340,4 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.filter(fold(F.col("doc_id")) != 1))
     made = predict(docs, model)
-    return made.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return made.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")

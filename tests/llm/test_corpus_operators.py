@@ -1,6 +1,7 @@
 """Edge cases of the corpus operators, and brute-force versions of what SQL can't say."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -111,6 +112,26 @@ def test_a_lone_document_follows_itself(spark):
     assert fingerprints.edited_next(keyed.limit(0), F.lit("p")).count() == 0
 
 
+def test_fingerprint_edge_cases(spark):
+    """Null ids, repeated rows, a text of 300,000 words, a clashing column, more buckets than documents, and the order of buckets."""
+    words = " ".join(f"t{i}" for i in range(3000))
+    rows = [(None, f"null id {i} with some words") for i in range(9)] + [(4, "same same twice"), (4, "same same twice"), (5, words * 100), (6, None), (None, None)]
+    d = docs(spark, rows, "own")
+    buckets = fingerprints.lookup(fingerprints.lexicon(d, least=0.01, most=0.9))
+    keyed = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), fingerprints.row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "own")
+    out = fingerprints.edited_next(keyed, F.array_join(fingerprints.fingerprint(F.col("text"), buckets), "")).collect()
+    assert len(out) == len(rows) and all(len(r.own) >= 8 and r.next_own for r in out)
+    by = {r.row_key: r for r in out}
+    order = sorted((r for r in by.values() if r.doc_id is None), key=lambda r: hashlib.md5(r.row_key.encode()).hexdigest())
+    assert [r.next_own for r in order[:-1]] == [r.own for r in order[1:]]
+    first = max((r for r in by.values() if r.doc_id is not None), key=lambda r: r.doc_id)
+    assert order[-1].next_own == first.own
+    at = spark.range(-3, 12).select(fingerprints.above(F.col("id"), [0, 2, 5, 9]).alias("n"), "id").collect()
+    assert all(r.n == sum(b > r.id for b in (0, 2, 5, 9)) for r in at)
+    many = list(range(0, 3000, 3))
+    assert all(r.n == sum(b > r.id for b in many) for r in spark.range(0, 3100, 7).select(fingerprints.above(F.col("id"), many).alias("n"), "id").collect())
+
+
 # ---- licences ----
 
 
@@ -305,6 +326,28 @@ def test_language_identification(spark):
     assert langid.predict(d.limit(0), model).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_accuracy_and_calibrated_rejection(spark):
+    truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    out = [r for r in langid.op8_langid(spark, "/root/testdata/sf0.01").collect() if r.held_out and truth[r.doc_id] is not None and r.lang_pred != "und"]
+    assert len(out) > 250
+    assert sum(r.lang_pred == truth[r.doc_id] for r in out) / len(out) > 0.98
+    assert 0.001 <= sum(r.rejected for r in out) / len(out) <= 0.08
+
+
+def test_language_edge_cases(spark):
+    """Repeated rows, a text of 300,000 words, null ids, a language with one row, and columns with clashing names."""
+    rows = [(i, f"the cat sat on the mat {i}", "en", "s", 0) for i in range(90)] + [(None, "the dog", "en", "s", 0), (7, "the cat", "en", "s", 0), (7, "the cat", "en", "s", 0), (500, "the cat " * 150_000, None, "s", 0), (501, "ζω και γράφω", "el", "s", 0)]
+    d = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("clash")).withColumn("rejected", F.lit("clash"))
+    model = langid.train(d)
+    assert model.langs == ["el", "en"]
+    out = langid.predict(d, model).collect()
+    assert len(out) == len(rows) and {r.lang_pred for r in out if r.doc_id != 501} == {"en"}
+    assert [r.lang_pred for r in out if r.doc_id == 501] == ["el"]
+    few = langid.sample_of(d, 20).filter("lang = 'en'").count()
+    assert 5 <= few <= 45
+
+
 def test_probabilities_sum_to_one():
     import numpy as np
 
