@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("discovery", "insights", "library", "listening", "sessions", "texts")
+MODULES: tuple[str, ...] = ("badges", "details", "discovery", "insights", "library", "listening", "outlook", "recs", "sessions", "texts", "threads", "words")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

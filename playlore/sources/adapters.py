@@ -97,6 +97,16 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("release"), (F.col("o_custkey") % 1000).alias("artist"), F.to_date("o_orderdate").alias("released"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("kind"))
 
 
+def scene_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scene, label): regions as scenes."""
+    return _read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("scene"), F.concat(F.upper(F.substring("r_name", 1, 1)), F.lower(F.substring("r_name", 2, 100))).alias("label"))
+
+
+def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(track, hidden, valence): hand-made marks on lyrics, from the labels of texts."""
+    return _read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("track")).agg((F.max("toxic") == 1).alias("hidden"), F.max(F.when(F.col("quality") == 0, F.lit(-0.5))).alias("valence"))
+
+
 def lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track, lang, words, valence, mood, theme): texts as the lyrics of tracks, with moods of a fixed table."""
     d = _read(spark, sf_dir, "documents")
@@ -150,7 +160,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer")
 
 
-TABLES = {f.__name__: f for f in (plays, tracks, artists, liked, edges, artist_tags, releases, lyrics, stream_plays, rates, documents, embeddings, conversations, orders, customers)}
+TABLES = {f.__name__: f for f in (plays, tracks, artists, liked, edges, artist_tags, releases, lyrics, scene_names, overrides, stream_plays, rates, documents, embeddings, conversations, orders, customers)}
 
 _MINUTE = "((l_orderkey * 7 + l_linenumber * 131 + l_partkey) % 1440)"
 SQL = {
@@ -170,5 +180,7 @@ SQL = {
     "releases": "SELECT o_orderkey AS release, o_custkey % 1000 AS artist, o_orderdate::DATE AS released, lower(substr(o_orderpriority, 3, 20)) AS kind FROM orders",
     "lyrics": f"""SELECT doc_id AS track, lang, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}]{{3,}}'))) AS words, ((coalesce(n_chars, 0) * 37) % 201 - 100) / 100.0::DOUBLE AS valence,
   {list(MOODS)}[doc_id % {len(MOODS)} + 1] AS mood, {list(THEMES)}[coalesce(n_chars, 0) % {len(THEMES)} + 1] AS theme FROM documents""",
+    "scene_names": "SELECT r_regionkey::BIGINT AS scene, upper(r_name[1]) || lower(r_name[2:]) AS label FROM region",
+    "overrides": "SELECT doc_id AS track, max(toxic) = 1 AS hidden, max(CASE WHEN quality = 0 THEN -0.5::DOUBLE END) AS valence FROM labels GROUP BY doc_id",
     "rates": "SELECT o_custkey AS cust, o_orderdate::DATE AS valid_from, max(o_orderkey) AS rate FROM orders GROUP BY 1, 2",
 }
