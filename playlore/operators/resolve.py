@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlore.functions.config import Tuning
-from playlore.operators.joins import near_in_time
 from playlore.sources.ingest import PAYLOAD
 
 
@@ -22,9 +21,9 @@ def normalise(events: DataFrame, t: Tuning = Tuning()) -> DataFrame:
     """
     e = events.filter("event_type = 'play'").withColumn("p", F.from_json("payload", PAYLOAD)).select("owner", F.col("event_id").alias("play_id"), F.col("occurred_at").alias("raw_at"), "ingested_at", "p.*")
     polled = F.col("source") == "recently_played_poll"
-    w = Window.partitionBy("owner", "source").orderBy("raw_at", "play_id")
-    next_ms = F.when(polled, F.timestamp_diff("MILLISECOND", F.col("raw_at"), F.lead("raw_at").over(w)))
-    x = e.withColumn("_next", next_ms)
+    w = Window.partitionBy("owner").orderBy("raw_at", "play_id")
+    polls = e.filter(polled).withColumn("_next", F.timestamp_diff("MILLISECOND", F.col("raw_at"), F.lead("raw_at").over(w)))
+    x = e.filter(~polled | F.col("source").isNull()).withColumn("_next", F.lit(None).cast("long")).unionByName(polls)  # only polls are sorted
     cut = F.coalesce((F.col("_next") >= 0) & (F.col("_next") < F.col("ms_played")), F.lit(False))
     skip = cut & (F.col("_next") < F.col("ms_played") - t.poll_skip_slack_ms) & (F.col("_next") < t.poll_skip_ratio * F.col("ms_played"))
     x = x.withColumns({"_skip": skip, "ms_played": F.when(cut, F.col("_next")).otherwise(F.col("ms_played"))})
@@ -42,20 +41,32 @@ def normalise(events: DataFrame, t: Tuning = Tuning()) -> DataFrame:
 def supersede(plays: DataFrame) -> DataFrame:
     """Polls give way to exports, scrobbles to both.
 
-    A poll's stamp may be the start or the end, a scrobble may lack the id: each reading is an anti-join of its own.
+    A poll's stamp may be the start or the end, a scrobble may lack the id. Each play puts points in time under
+    the keys by which others look for it, and asks at its own; one shuffle of points answers all, and exports,
+    which always stay, don't move otherwise. A poll's times count double, so that one width serves all.
     """
-    p = plays.withColumns({"_start": F.when(F.col("source") == "extended_export", F.col("played_at_utc") - _ms(F.col("ms_played"))).otherwise(F.col("raw_at")), "_end": F.col("raw_at") + _ms(F.col("ms_played")), "_title": F.lower("track_name"), "_artist": F.lower("artist_name")})
-    export, poll, scrobble = (p.filter(F.col("source") == s) for s in ("extended_export", "recently_played_poll", "scrobble"))
-    by_id, by_name = ["owner", "spotify_track_id"], ["owner", "_title", "_artist"]
-    known = export.filter("spotify_track_id is not null")
-    poll = near_in_time(near_in_time(poll, known, by_id, "raw_at", "_start", 15), known, by_id, "raw_at", "played_at_utc", 15)
-    others = p.filter("source in ('extended_export', 'recently_played_poll')")
-    with_id, without = scrobble.filter("spotify_track_id is not null"), scrobble.filter("spotify_track_id is null")
-    for mine, theirs in (("raw_at", "_start"), ("_end", "raw_at")):
-        with_id = near_in_time(with_id, others, by_id, mine, theirs, 30)
-        without = near_in_time(without, others, by_name, mine, theirs, 30)
-    rest = p.filter("source is null or source not in ('recently_played_poll', 'scrobble')")
-    return rest.unionByName(poll).unionByName(with_id).unionByName(without).drop("_start", "_end", "_title", "_artist")
+    source = F.col("source")
+    export, poll, scrobble = (F.coalesce(source == s, F.lit(False)) for s in ("extended_export", "recently_played_poll", "scrobble"))
+    start = F.when(export, F.col("played_at_utc") - _ms(F.col("ms_played"))).otherwise(F.col("raw_at"))
+    end = F.col("raw_at") + _ms(F.col("ms_played"))
+    id_, title, artist, none = F.col("spotify_track_id"), F.lower("track_name"), F.lower("artist_name"), F.lit(None).cast("string")
+
+    def point(when: Column, kind: str, at: Column, asks: bool, by_name: bool = False) -> Column:
+        keys = (title, artist) if by_name else (id_, none)
+        held = when if by_name else when & id_.isNotNull()
+        times = 2 if kind == "poll" else 1
+        return F.when(held, F.struct(F.lit(kind).alias("kind"), keys[0].alias("a"), keys[1].alias("b"), (F.unix_micros(at.cast("timestamp")) * times).alias("t"), F.lit(asks).alias("asks")))
+
+    nameless = scrobble & id_.isNull()
+    points = [point(export, "poll", start, False), point(export, "poll", F.col("played_at_utc"), False), point(poll, "poll", F.col("raw_at"), True)]
+    for by_name, asking in ((False, scrobble), (True, nameless)):
+        mark = "name" if by_name else "id"
+        points += [point(export | poll, f"{mark} start", start, False, by_name), point(asking, f"{mark} start", F.col("raw_at"), True, by_name)]
+        points += [point(export | poll, f"{mark} end", F.col("raw_at"), False, by_name), point(asking, f"{mark} end", end, True, by_name)]
+    every = plays.select("owner", "play_id", F.explode(F.filter(F.array(*points), lambda x: x.isNotNull())).alias("p")).select("owner", "play_id", "p.*")
+    w = Window.partitionBy("owner", "kind", "a", "b").orderBy("t").rangeBetween(-30_000_000, 30_000_000)
+    gone = every.withColumn("near", F.max(F.when(~F.col("asks"), F.lit(1))).over(w)).filter("asks and near = 1").select("owner", "play_id").distinct()
+    return plays.filter(~(poll | scrobble)).unionByName(plays.filter(poll | scrobble).join(gone, ["owner", "play_id"], "left_anti"))
 
 
 def zones(plays: DataFrame, overrides: DataFrame, countries: DataFrame, home: str) -> DataFrame:

@@ -97,6 +97,30 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("release"), (F.col("o_custkey") % 1000).alias("artist"), F.to_date("o_orderdate").alias("released"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("kind"))
 
 
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log (owner, event_id, event_type, occurred_at, payload ...): every line item as an exported play, some also as a poll or a scrobble, at its start or some minutes later."""
+    li = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
+    minute = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131 + F.col("l_partkey")) % 1440
+    end = F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute.cast("int"))
+    ms, even, cents = F.floor(F.col("l_extendedprice") * 4).cast("long"), F.col("l_linenumber") % 2 == 0, F.round(F.col("l_discount") * 100).cast("int")
+    after = lambda near, far: end - F.make_dt_interval(secs=ms / 1000.0) + F.make_dt_interval(secs=F.when(even, float(near)).otherwise(float(far)))
+    key = F.concat((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))
+    named = li.select(
+        (F.col("l_orderkey") % OWNERS).cast("string").alias("owner"), key.alias("key"), end.alias("end"), after(3, 600).alias("polled"), after(10, 900).alias("scrobbled"), cents.alias("cents"), F.col("l_linenumber").alias("n"),
+        F.struct(
+            F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("spotify_track_id"), F.col("p_name").alias("track_name"), F.when(F.col("l_linenumber") == 7, F.concat(F.lit("ARTIST "), F.col("l_suppkey").cast("string"))).otherwise(F.concat(F.lit("Artist "), F.col("l_suppkey").cast("string"))).alias("artist_name"),
+            F.col("p_brand").alias("album_name"), ms.alias("ms_played"), F.when(F.col("l_returnflag") == "R", "fwdbtn").otherwise("trackdone").alias("end_reason"), F.when(F.col("l_orderkey") % 9 == 0, "JP").otherwise("GB").alias("country"),
+        ).alias("p"),
+    )
+
+    def part(rows: DataFrame, mark: str, source: str, at: str) -> DataFrame:
+        p = F.col("p").withField("source", F.lit(source))
+        p = p.withField("spotify_track_id", F.when(F.col("n") % 3 != 0, F.col("p.spotify_track_id"))) if source == "scrobble" else p
+        return rows.select("owner", F.concat(F.lit(mark), "key").alias("event_id"), F.lit("play").alias("event_type"), F.col(at).cast("timestamp").alias("occurred_at"), F.to_json(p).alias("payload"), F.col(at).cast("timestamp").alias("ingested_at"), F.lit(source).alias("source_file"))
+
+    return part(named, "x", "extended_export", "end").unionByName(part(named.filter("cents = 5"), "q", "recently_played_poll", "polled")).unionByName(part(named.filter("cents = 6"), "s", "scrobble", "scrobbled"))
+
+
 def scene_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scene, label): regions as scenes."""
     return _read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("scene"), F.concat(F.upper(F.substring("r_name", 1, 1)), F.lower(F.substring("r_name", 2, 100))).alias("label"))
@@ -160,7 +184,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer")
 
 
-TABLES = {f.__name__: f for f in (plays, tracks, artists, liked, edges, artist_tags, releases, lyrics, scene_names, overrides, stream_plays, rates, documents, embeddings, conversations, orders, customers)}
+TABLES = {f.__name__: f for f in (plays, tracks, artists, liked, edges, artist_tags, releases, lyrics, log, scene_names, overrides, stream_plays, rates, documents, embeddings, conversations, orders, customers)}
 
 _MINUTE = "((l_orderkey * 7 + l_linenumber * 131 + l_partkey) % 1440)"
 SQL = {
@@ -180,6 +204,11 @@ SQL = {
     "releases": "SELECT o_orderkey AS release, o_custkey % 1000 AS artist, o_orderdate::DATE AS released, lower(substr(o_orderpriority, 3, 20)) AS kind FROM orders",
     "lyrics": f"""SELECT doc_id AS track, lang, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}]{{3,}}'))) AS words, ((coalesce(n_chars, 0) * 37) % 201 - 100) / 100.0::DOUBLE AS valence,
   {list(MOODS)}[doc_id % {len(MOODS)} + 1] AS mood, {list(THEMES)}[coalesce(n_chars, 0) % {len(THEMES)} + 1] AS theme FROM documents""",
+    "log": f"""SELECT owner, mark || key AS event_id, source, CASE mark WHEN 'x' THEN ended ELSE ended - to_milliseconds(ms) + to_seconds(CASE WHEN n % 2 = 0 THEN near ELSE far END) END AS raw_at, CASE WHEN mark <> 's' OR n % 3 <> 0 THEN 't' || track END AS track_id,
+  p_name AS track_name, CASE WHEN n = 7 THEN 'ARTIST ' ELSE 'Artist ' END || artist AS artist_name, p_brand AS album_name, ms, end_reason, country
+  FROM (SELECT (l_orderkey % {OWNERS})::VARCHAR AS owner, (l_orderkey * 10 + l_linenumber)::VARCHAR || '-' || l_partkey AS key, l_shipdate + to_minutes({_MINUTE}) AS ended, l_linenumber AS n, l_partkey AS track, p_name, l_suppkey AS artist, p_brand, floor(l_extendedprice * 4)::BIGINT AS ms,
+    CASE WHEN l_returnflag = 'R' THEN 'fwdbtn' ELSE 'trackdone' END AS end_reason, CASE WHEN l_orderkey % 9 = 0 THEN 'JP' ELSE 'GB' END AS country, round(l_discount * 100)::INTEGER AS cents FROM lineitem JOIN part ON p_partkey = l_partkey),
+  (VALUES ('x', 'extended_export', -1, 0, 0), ('q', 'recently_played_poll', 5, 3, 600), ('s', 'scrobble', 6, 10, 900)) k(mark, source, c, near, far) WHERE c = -1 OR c = cents""",
     "scene_names": "SELECT r_regionkey::BIGINT AS scene, upper(r_name[1]) || lower(r_name[2:]) AS label FROM region",
     "overrides": "SELECT doc_id AS track, max(toxic) = 1 AS hidden, max(CASE WHEN quality = 0 THEN -0.5::DOUBLE END) AS valence FROM labels GROUP BY doc_id",
     "rates": "SELECT o_custkey AS cust, o_orderdate::DATE AS valid_from, max(o_orderkey) AS rate FROM orders GROUP BY 1, 2",

@@ -1,6 +1,7 @@
 """Joins, islands, vectors, words and scenes on small tables."""
 
 import math
+import random
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -29,11 +30,22 @@ def test_day_runs(spark):
     assert sorted(r.length for r in islands.day_runs(d, ["owner"]).collect()) == [1, 3]
 
 
-def test_thread_runs_need_floor_and_length(spark):
-    shares = [0.02, 0.1, 0.12, 0.09, 0.01, 0.2, 0.3]
-    w = spark.createDataFrame([("o", date(2025, 1, 6) + timedelta(weeks=i), s) for i, s in enumerate(shares)], "owner string, wk date, s double")
-    runs = islands.day_runs(w.filter("s >= 0.08"), ["owner"], "wk", 7).filter("length >= 3").collect()
-    assert [(r.start, r.length) for r in runs] == [(date(2025, 1, 13), 3)]
+def test_runs_of_weeks_need_a_floor_and_a_length(spark):
+    """Random weeks against a plain loop."""
+    rng = random.Random(11)
+    shares = [rng.random() for _ in range(80)]
+    first = date(2019, 2, 4)
+    w = spark.createDataFrame([("o", first + timedelta(weeks=i), s) for i, s in enumerate(shares)], "owner string, wk date, s double")
+    want, length = [], 0
+    for i, s in enumerate([*shares, 0.0]):
+        if s >= 0.4:
+            length += 1
+        else:
+            if length >= 4:
+                want.append((first + timedelta(weeks=i - length), length))
+            length = 0
+    runs = islands.day_runs(w.filter("s >= 0.4"), ["owner"], "wk", 7).filter("length >= 4").collect()
+    assert sorted((r.start, r.length) for r in runs) == want and want
 
 
 def test_cosines_and_entropy(spark):
@@ -44,25 +56,35 @@ def test_cosines_and_entropy(spark):
 
 
 def test_tf_idf_is_by_language(spark):
-    docs = [(i, "en", "river " * 5) for i in range(6)] + [(10, "tr", "gece " * 5 + "ev"), (11, "tr", "deniz"), (12, "tr", "dağlar")]
-    k = text.tf_idf(text.terms(spark.createDataFrame(docs, "id int, lang string, t string"), "id", F.col("t"), "lang"), "id", "lang")
-    assert {(r.term, r.score) for r in k.filter("id = 10").collect()} == {("gece", round(5 * math.log(3), 6))}
-    assert k.filter("term = 'river'").count() == 0
-    edits = spark.createDataFrame([(10, "gece", "hide"), (10, "ay", "add")], "id int, term string, action string")
-    assert [(r.term, r.score) for r in text.with_edits(k, edits, "id").filter("id = 10").collect()] == [("ay", 99.0)]
-
-
-def test_scenes(spark):
+    """Against the formula written out, on random words of two languages."""
+    rng = random.Random(12)
+    words = {"x": [f"xa{chr(97 + k)}" for k in range(20)], "y": [f"ya{chr(97 + k)}" for k in range(20)]}
+    docs = [(i, g, " ".join(rng.choices(words[g], k=6))) for i, g in enumerate(["x"] * 9 + ["y"] * 15)]
+    got = {(r.id, r.term): r.score for r in text.tf_idf(text.terms(spark.createDataFrame(docs, "id int, lang string, t string"), "id", F.col("t"), "lang"), "id", "lang").collect()}
+    for i, g, t in docs:
+        same = [set(u.split()) for _, h, u in docs if h == g]
+        for term in set(t.split()):
+            df = sum(term in s for s in same)
+            if df < 0.35 * len(same):
+                assert got[i, term] == round(t.split().count(term) * math.log(len(same) / df), 6)
+            else:
+                assert (i, term) not in got
+    k = spark.createDataFrame([(1, "kept", 5, 2.0, 1), (1, "hidden", 4, 1.0, 2)], "id int, term string, tf int, score double, rank int")
+    edits = spark.createDataFrame([(1, "hidden", "hide"), (1, "new", "add")], "id int, term string, action string")
+    assert {r.term for r in text.with_edits(k, edits, "id").filter("id = 1").collect()} == {"kept", "new"}
+
+
+def test_scenes_by_tags_then_origin_and_a_choice_over_both(spark):
     frame = spark.createDataFrame
-    tags = frame([("a", "molam", 0.9), ("b", "bebop", 0.8), ("e", "jazz", 0.2)], "artist_id string, tag string, weight double")
-    tag_map = frame([("molam", "thai-funk"), ("bebop", "jazz"), ("jazz", "jazz")], "tag string, scene string")
-    families = frame([("thai-funk", False), ("jazz", False), ("asia", False)], "scene string, hidden boolean")
-    origins = frame([("b", "TH"), ("c", "TH"), ("d", "TH")], "artist_id string, country string")
-    origin_map = frame([("TH", "asia")], "country string, scene string")
-    overrides = frame([("d", "jazz")], "artist_id string, scene string")
-    blocked = frame([], "artist_id string, tag string")
-    out = {r.artist_id: (r.scene, r.weight) for r in derive.scenes(tags, tag_map, families, origins, origin_map, overrides, blocked).collect()}
-    assert out == {"a": ("thai-funk", 0.9), "b": ("jazz", 0.8), "c": ("asia", 0.5), "d": ("jazz", 9.0)}
+    tags = frame([("p", "loud", 0.7), ("p", "fast", 0.2), ("q", "soft", 0.1), ("r", "loud", 0.9), ("u", "loud", 0.8)], "artist_id string, tag string, weight double")
+    tag_map = frame([("loud", "noise"), ("fast", "noise"), ("soft", "quiet")], "tag string, scene string")
+    families = frame([("noise", False), ("quiet", False), ("north", False), ("secret", True)], "scene string, hidden boolean")
+    origins = frame([("q", "NO"), ("r", "NO"), ("s", "SE")], "artist_id string, country string")
+    origin_map = frame([("NO", "north"), ("SE", "secret")], "country string, scene string")
+    chosen = frame([("r", "quiet")], "artist_id string, scene string")
+    blocked = frame([("u", "loud")], "artist_id string, tag string")
+    out = {(r.artist_id, r.scene): round(r.weight, 3) for r in derive.scenes(tags, tag_map, families, origins, origin_map, chosen, blocked).collect()}
+    assert out == {("p", "noise"): 0.9, ("q", "north"): 0.5, ("r", "quiet"): 9.0}
 
 
 def test_parameters_are_clamped_and_the_lens_reaches_the_scan(spark, tmp_path):

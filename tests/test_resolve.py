@@ -140,8 +140,9 @@ def test_scrobble_inbox(spark):
 
 
 def test_tags_and_weather(spark):
-    raw = spark.createDataFrame([("Hip_Hop",), ("seen live",), ("x" * 41,), ("Synth-Pop",)], "t string")
-    assert [r[0] for r in raw.select(ingest.tag(F.col("t"))).collect()] == ["hip-hop", None, None, "synthpop"]
+    cases = {"Hip_Hop": "hip-hop", "rap": "hip-hop", "seen live": None, "x" * 41: None, "é" * 21: None, "Synth-Pop": "synth-pop", "synthpop": "synth-pop", " Indie ": "indie rock", "1977": None, "80s": None, "british": None, "2 tone": "2 tone", "": None}
+    raw = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want string")
+    assert [r for r in raw.withColumn("got", ingest.tag(F.col("t"))).collect() if r.got != r.want] == []
     block = json.dumps({"time": ["2024-01-01", "2024-01-03"], "weather_code": [0, 61], "temperature_2m_max": [1.0, 2.0], "precipitation_sum": [0.0, 4.0]})
     d = ingest.daily_weather(spark.createDataFrame([("p", block)], "place string, block string"), "2024-01-02")
     assert [r.kind for r in d.orderBy("day").collect()] == ["observed", "forecast"]
