@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from playlore.functions.compat import arg_max, arg_min, dow0, share
 from playlore.functions.config import Tuning
-from playlore.operators.islands import change_runs, gap_sessions
-from playlore.operators.vectors import entropy
+from playlore.operators.islands import gap_sessions
 
 
 def adaptive_gap(t: Tuning) -> Column:
@@ -39,27 +38,28 @@ def sessionize(plays: DataFrame, t: Tuning) -> DataFrame:
     )
 
 
-def stuck_sessions(sessionized: DataFrame, t: Tuning) -> DataFrame:
-    """(owner, session, stuck_run): the most plays without interaction in one run of the same track."""
-    runs = change_runs(sessionized, ["owner", "session"], ["played_at", "play_id"], ~F.col("is_repeat"))
-    each = runs.groupBy("owner", "session", "run").agg(F.sum(F.when(~F.col("interaction"), 1).otherwise(0)).alias("n"))
-    return each.groupBy("owner", "session").agg(F.max("n").alias("stuck_run"))
+def marked(plays: DataFrame, t: Tuning) -> DataFrame:
+    """sessionized with is_first, the lengths of runs so far, counts and first places of artists and tracks, and attended.
 
-
-def unbroken(sessionized: DataFrame, broken: Column, name: str) -> DataFrame:
-    """The most plays that were not skipped in a run that nothing breaks."""
-    runs = change_runs(sessionized, ["owner", "session"], ["played_at", "play_id"], broken)
-    each = runs.groupBy("owner", "session", "run").agg(F.sum(F.when(~F.col("skipped"), 1).otherwise(0)).alias("n"))
-    return each.groupBy("owner", "session").agg(F.max("n").alias(name))
-
-
-def attended(sessionized: DataFrame, t: Tuning) -> DataFrame:
-    """sessionized with stuck_run and attended: something was done recently, and the session is no loop left running."""
-    return sessionized.join(stuck_sessions(sessionized, t), ["owner", "session"]).withColumn("attended", (F.col("idle_min") <= t.attention_gap_min) & (F.col("stuck_run") < t.stuck_repeat_plays))
+    Every window is within an owner, and sessionize has brought each owner together, so nothing is shuffled again.
+    A run's length so far is a running count less what it was before the run's first play.
+    """
+    s = Window.partitionBy("owner", "session")
+    upto = s.orderBy("played_at", "play_id").rowsBetween(Window.unboundedPreceding, 0)
+    lively, kept = (F.when(~F.col(c), 1).otherwise(0) for c in ("interaction", "skipped"))
+    runs = {"stuck_run": (~F.col("is_repeat"), lively), "unskipped_run": (F.col("skipped"), kept), "album_run": (F.col("album_changed"), kept)}
+    cut = sessionize(plays, t).withColumn("is_first", F.row_number().over(Window.partitionBy("owner", "track").orderBy("played_at", "play_id")) == 1)
+    cut = cut.withColumns({f"_{k}": F.sum(n).over(upto) for k, (_, n) in runs.items()})
+    cut = cut.withColumns({k: F.col(f"_{k}") - F.coalesce(F.last(F.when(broken, F.col(f"_{k}") - n), ignorenulls=True).over(upto), F.lit(0)) for k, (broken, n) in runs.items()})
+    for name in ("artist", "track"):
+        each = Window.partitionBy("owner", "session", name)
+        cut = cut.withColumns({f"new_{name}": F.row_number().over(each.orderBy("played_at", "play_id")) == 1, f"of_{name}": F.count(F.lit(1)).over(each)})
+    cut = cut.withColumn("stuck_run", F.max("stuck_run").over(s))
+    return cut.withColumn("attended", (F.col("idle_min") <= t.attention_gap_min) & (F.col("stuck_run") < t.stuck_repeat_plays))
 
 
 def measures(plays: DataFrame) -> DataFrame:
-    """One row for each session of plays, which attended() gives."""
+    """One row for each session of plays, which marked() gives."""
     third = F.ceil(F.col("size") / 3.0)
     first = [F.col("played_at"), F.col("play_id")]
     seconds = lambda a, b: F.round(F.timestamp_diff("MICROSECOND", a, b) / 1e6, 3)
@@ -69,8 +69,8 @@ def measures(plays: DataFrame) -> DataFrame:
         F.max("played_at").alias("end_at"),
         F.round(F.timestamp_diff("MICROSECOND", F.min("played_at"), F.max("played_at")) / 6e7, 4).alias("duration_min"),
         F.sum("ms").alias("ms"),
-        F.count_distinct("artist").alias("artists"),
-        F.count_distinct("track").alias("tracks"),
+        F.sum(F.col("new_artist").cast("long")).alias("artists"),
+        F.sum(F.col("new_track").cast("long")).alias("tracks"),
         F.sum(F.col("skipped").cast("long")).alias("skips"),
         share(F.col("skipped")).alias("skip_rate"),
         share(F.col("is_repeat")).alias("repeat_rate"),
@@ -83,6 +83,11 @@ def measures(plays: DataFrame) -> DataFrame:
         F.sum(F.col("interaction").cast("long")).alias("interactions"),
         F.sum(F.when(F.col("attended"), F.col("ms")).otherwise(0)).alias("attended_ms"),
         F.max("stuck_run").alias("stuck_run"),
+        F.max("unskipped_run").alias("unskipped_run"),
+        F.max("album_run").alias("album_run"),
+        F.round(-F.sum(F.log2(F.col("of_artist") / F.col("size")) / F.col("size")), 6).alias("entropy"),
+        F.round(F.max(F.col("of_artist") / F.col("size")), 6).alias("top_share"),
+        F.round(F.max(F.col("of_track") / F.col("size")), 6).alias("top_track_share"),
     )
 
 
@@ -108,12 +113,7 @@ def day_part(hour: Column) -> Column:
 
 def build(plays: DataFrame, t: Tuning = Tuning()) -> DataFrame:
     """All of a session: measures, runs, entropy, shape, time of day and attention."""
-    first = Window.partitionBy("owner", "track").orderBy("played_at", "play_id")
-    s = attended(sessionize(plays.withColumn("is_first", F.row_number().over(first) == 1), t), t)
-    keys = ["owner", "session"]
-    by_artist = s.groupBy(*keys, "artist").agg(F.count(F.lit(1)).alias("n"))
-    by_track = s.groupBy(*keys, "track").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.round(F.max("n") / F.sum("n"), 6).alias("top_track_share"))
-    joined = measures(s).join(entropy(by_artist, keys, "n"), keys).join(by_track, keys).join(unbroken(s, F.col("skipped"), "unskipped_run"), keys).join(unbroken(s, F.col("album_changed"), "album_run"), keys)
+    joined = measures(marked(plays, t))
     start = F.col("start_at")
     return joined.withColumns(
         {

@@ -56,8 +56,8 @@ def sessionized(plays: DataFrame) -> DataFrame:
 @C.query("p_session_runs", "stream_plays", sql=_CUT + "SELECT owner, session, stuck_run, unskipped_run, album_run FROM stuck JOIN unskipped USING (owner, session) JOIN albums USING (owner, session)")
 def session_runs(plays: DataFrame) -> DataFrame:
     """Stuck repeats, longest unbroken run, longest album run."""
-    s = op.sessionize(plays, STREAM)
-    return op.stuck_sessions(s, STREAM).join(op.unbroken(s, F.col("skipped"), "unskipped_run"), ["owner", "session"]).join(op.unbroken(s, F.col("album_changed"), "album_run"), ["owner", "session"])
+    return op.marked(plays, STREAM).groupBy("owner", "session").agg(*[F.max(c).alias(c) for c in ("stuck_run", "unskipped_run", "album_run")])
+
 
 
 _COLUMNS = "owner session plays duration_min ms artists tracks skips skip_rate repeat_rate novelty_rate opener closer first_third_skip rest_skip first_skip_s interactions attended_ms stuck_run entropy top_share top_track_share unskipped_run album_run shape late weekend day_part stuck attention".split()

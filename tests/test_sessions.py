@@ -40,7 +40,7 @@ def test_comfort_loop_needs_three_plays(spark):
 def test_attention_runs_out(spark):
     rows = [(0, "t0", "a", None, False, True)] + [(4 * i, f"t{i}", "a", None, False, False) for i in range(1, 30)]
     t = Tuning(attention_gap_min=60)
-    s = op.attended(op.sessionize(history(spark, rows), t), t).collect()
+    s = op.marked(history(spark, rows), t).collect()
     assert sum(r.attended for r in s) >= 15 and sum(not r.attended for r in s) > 0
     (r,) = built(spark, rows, attention_gap_min=60)
     assert r.attention in ("drifting", "unattended")
