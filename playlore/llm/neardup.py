@@ -8,7 +8,9 @@
 3. Tiles are the documents of one prefix shingle. A small tile gives its pairs of
    similar size. A large one gives a star around the document most of whose prefix
    lies in large tiles; once the links are known, only pairs of different components
-   are left, and the tile's blocks are compared by bitmaps, without listing pairs.
+   are left. For these a tile is cut into size bands: only a band with itself and its
+   neighbours can link, and of these only those that hold two components. Blocks of
+   two bands are compared by bitmaps, without listing pairs.
 4. A pair's bitmaps bound its overlap from above; pairs that pass are intersected exactly.
 5. Components come from the links by a distributed algorithm.
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playlore.llm.common import WORD, marked, read, stash
@@ -208,11 +210,14 @@ def _verified(percent: int):
 
 
 def _blocks(percent: int):
-    """Rows (centre, i, j, doc_id, n, component, bits) sorted by the first three -> pairs of different components that the bitmaps don't rule out."""
+    """Rows (centre, low, high, i, j, doc_id, n, band, component, bits) sorted by the first five -> pairs of different components that the bitmaps don't rule out.
 
-    def survivors(doc: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    low and high are the bands that meet: one band with itself, or two neighbours, of which only pairs across count.
+    """
+
+    def survivors(across: bool, doc: np.ndarray, n: np.ndarray, band: np.ndarray, component: np.ndarray, bits: list[bytes]) -> np.ndarray:
         order = np.argsort(n, kind="stable")
-        doc, n, component, bits = doc[order], n[order], component[order], [bits[i] for i in order]
+        doc, n, band, component, bits = doc[order], n[order], band[order], component[order], [bits[i] for i in order]
         widths, found, folded = np.array([len(b) for b in bits]), [], {}
         for w in np.unique(widths).tolist():  # a partner is at most as much larger as to be one width up
             first, last = np.searchsorted(widths, [w, 2 * w], side="left")[0], np.searchsorted(widths, 2 * w, side="right")
@@ -222,7 +227,7 @@ def _blocks(percent: int):
         for i in range(len(doc)):
             first, rows = folded[int(widths[i])]
             at = np.arange(i + 1, min(ends[i], first + len(rows)))
-            at = at[(component[at] != component[i]) & (doc[at] != doc[i])]
+            at = at[(component[at] != component[i]) & (doc[at] != doc[i]) & ((band[at] != band[i]) | (not across))]
             if len(at):
                 mine, other = rows[i - first], rows[at - first]
                 most = np.minimum(n[i] - np.bitwise_count(mine & ~other).sum(1, dtype=np.int64), n[at] - np.bitwise_count(other & ~mine).sum(1, dtype=np.int64))
@@ -231,19 +236,19 @@ def _blocks(percent: int):
         return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = None, ([], [], [], [])
+        held, rows = None, ([], [], [], [], [])
 
         def out() -> Iterator[pa.RecordBatch]:
             if len(rows[0]) > 1:
-                found = survivors(*[np.array(r) for r in rows[:3]], rows[3])
+                found = survivors(held[1] != held[2], *[np.array(r) for r in rows[:4]], rows[4])
                 if len(found):
                     yield _batch("a long, b long", found[:, 0], found[:, 1])
 
         for batch in batches:
-            for key, *row in zip(zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True), *[batch.column(k).to_pylist() for k in range(3, 7)], strict=True):
+            for key, *row in zip(zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True), *[batch.column(k).to_pylist() for k in range(5, 10)], strict=True):
                 if key != held:
                     yield from out()
-                    held, rows = key, ([], [], [], [])
+                    held, rows = key, ([], [], [], [], [])
                 for r, x in zip(rows, row, strict=True):
                     r.append(x)
         yield from out()
@@ -257,15 +262,40 @@ def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch("doc_id long, bits binary", batch.column(0).to_pylist(), [_bitmap(s, WIDE) for s in sets])
 
 
+def size_band(n, percent: int):
+    """Sets that reach the similarity are in one band of sizes or in neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(100.0 / percent + 1e-6))).cast("int")
+
+
 def _across(left: DataFrame, held: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of different components within the tiles of left (centre, doc_id, n, component), by blocks of about `block` documents: a task holds two blocks at most."""
+    """Pairs of different components within the tiles of left (centre, doc_id, n, component), by size bands and blocks of about `block` documents: a task holds two blocks at most."""
     bits = marked(held, left.select("doc_id")).filter("maybe").select("doc_id", "text").mapInArrow(_widened, "doc_id long, bits binary")
-    sizes = left.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = left.join(sizes, "centre").join(bits, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "n", "component", "bits")
+    banded = left.withColumn("band", size_band(F.col("n"), percent))
+    counts = banded.groupBy("centre", "band").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    w = Window.partitionBy("centre").orderBy("band")  # a row for each band: a few dozen
+    near = lambda step, c: F.when(F.abs(step("band").over(w) - F.col("band")) == 1, step(c).over(w))
+    met = counts.select("centre", "band", "lo", "hi", _dealt(F.col("c"), block).alias("blocks"), *[near(s, c).alias(f"{c}_{k}") for k, s in (("down", F.lag), ("up", F.lead)) for c in ("c", "lo", "hi")])
+    # a band of one component has nothing to compare within itself, nor two bands of the same one
+    one = lambda k: (F.col("lo") == F.col("hi")) & (F.col(f"lo_{k}") == F.col(f"hi_{k}")) & (F.col("lo") == F.col(f"lo_{k}"))
+    other = lambda k: F.when(F.col(f"c_{k}").isNotNull() & ~one(k), _dealt(F.col(f"c_{k}"), block)).otherwise(0)
+    met = met.select("centre", "band", "blocks", F.when(F.col("lo") < F.col("hi"), F.col("blocks")).otherwise(0).alias("own_blocks"), other("down").alias("down"), other("up").alias("up"))
+    placed = banded.join(met, ["centre", "band"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    b, own = F.col("band"), F.col("own")
+    key = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
+    each = lambda count, made: F.transform(F.filter(F.sequence(F.lit(-1), F.col(count) - 1), lambda x: x >= 0), made)
+    meets = F.concat(
+        each("own_blocks", lambda x: key(b, b, F.least(own, x), F.greatest(own, x))),
+        each("up", lambda x: key(b, b + 1, own, x)),
+        each("down", lambda x: key(b - 1, b, x, own)),
+    )
+    dealt = placed.withColumn("m", F.explode(meets)).join(bits, "doc_id").select("centre", "m.low", "m.high", "m.i", "m.j", "doc_id", "n", "band", "component", "bits")
+    keys = ["centre", "low", "high", "i", "j"]
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(_blocks(percent), "a long, b long").distinct()
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_blocks(percent), "a long, b long").distinct()
+
+
+def _dealt(count, block: int):
+    return F.ceil(count / block).cast("int")
 
 
 def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:

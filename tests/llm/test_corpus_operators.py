@@ -150,6 +150,20 @@ def test_licences(spark):
     assert (out[8].first_word, out[8].n_words) == (50_000, 50_002)
 
 
+def test_licence_edge_cases(spark):
+    rows = [*ODD, (9, "MIT License " * 20_000), (9, "MIT License " * 20_000), (10, "Redistribution and use in source and binary forms, with or without modification, are permitted")]
+    d = docs(spark, rows, "labels")
+    out = licenses.scan(d).collect()
+    assert len(out) == len(rows) and {r.n_base for r in out if r.doc_id == 9} == {20_000}
+    assert [r.labels for r in out if r.doc_id == 10] == ["bsd"] and all(r.labels == "" and r.first_word is None for r in out if r.text in (None, ""))
+    assert licenses.scan(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, label", [("in no event; neither the name of The Old University nor the names of its contributors may be used to endorse or promote products derived", "bsd-3-clause"), ("This is free and unencumbered software released into the public domain.", "unlicense"), ("To the extent possible under law, Jo Doe has waived all copyright and related or neighboring rights", "cc0"), ("either version 3 of the License, or (at your option) any later version", "gpl-3-or-later")])
+def test_signatures_of_licence_bodies(spark, text, label):
+    assert label in licenses.scan(docs(spark, [(1, text)])).first().labels.split(",")
+
+
 # ---- sharding ----
 
 
@@ -212,6 +226,14 @@ def test_quality_keeps_prose_with_a_phrase_or_a_separator(spark):
         assert out[i].kept and out[i].clean_text == (text if i < len(kept) else kept[0]), text
 
 
+def test_quality_edge_cases(spark):
+    d = docs(spark, [*ODD, ODD[0], ODD[0]], "clean_text")
+    out = quality.judge(d).collect()
+    assert len(out) == len(ODD) + 2 and all(not r.kept and r.n_words == 0 for r in out if not (r.text or "").strip())
+    assert len({(r.n_words, r.kept) for r in out if r.doc_id == 1}) == 1
+    assert quality.judge(d.limit(0)).count() == 0
+
+
 # ---- HTML ----
 
 PAGE = "page_id long, url string, html string"
@@ -383,6 +405,14 @@ def test_mixing(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_mixing_repeated_rows_null_texts_and_long_texts(spark):
+    rows = [(1, "a", "en", "s", 1)] * 4 + [(2, None, None, None, None), (None, "", "en", "s", 0), (3, "x " * 100_000, "en", "t", 5)]
+    d = spark.createDataFrame(rows, SCHEMA).withColumns({"copy": F.lit("clash"), "rate": F.lit("clash")})
+    out = mixing.mix(d, weights={"s": 1.0, "t": 1.0}, total=1000).collect()
+    assert len({sum(1 for r in out if r.doc_id == 1) % 4}) == 1 and sum(r.doc_id == 3 for r in out) > 300
+    assert all(r.text == "x " * 100_000 for r in out if r.doc_id == 3)
+
+
 def test_mixing_moves_whole_documents(spark, tmp_path):
     rows = [(i % 50, f"text {i}", "en", "s", 0) for i in range(400)]
     d = spark.createDataFrame(rows, SCHEMA)
@@ -437,6 +467,21 @@ def test_near_duplicates_match_brute_force(spark, seed):
     assert out == brute_components(rows)
 
 
+def test_near_duplicates_in_small_blocks_and_size_bands(spark, monkeypatch):
+    """One template in texts of many lengths, so that a large tile has several components, bands and blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(900)]
+    template = rng.choices(words, k=160)
+    rows = []
+    for k in range(150):
+        text = template[: rng.choice([60, 75, 95, 120, 160])]
+        rows.append((k, " ".join(text[: rng.choice([len(text), len(text) - rng.randrange(9)])] + rng.choices(words, k=rng.randrange(0, 14)))))
+    out = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), small=4).collect()}
+    want = brute_components(rows)
+    assert out == want and 3 < len(set(want.values())) < 140
+
+
 def test_near_duplicate_edge_cases(spark):
     out = neardup.near_duplicates(docs(spark, ODD, "component_id")).collect()
     assert len(out) == len(ODD)

@@ -43,3 +43,24 @@ def test_pipeline(spark, tmp_path):
 def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_each_stage_with_null_ids_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """Rows without an id stay apart, repeated rows are one document, and columns beyond those of documents are left behind."""
+    line = lambda k: " ".join(f"word{k}x{i}" for i in range(15)) + "."
+    rows = [(i, "\n".join(line(5 * i + j) for j in range(5)), "en", "s", 1) for i in range(6)]
+    rows += [rows[0], rows[0], (None, "\n".join(line(100 + j) for j in range(5)), None, None, None), (None, None, "en", "s", 0), (7, "", "en", "s", 0), (8, "long " + " ".join(f"w{i}" for i in range(40_000)) + ".", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("clean_text", "kept", "row_key", "component_id", "maybe", "copy", "rate", "piece", "n"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert tuple(out.columns) == cp.COLUMNS, name
+        got = out.collect()
+        if name != "mixing sources to target weights":
+            assert {r.doc_id for r in got} >= {0, 1, 2, 3, 4, 5, 8}, name
+            assert sum(r.doc_id is None and r.text is not None for r in got) == 1, name
+        if name == "n-gram Jaccard join":
+            assert sum(r.doc_id == 0 for r in got) == 1
+    pieces = cp.packing_stage(spark, docs, str(tmp_path)).collect()
+    assert sum(r.doc_id == 0 for r in pieces) == 3 and sum(r.length for r in pieces if r.doc_id == 7) == 1
