@@ -113,12 +113,14 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("p"),
     )
 
-    def part(rows: DataFrame, mark: str, source: str, at: str) -> DataFrame:
+    def event(mark: str, source: str, at: str, held) -> object:
         p = F.col("p").withField("source", F.lit(source))
         p = p.withField("spotify_track_id", F.when(F.col("n") % 3 != 0, F.col("p.spotify_track_id"))) if source == "scrobble" else p
-        return rows.select("owner", F.concat(F.lit(mark), "key").alias("event_id"), F.lit("play").alias("event_type"), F.col(at).cast("timestamp").alias("occurred_at"), F.to_json(p).alias("payload"), F.col(at).cast("timestamp").alias("ingested_at"), F.lit(source).alias("source_file"))
+        return F.when(held, F.struct(F.concat(F.lit(mark), "key").alias("event_id"), F.col(at).cast("timestamp").alias("occurred_at"), F.to_json(p).alias("payload"), F.lit(source).alias("source_file")))
 
-    return part(named, "x", "extended_export", "end").unionByName(part(named.filter("cents = 5"), "q", "recently_played_poll", "polled")).unionByName(part(named.filter("cents = 6"), "s", "scrobble", "scrobbled"))
+    events = F.array(event("x", "extended_export", "end", F.lit(True)), event("q", "recently_played_poll", "polled", F.col("cents") == 5), event("s", "scrobble", "scrobbled", F.col("cents") == 6))
+    each = named.select("owner", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"))
+    return each.select("owner", "e.event_id", F.lit("play").alias("event_type"), "e.occurred_at", "e.payload", F.col("e.occurred_at").alias("ingested_at"), "e.source_file")
 
 
 def scene_names(spark: SparkSession, sf_dir: str) -> DataFrame:
