@@ -26,18 +26,30 @@ def _retexted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and so do rejected documents."""
+    """Failing lines go, and so do rejected documents.
+
+    Texts that are null, empty or without words are rejected, whatever else the row holds; repeated rows are judged alike and
+    all stay or go; an empty table stays empty; columns beyond those of documents are left behind, whatever their names.
+    """
     return _retexted(judge(docs.select(*COLUMNS)).filter("kept"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; a document that has no word left after that goes too."""
+    """Later repeated runs of lines go; a document that has no word left after that goes too.
+
+    Rows of one id and text count as one document, and each stays; null ids come first in the order of ids; a null or empty
+    text loses nothing and stays; an empty table stays empty; columns beyond those of documents are left behind.
+    """
     left = dedup_lines(docs.select(*COLUMNS)).filter(F.col("clean_text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed") == 0))
     return _retexted(left)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays; rows without an id stay."""
+    """Of each group of near-duplicates the document of the least id stays; rows without an id stay.
+
+    Of rows with one id, which are one node, the one of the least text hash stays; texts that are null or empty link with nothing
+    and stay; an empty table stays empty; columns beyond those of documents are left behind.
+    """
     docs = docs.select(*COLUMNS)
     found = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
     odd = stash(found.filter("doc_id <> component_id or rows > 1"), "not-alone")  # few; all other rows stay where they are
@@ -49,10 +61,20 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its draw says, in an order by hash.
+
+    A null source is a source of its own; rows without an id are drawn by that; repeated rows draw alike; null and empty texts
+    are repeated like others; an empty table stays empty; columns beyond those of documents are left behind.
+    """
     return mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its place in a sequence.
+
+    A null or empty text is the end mark alone; repeated rows and rows without an id are packed each; very long texts are cut
+    into whole sequences and a rest; an empty table gives no pieces.
+    """
     return pack_documents(docs)
 
 
