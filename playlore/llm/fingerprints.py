@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playlore.llm.common import let, read, row_key
+from playlore.llm.common import let, read, row_key, stash
 
 #: Production parameters: the band, as shares of documents that have a term.
 LEAST_SHARE, MOST_SHARE = 0.002, 0.25
@@ -53,6 +53,7 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, mos
 
 def lookup(lex: DataFrame) -> Column:
     """The lexicon as a literal, an array of buckets, so that a look-up costs the same for any size. Its bound is that of the lexicon."""
+    lex = stash(lex, "lexicon")  # counted and collected, from texts read once
     if (n := lex.count()) > MOST_TERMS:
         raise ValueError(f"{n} terms are too many for a look-up table: narrow the band")
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("long")
