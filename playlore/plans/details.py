@@ -17,7 +17,10 @@ QUERIES, ORACLE = C.queries, C.oracle
 ALL = Lens()
 H = "3600000.0::DOUBLE"
 TODAY = "2001-06-01"
-N = F.count(F.lit(1))
+
+
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def joined(parts: Column, n: int) -> Column:
@@ -36,9 +39,9 @@ FROM plays JOIN ts USING (owner, artist) JOIN al USING (owner, artist) WHERE att
 def artist_detail(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     """Totals, best songs and best albums of each artist."""
     p = ALL.plays(plays)
-    t = p.groupBy("owner", "artist", "track").agg(N.alias("n")).groupBy("owner", "artist").agg(joined(best("n", "track"), 5).alias("top_tracks"))
-    a = p.join(tracks.select("track", "album"), "track").groupBy("owner", "artist", "album").agg(N.alias("n")).groupBy("owner", "artist").agg(joined(best("n", "album"), 3).alias("top_albums"))
-    n = p.groupBy("owner", "artist").agg(N.alias("plays"), hours(F.sum("ms")).alias("hours"), F.count_distinct("day").alias("days"), text(F.min("day")).alias("first_day"), text(F.max("day")).alias("last_day"), (F.count("hour") > 0).alias("heard"))
+    t = p.groupBy("owner", "artist", "track").agg(rows().alias("n")).groupBy("owner", "artist").agg(joined(best("n", "track"), 5).alias("top_tracks"))
+    a = p.join(tracks.select("track", "album"), "track").groupBy("owner", "artist", "album").agg(rows().alias("n")).groupBy("owner", "artist").agg(joined(best("n", "album"), 3).alias("top_albums"))
+    n = p.groupBy("owner", "artist").agg(rows().alias("plays"), hours(F.sum("ms")).alias("hours"), F.count_distinct("day").alias("days"), text(F.min("day")).alias("first_day"), text(F.max("day")).alias("last_day"), (F.count("hour") > 0).alias("heard"))
     return n.join(t, ["owner", "artist"]).join(a, ["owner", "artist"])
 
 
@@ -46,7 +49,7 @@ def artist_detail(plays: DataFrame, tracks: DataFrame) -> DataFrame:
 SELECT owner, track, name, album, plays, hours, skip_rate, strftime(f, '%Y-%m-%d') AS first_day, strftime(l, '%Y-%m-%d') AS last_day, median_ms, round(median_ms / duration_ms, 6) AS completion FROM d JOIN tracks USING (track)""")
 def track_detail(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     """Totals of each song, and how far it is usually heard."""
-    d = ALL.plays(plays).groupBy("owner", "track").agg(N.alias("plays"), hours(F.sum("ms")).alias("hours"), share(F.col("skipped")).alias("skip_rate"), text(F.min("day")).alias("first_day"), text(F.max("day")).alias("last_day"), F.median("ms").alias("median_ms"))
+    d = ALL.plays(plays).groupBy("owner", "track").agg(rows().alias("plays"), hours(F.sum("ms")).alias("hours"), share(F.col("skipped")).alias("skip_rate"), text(F.min("day")).alias("first_day"), text(F.max("day")).alias("last_day"), F.median("ms").alias("median_ms"))
     t = d.join(tracks.select("track", "name", "album", "duration_ms"), "track")
     return t.withColumn("completion", F.round(F.col("median_ms") / F.col("duration_ms"), 6)).drop("duration_ms")
 
@@ -78,7 +81,7 @@ def span_tracks(plays: DataFrame) -> DataFrame:
 @C.query("f_span_deep_cuts", "plays", sql="SELECT owner, year(day)::INTEGER AS year, track, (row_number() OVER (PARTITION BY owner, year(day) ORDER BY count(*) DESC, sum(ms) DESC, track))::INTEGER AS rank FROM plays WHERE attended GROUP BY owner, year(day), track QUALIFY row_number() OVER (PARTITION BY owner, year(day) ORDER BY count(*) DESC, sum(ms) DESC, track) BETWEEN 11 AND 30")
 def span_deep_cuts(plays: DataFrame) -> DataFrame:
     """What was played much in a year behind its ten favourites."""
-    n = ALL.plays(plays).groupBy("owner", F.year("day").alias("year"), "track").agg(N.alias("n"), F.sum("ms").alias("ms"))
+    n = ALL.plays(plays).groupBy("owner", F.year("day").alias("year"), "track").agg(rows().alias("n"), F.sum("ms").alias("ms"))
     return top_by(n, ["owner", "year"], 30, F.desc("n"), F.desc("ms"), F.col("track")).filter("rank > 10").select("owner", "year", "track", "rank")
 
 
@@ -92,7 +95,7 @@ def scene_tracks(plays: DataFrame, artists: DataFrame) -> DataFrame:
 @C.query("f_album_tracks", "plays", "tracks", sql="SELECT owner, album, track, count(*) AS plays, avg(skipped::INT) AS skip_rate, (row_number() OVER (PARTITION BY owner, album ORDER BY release_year, track))::INTEGER AS position FROM plays JOIN tracks USING (track) WHERE attended GROUP BY owner, album, track, release_year")
 def album_tracks(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     """Each album's heard songs in its order."""
-    n = ALL.plays(plays).join(tracks.select("track", "album", "release_year"), "track").groupBy("owner", "album", "track", "release_year").agg(N.alias("plays"), share(F.col("skipped")).alias("skip_rate"))
+    n = ALL.plays(plays).join(tracks.select("track", "album", "release_year"), "track").groupBy("owner", "album", "track", "release_year").agg(rows().alias("plays"), share(F.col("skipped")).alias("skip_rate"))
     return n.withColumn("position", F.row_number().over(Window.partitionBy("owner", "album").orderBy("release_year", "track"))).drop("release_year")
 
 
@@ -100,13 +103,13 @@ _SHELF = f"sh AS (SELECT owner, album, artist, sum(ms)::BIGINT AS ms, count(*) A
 
 
 def shelf(plays: DataFrame, tracks: DataFrame) -> DataFrame:
-    return ALL.plays(plays).join(tracks.select("track", "album", "release_year"), "track").groupBy("owner", "album", "artist").agg(F.sum("ms").alias("ms"), N.alias("plays"), F.min("release_year").alias("year"))
+    return ALL.plays(plays).join(tracks.select("track", "album", "release_year"), "track").groupBy("owner", "album", "artist").agg(F.sum("ms").alias("ms"), rows().alias("plays"), F.min("release_year").alias("year"))
 
 
 @C.query("f_crate_sections", "plays", "tracks", sql=_SHELF + f" SELECT owner, (year // 10 * 10)::INTEGER AS section, count(*) AS records, sum(ms) / {H} AS hours FROM sh GROUP BY ALL")
 def crate_sections(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     """Sections of the shelf, here decades."""
-    return shelf(plays, tracks).groupBy("owner", (F.floor(F.col("year") / 10) * 10).cast("int").alias("section")).agg(N.alias("records"), hours(F.sum("ms")).alias("hours"))
+    return shelf(plays, tracks).groupBy("owner", (F.floor(F.col("year") / 10) * 10).cast("int").alias("section")).agg(rows().alias("records"), hours(F.sum("ms")).alias("hours"))
 
 
 @C.query("f_crate_summary", "plays", "tracks", "artists", sql=_SHELF + " SELECT owner, count(*) AS records, count(*) FILTER (plays >= 5) AS worn, count(*) FILTER (plays = 1) AS barely_opened, arg_min(artist, (listeners, artist, album)) AS rarest_artist, arg_min(album, (listeners, artist, album)) AS rarest_album FROM sh JOIN artists USING (artist) GROUP BY owner")
@@ -114,7 +117,7 @@ def crate_summary(plays: DataFrame, tracks: DataFrame, artists: DataFrame) -> Da
     """How large the shelf is, and its rarest record."""
     s = shelf(plays, tracks).join(artists.select("artist", "listeners"), "artist")
     rarest = lambda c: F.min_by(c, F.struct("listeners", "artist", "album"))
-    return s.groupBy("owner").agg(N.alias("records"), F.count_if(F.col("plays") >= 5).alias("worn"), F.count_if(F.col("plays") == 1).alias("barely_opened"), rarest("artist").alias("rarest_artist"), rarest("album").alias("rarest_album"))
+    return s.groupBy("owner").agg(rows().alias("records"), F.count_if(F.col("plays") >= 5).alias("worn"), F.count_if(F.col("plays") == 1).alias("barely_opened"), rarest("artist").alias("rarest_artist"), rarest("album").alias("rarest_album"))
 
 
 @C.query("f_popularity_trajectory", "plays", sql="m AS (SELECT artist, date_trunc('month', day)::DATE AS m, count(DISTINCT owner) AS listeners FROM plays WHERE attended GROUP BY ALL) SELECT artist, strftime(m, '%Y-%m-%d') AS month, listeners, listeners - lag(listeners) OVER (PARTITION BY artist ORDER BY m) AS change FROM m")
@@ -138,7 +141,7 @@ _LIKED = "lk AS (SELECT l.owner, l.track, l.added, coalesce(n, 0) AS n, coalesce
 
 
 def liked_use(liked: DataFrame, plays: DataFrame) -> DataFrame:
-    u = ALL.plays(plays).groupBy("owner", "track").agg(N.alias("n"), F.sum("ms").alias("ms"))
+    u = ALL.plays(plays).groupBy("owner", "track").agg(rows().alias("n"), F.sum("ms").alias("ms"))
     return liked.join(u, ["owner", "track"], "left").fillna(0, ["n", "ms"])
 
 
@@ -146,14 +149,14 @@ def liked_use(liked: DataFrame, plays: DataFrame) -> DataFrame:
 def liked_artists(liked: DataFrame, plays: DataFrame) -> DataFrame:
     """Liked songs by artist."""
     a = ALL.plays(plays).select("owner", "artist", "track").distinct()
-    n = liked_use(liked, plays).join(a, ["owner", "track"]).groupBy("owner", "artist").agg(N.alias("liked"), F.sum("n").alias("plays"))
+    n = liked_use(liked, plays).join(a, ["owner", "track"]).groupBy("owner", "artist").agg(rows().alias("liked"), F.sum("n").alias("plays"))
     return top_by(n, ["owner"], 100, F.desc("liked"), F.desc("plays"), F.col("artist")).drop("rank")
 
 
 @C.query("f_liked_albums", "liked", "plays", "tracks", sql=_LIKED + " SELECT owner, album, count(*) AS liked, sum(n)::BIGINT AS plays FROM lk JOIN tracks USING (track) GROUP BY owner, album QUALIFY row_number() OVER (PARTITION BY owner ORDER BY count(*) DESC, sum(n) DESC, album) <= 100")
 def liked_albums(liked: DataFrame, plays: DataFrame, tracks: DataFrame) -> DataFrame:
     """Liked songs by album."""
-    n = liked_use(liked, plays).join(tracks.select("track", "album"), "track").groupBy("owner", "album").agg(N.alias("liked"), F.sum("n").alias("plays"))
+    n = liked_use(liked, plays).join(tracks.select("track", "album"), "track").groupBy("owner", "album").agg(rows().alias("liked"), F.sum("n").alias("plays"))
     return top_by(n, ["owner"], 100, F.desc("liked"), F.desc("plays"), F.col("album")).drop("rank")
 
 
@@ -163,7 +166,7 @@ def liked_facets(liked: DataFrame, tracks: DataFrame) -> DataFrame:
     j = liked.join(tracks.select("track", "tag", "release_year"), "track")
     facet = lambda name, v: F.struct(F.lit(name).alias("facet"), v.cast("string").alias("value"))
     every = F.array(facet("tag", F.col("tag")), facet("decade", (F.floor(F.col("release_year") / 10) * 10).cast("int")), facet("year added", F.year("added")))
-    return j.select("owner", F.explode(every).alias("f")).groupBy("owner", "f.facet", "f.value").agg(N.alias("n"))
+    return j.select("owner", F.explode(every).alias("f")).groupBy("owner", "f.facet", "f.value").agg(rows().alias("n"))
 
 
 _MARKS = "ms AS (SELECT owner, 'artist' AS kind, artist AS id, day, rn AS value FROM (SELECT owner, artist, day, row_number() OVER (PARTITION BY owner, artist ORDER BY day, play_id) AS rn FROM plays WHERE attended) WHERE rn IN (10, 50, 100, 500))"
@@ -188,7 +191,7 @@ def country_artists(plays: DataFrame, artists: DataFrame) -> DataFrame:
 @C.query("f_home_country", "plays", "artists", sql="SELECT owner, arg_max(country, (n, country)) AS home, max(n) AS plays FROM (SELECT owner, country, count(*) AS n FROM plays JOIN artists USING (artist) WHERE attended GROUP BY ALL) GROUP BY owner")
 def home_country(plays: DataFrame, artists: DataFrame) -> DataFrame:
     """Where most of what is heard comes from, in place of a setting (F148)."""
-    n = ALL.plays(plays).join(artists.select("artist", "country"), "artist").groupBy("owner", "country").agg(N.alias("n"))
+    n = ALL.plays(plays).join(artists.select("artist", "country"), "artist").groupBy("owner", "country").agg(rows().alias("n"))
     return n.groupBy("owner").agg(arg_max(F.col("country"), F.col("n"), F.col("country")).alias("home"), F.max("n").alias("plays"))
 
 
@@ -201,9 +204,9 @@ def wild_recent(plays: DataFrame) -> DataFrame:
 @C.query("f_wild_by_day", "stream_plays", sql="SELECT strftime(played_at, '%Y-%m-%d') AS day, count(*) AS captures, count(DISTINCT track) AS songs, array_to_string(list_sort(list(DISTINCT track))[1:5], ',') AS first_songs FROM stream_plays WHERE platform = 'view' GROUP BY 1")
 def wild_by_day(plays: DataFrame) -> DataFrame:
     """What was captured on each day (F141)."""
-    w = plays.filter("platform = 'view'").select(text(F.col("played_at")).alias("day"), "track").groupBy("day", "track").agg(N.alias("n"))
+    w = plays.filter("platform = 'view'").select(text(F.col("played_at")).alias("day"), "track").groupBy("day", "track").agg(rows().alias("n"))
     some = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("track")), 1, 5), lambda x: x.cast("string")), ",")
-    return w.groupBy("day").agg(F.sum("n").alias("captures"), N.alias("songs"), some.alias("first_songs"))
+    return w.groupBy("day").agg(F.sum("n").alias("captures"), rows().alias("songs"), some.alias("first_songs"))
 
 
 @C.query("f_week_extras", "plays", "tracks", "artists", sql=f"""w AS (SELECT owner, date_trunc('week', day)::DATE AS wk, * EXCLUDE (owner) FROM plays JOIN tracks USING (track) JOIN artists USING (artist) WHERE attended),
@@ -213,9 +216,9 @@ SELECT owner, strftime(wk, '%Y-%m-%d') AS week, count(*) AS plays, sum(round(bpm
 def week_extras(plays: DataFrame, tracks: DataFrame, artists: DataFrame) -> DataFrame:
     """What each week was about (F160)."""
     w = ALL.plays(plays).withColumn("wk", week(F.col("day"))).join(tracks.select("track", "bpm", "energy"), "track").join(artists.select("artist", "scene"), "artist")
-    top = lambda key, name: w.groupBy("owner", "wk", key).agg(N.alias("n")).groupBy("owner", "wk").agg(arg_max(F.col(key), F.col("n"), -F.col(key)).alias(name))
-    mean = lambda c, times: (F.sum(F.round(F.col(c) * times).cast("long")).cast("double") / N / times).alias(c)
-    total = w.groupBy("owner", "wk").agg(N.alias("plays"), mean("bpm", 1000), mean("energy", 1_000_000))
+    top = lambda key, name: w.groupBy("owner", "wk", key).agg(rows().alias("n")).groupBy("owner", "wk").agg(arg_max(F.col(key), F.col("n"), -F.col(key)).alias(name))
+    mean = lambda c, times: (F.sum(F.round(F.col(c) * times).cast("long")).cast("double") / rows() / times).alias(c)
+    total = w.groupBy("owner", "wk").agg(rows().alias("plays"), mean("bpm", 1000), mean("energy", 1_000_000))
     every = total.join(top("artist", "top_artist"), ["owner", "wk"]).join(top("track", "top_song"), ["owner", "wk"]).join(top("scene", "top_scene"), ["owner", "wk"])
     return every.withColumn("week", text(F.col("wk"))).drop("wk")
 
@@ -223,7 +226,7 @@ def week_extras(plays: DataFrame, tracks: DataFrame, artists: DataFrame) -> Data
 @C.query("f_travel", "plays", "artists", sql="SELECT owner, platform, count(*) AS plays, count(DISTINCT country) AS countries, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day FROM plays JOIN artists USING (artist) GROUP BY ALL")
 def travel(plays: DataFrame, artists: DataFrame) -> DataFrame:
     """Where and by what a listener listened."""
-    return plays.join(artists.select("artist", "country"), "artist").groupBy("owner", "platform").agg(N.alias("plays"), F.count_distinct("country").alias("countries"), text(F.min("day")).alias("first_day"), text(F.max("day")).alias("last_day"))
+    return plays.join(artists.select("artist", "country"), "artist").groupBy("owner", "platform").agg(rows().alias("plays"), F.count_distinct("country").alias("countries"), text(F.min("day")).alias("first_day"), text(F.max("day")).alias("last_day"))
 
 
 #: A scene vocabulary: the tags that are filed, by family; generic tags are no scene.
@@ -247,41 +250,41 @@ def scene_tags(plays: DataFrame, artist_tags: DataFrame) -> DataFrame:
     """The tags of each family and how much they are heard (F179)."""
     h = ALL.plays(plays).groupBy("artist").agg(F.sum("ms").alias("ms"))
     t = artist_tags.withColumn("family", family(F.col("tag"))).filter("family is not null").join(h, "artist", "left")
-    return t.groupBy("family", "tag").agg(N.alias("artists"), hours(F.sum(F.coalesce("ms", F.lit(0)))).alias("hours"))
+    return t.groupBy("family", "tag").agg(rows().alias("artists"), hours(F.sum(F.coalesce("ms", F.lit(0)))).alias("hours"))
 
 
 @C.query("f_unmapped_tags", "artist_tags", sql=f"SELECT tag, count(*) AS artists, max(weight) AS weight FROM artist_tags WHERE {_FAMILY} IS NULL AND tag NOT IN ('standard', 'economy') AND NOT regexp_matches(tag, '^[0-9]{{4}}s?$') GROUP BY tag")
 def unmapped_tags(artist_tags: DataFrame, generic: tuple[str, ...] = ("standard", "economy")) -> DataFrame:
     """Tags not filed yet, but for generic ones and years (F180)."""
     left = artist_tags.filter(family(F.col("tag")).isNull() & ~F.col("tag").isin(*generic) & ~F.col("tag").rlike("^[0-9]{4}s?$"))
-    return left.groupBy("tag").agg(N.alias("artists"), F.max("weight").alias("weight"))
+    return left.groupBy("tag").agg(rows().alias("artists"), F.max("weight").alias("weight"))
 
 
 @C.query("f_scene_origins", "artists", "artist_tags", sql=f"f AS (SELECT DISTINCT artist FROM artist_tags WHERE {_FAMILY} IS NOT NULL) SELECT country, scene, count(*) AS artists, count(*) FILTER (NOT EXISTS (SELECT 1 FROM f WHERE f.artist = a.artist)) AS by_origin FROM artists a GROUP BY ALL")
 def scene_origins(artists: DataFrame, artist_tags: DataFrame) -> DataFrame:
     """Scenes by country, and for how many artists only that tells the scene (F181)."""
     filed = artist_tags.filter(family(F.col("tag")).isNotNull()).select("artist").distinct().withColumn("filed", F.lit(1))
-    return artists.join(filed, "artist", "left").groupBy("country", "scene").agg(N.alias("artists"), F.count_if(F.col("filed").isNull()).alias("by_origin"))
+    return artists.join(filed, "artist", "left").groupBy("country", "scene").agg(rows().alias("artists"), F.count_if(F.col("filed").isNull()).alias("by_origin"))
 
 
 @C.query("f_unmapped_origins", "artists", sql="SELECT country, count(*) AS artists FROM artists WHERE scene NOT IN (0, 1, 2) GROUP BY country")
 def unmapped_origins(artists: DataFrame, mapped: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """Countries without a scene of their own (F182)."""
-    return artists.filter(~F.col("scene").isin(*mapped)).groupBy("country").agg(N.alias("artists"))
+    return artists.filter(~F.col("scene").isin(*mapped)).groupBy("country").agg(rows().alias("artists"))
 
 
 @C.query("f_artist_meta", "artists", "artist_tags", "releases", sql="t AS (SELECT artist, array_to_string(list(tag ORDER BY weight DESC, tag)[1:5], ', ') AS tags FROM artist_tags GROUP BY 1), r AS (SELECT artist, count(*) AS releases, max(released) AS d FROM releases GROUP BY 1) SELECT artist, artist_name, country, listeners, tags, coalesce(releases, 0) AS releases, strftime(d, '%Y-%m-%d') AS last_release FROM artists LEFT JOIN t USING (artist) LEFT JOIN r USING (artist)")
 def artist_meta(artists: DataFrame, artist_tags: DataFrame, releases: DataFrame) -> DataFrame:
     """All that is known of each artist (F183)."""
     t = artist_tags.groupBy("artist").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "tag"))), 1, 5), lambda x: x["tag"]), ", ").alias("tags"))
-    r = releases.groupBy("artist").agg(N.alias("releases"), text(F.max("released")).alias("last_release"))
+    r = releases.groupBy("artist").agg(rows().alias("releases"), text(F.max("released")).alias("last_release"))
     return artists.join(t, "artist", "left").join(r, "artist", "left").select("artist", "artist_name", "country", "listeners", "tags", F.coalesce("releases", F.lit(0)).alias("releases"), "last_release")
 
 
 @C.query("f_album_meta", "tracks", sql="SELECT album, count(*) AS songs, min(release_year) AS first_year, max(release_year) AS last_year, sum(duration_ms)::BIGINT AS ms, count(*) FILTER (explicit) AS explicit, array_to_string(list_sort(list(DISTINCT tag)), ', ') AS tags FROM tracks GROUP BY album")
 def album_meta(tracks: DataFrame) -> DataFrame:
     """All that is known of each album (F184)."""
-    return tracks.groupBy("album").agg(N.alias("songs"), F.min("release_year").alias("first_year"), F.max("release_year").alias("last_year"), F.sum("duration_ms").alias("ms"), F.count_if("explicit").alias("explicit"), F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("tags"))
+    return tracks.groupBy("album").agg(rows().alias("songs"), F.min("release_year").alias("first_year"), F.max("release_year").alias("last_year"), F.sum("duration_ms").alias("ms"), F.count_if("explicit").alias("explicit"), F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("tags"))
 
 
 @C.query("f_track_meta", "tracks", "lyrics", sql="SELECT track, name, album, tag, release_year, bpm, energy, key_number::VARCHAR || key_mode AS key, lang, mood, theme, len(words)::INTEGER AS words FROM tracks LEFT JOIN lyrics USING (track)")
@@ -304,9 +307,9 @@ s AS (SELECT owner, list, CASE WHEN n IS NULL THEN 0 WHEN sr > 0.5 THEN 1 WHEN n
 def playlist_affinity(plays: DataFrame, artists: DataFrame) -> DataFrame:
     """How well a list fits its owner: the mean of five tiers of its items (V8)."""
     l = plays.select("owner", F.col("artist").alias("list"), "track").distinct()  # noqa: E741
-    u = ALL.plays(plays).groupBy("owner", "track").agg(N.alias("n"), share(F.col("skipped")).alias("sr"))
+    u = ALL.plays(plays).groupBy("owner", "track").agg(rows().alias("n"), share(F.col("skipped")).alias("sr"))
     score = F.when(F.col("n").isNull(), 0).when(F.col("sr") > 0.5, 1).when(F.col("n") >= 5, 4).when(F.col("n") >= 2, 3).otherwise(2)
-    s = l.join(u, ["owner", "track"], "left").withColumn("score", score).groupBy("owner", "list").agg(N.alias("items"), ratio(F.sum("score"), N).alias("affinity"))
+    s = l.join(u, ["owner", "track"], "left").withColumn("score", score).groupBy("owner", "list").agg(rows().alias("items"), ratio(F.sum("score"), rows()).alias("affinity"))
     return s.join(artists.select(F.col("artist").alias("list"), "scene"), "list").select("owner", "list", "scene", "items", "affinity")
 
 
@@ -319,7 +322,7 @@ def dossier(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     j = ALL.plays(plays).join(tracks.select("track", "album"), "track").withColumn("year", F.year("day"))
 
     def part(name: str, key: str, rows: DataFrame) -> DataFrame:
-        n = rows.groupBy("owner", "year", key).agg(N.alias("n"))
+        n = rows.groupBy("owner", "year", key).agg(rows().alias("n"))
         return top_by(n, ["owner", "year"], 5, F.desc("n"), F.col(key)).select("owner", "year", F.lit(name).alias("list"), F.col(key).cast("string").alias("item"), "n")
 
     parts = [part("artists", "artist", j), part("songs", "track", j), part("skipped", "track", j.filter("skipped")), part("albums", "album", j), part("night", "artist", j.filter("hour < 5"))]
