@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -18,12 +19,30 @@ def event_stream(spark: SparkSession, folder: str, files_at_once: int = 100) ->
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
 
+def table_of(spark: SparkSession, path: str) -> DataFrame:
+    """The table of events, in partitions by day; empty where there is none yet."""
+    schema = f"{EVENTS}, day date"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def append_new(stream: DataFrame, table: str, checkpoint: str, fresh: Callable[[DataFrame, DataFrame], DataFrame], late: str = "2 days") -> StreamingQuery:
-    """Adds to the table what fresh(batch, table) lets pass. Exact repeats within the watermark never reach it; a batch that runs twice adds nothing the second time, as fresh sees the table."""
+    """Adds to the table what fresh(batch, held) lets pass. Exact repeats within the watermark never reach it; a batch that runs twice adds nothing the second time, as fresh sees the table.
+
+    held is only the days of the batch and the ones beside them, by the table's partitions, however long the history is.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
-        held = batch.sparkSession.read.schema(EVENTS).parquet(table)
-        fresh(batch, held).write.mode("append").parquet(table)
+        span = batch.agg(F.to_date(F.min("occurred_at")).alias("first"), F.to_date(F.max("occurred_at")).alias("last"), F.count(F.lit(1)).alias("n")).first()
+        if not span["n"]:
+            return
+        near = F.col("day").isNull() if span["first"] is None else F.col("day").between(F.date_sub(F.lit(span["first"]), 1), F.date_add(F.lit(span["last"]), 1)) | F.col("day").isNull()
+        held = table_of(batch.sparkSession, table).filter(near).drop("day")
+        fresh(batch, held).withColumn("day", F.to_date("occurred_at")).write.mode("append").partitionBy("day").parquet(table)
 
     once = stream.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark(["owner", "event_id"])
     return once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
