@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is a join and an aggregation; its result is written to the shared
-folder, so lineage stays short and no edge passes through the driver.
+folder, so lineage stays short and no edge passes through the driver; the result of
+the step before is deleted then. A node with very many edges is met by the rows of
+its least neighbour, one a node, so adaptive execution can split its edges.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlore.llm.common import stash
+from playlore.llm.common import forget, stash
 
 
 def _pointed(edges: DataFrame) -> DataFrame:
@@ -31,7 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = _pointed(_both_ways(pairs)).filter("near > node").select(F.col("least").alias("low"), F.col("near").alias("high")).filter("low != high").distinct()
         seen = _pointed(large.select(F.col("high").alias("node"), F.col("low").alias("near")))
         hung = seen.select(F.col("least").alias("low"), F.col("near").alias("high")).unionByName(seen.select(F.col("least").alias("low"), F.col("node").alias("high")))
-        pairs = stash(hung.filter("low != high").distinct(), "edges")
+        spent, pairs = pairs, stash(hung.filter("low != high").distinct(), "edges")
+        forget(spent)
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playlore.llm.common import WORD, marked, read, stash
+from playlore.llm.common import WORD, forget, marked, read, stash
 from playlore.llm.components import components
 from playlore.llm.shingles import shingle_set
 
@@ -358,6 +358,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
         more = stash(_across(stash(placed.join(mixed, "centre"), "mixed-tiles"), held, percent, BLOCK), "across")
         links = stash(links.unionByName(_links(more, held, percent)), "links")
     of = components(links)
+    for spent in (tiles, passing, held, links):  # what is left reads the sketches and the components
+        forget(spent)
     return every.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
