@@ -321,8 +321,8 @@ def dossier(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     """Top lists of each year (F198)."""
     j = ALL.plays(plays).join(tracks.select("track", "album"), "track").withColumn("year", F.year("day"))
 
-    def part(name: str, key: str, rows: DataFrame) -> DataFrame:
-        n = rows.groupBy("owner", "year", key).agg(rows().alias("n"))
+    def part(name: str, key: str, df: DataFrame) -> DataFrame:
+        n = df.groupBy("owner", "year", key).agg(rows().alias("n"))
         return top_by(n, ["owner", "year"], 5, F.desc("n"), F.col(key)).select("owner", "year", F.lit(name).alias("list"), F.col(key).cast("string").alias("item"), "n")
 
     parts = [part("artists", "artist", j), part("songs", "track", j), part("skipped", "track", j.filter("skipped")), part("albums", "album", j), part("night", "artist", j.filter("hour < 5"))]
