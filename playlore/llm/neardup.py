@@ -8,7 +8,7 @@
 3. Tiles are the documents of one prefix shingle. A small tile gives its pairs of
    similar size. A large one gives a star around the document most of whose prefix
    lies in large tiles; once the links are known, only pairs of different components
-   are left. For these a tile is cut into size bands: only a band with itself and its
+   are left. For these a tile beyond one block is cut into size bands: only a band with itself and its
    neighbours can link, and of these only those that hold two components. Blocks of
    two bands are compared by bitmaps, without listing pairs.
 4. A pair's bitmaps bound its overlap from above; pairs that pass are intersected exactly.
@@ -270,7 +270,9 @@ def size_band(n, percent: int):
 def _across(left: DataFrame, held: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of different components within the tiles of left (centre, doc_id, n, component), by size bands and blocks of about `block` documents: a task holds two blocks at most."""
     bits = marked(held, left.select("doc_id")).filter("maybe").select("doc_id", "text").mapInArrow(_widened, "doc_id long, bits binary")
-    banded = left.withColumn("band", size_band(F.col("n"), percent))
+    sizes = left.groupBy("centre").agg(F.count(F.lit(1)).alias("held"))
+    # a tile of one block is compared at once, in the order of sizes; only larger ones are cut
+    banded = left.join(sizes, "centre").withColumn("band", F.when(F.col("held") <= block, F.lit(0)).otherwise(size_band(F.col("n"), percent))).drop("held")
     counts = banded.groupBy("centre", "band").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     w = Window.partitionBy("centre").orderBy("band")  # a row for each band: a few dozen
     near = lambda step, c: F.when(F.abs(step("band").over(w) - F.col("band")) == 1, step(c).over(w))
@@ -288,7 +290,7 @@ def _across(left: DataFrame, held: DataFrame, percent: int, block: int) -> DataF
         each("up", lambda x: key(b, b + 1, own, x)),
         each("down", lambda x: key(b - 1, b, x, own)),
     )
-    dealt = placed.withColumn("m", F.explode(meets)).join(bits, "doc_id").select("centre", "m.low", "m.high", "m.i", "m.j", "doc_id", "n", "band", "component", "bits")
+    dealt = placed.withColumn("meets", meets).filter(F.size("meets") > 0).join(bits, "doc_id").withColumn("m", F.explode("meets")).select("centre", "m.low", "m.high", "m.i", "m.j", "doc_id", "n", "band", "component", "bits")
     keys = ["centre", "low", "high", "i", "j"]
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_blocks(percent), "a long, b long").distinct()
