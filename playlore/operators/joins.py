@@ -56,3 +56,57 @@ def top_by(df: DataFrame, keys: list[str], n: int, *order: Column, name: str = "
     """The first n rows of each key, with their rank."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+
+
+def _blocks(day: Column, levels: int) -> Column:
+    """The aligned blocks that a day lies in, of 1, 2, 4 ... days."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", day, k).alias("block")))
+
+
+def _cover(first: Column, last: Column, levels: int) -> Column:
+    """The fewest aligned blocks that make up the days from first to last, two of a length at most."""
+    part = lambda k, b: F.array(F.struct(k.alias("level"), b.alias("block")))
+    none = F.array().cast("array<struct<level:int,block:int>>")
+    start = F.struct(first.alias("lo"), (last + 1).alias("hi"), none.alias("out"))
+
+    def step(a: Column, k: Column) -> Column:
+        left = (a["lo"] < a["hi"]) & (a["lo"] % 2 == 1)
+        lo = F.when(left, a["lo"] + 1).otherwise(a["lo"])
+        right = (lo < a["hi"]) & (a["hi"] % 2 == 1)
+        hi = F.when(right, a["hi"] - 1).otherwise(a["hi"])
+        out = F.concat(a["out"], F.when(left, part(k, a["lo"])).otherwise(none), F.when(right, part(k, hi)).otherwise(none))
+        return F.struct(F.call_function("shiftright", lo, F.lit(1)).alias("lo"), F.call_function("shiftright", hi, F.lit(1)).alias("hi"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda a: a["out"])
+
+
+#: Days are counted from here, so that those of four-digit years are not negative, and fit LEVELS bits.
+EPOCH, LEVELS = 800_000, 22
+
+
+def day_number(day: Column) -> Column:
+    return (F.unix_date(day) + EPOCH).cast("int")
+
+
+def day_blocks(day: Column, levels: int = LEVELS) -> Column:
+    """An array of (level, block): the aligned blocks of 1, 2, 4 ... days around a day."""
+    return _blocks(day_number(day), levels)
+
+
+def span_blocks(first: Column, last: Column, levels: int = LEVELS) -> Column:
+    """An array of (level, block): the aligned blocks that make up the days from first to last, both included; some 2 log2(days) of them."""
+    return _cover(day_number(first), day_number(last), levels)
+
+
+def latest_cover(points: DataFrame, spans: DataFrame, keys: list[str], day: str, first: str, last: str, order: str, value: str) -> DataFrame:
+    """points with the value of the span of equal keys that covers its day; of several the one with the greatest order, then value; null without one.
+
+    No pair of a point and a span is formed, however many spans overlap: each span is cut into aligned blocks of days, of the spans of one block only
+    the winner stays, and each key and day looks up the few blocks that it lies in. Null keys, days and ends match nothing.
+    """
+    cut = spans.filter(F.col(first) <= F.col(last)).select(*keys, F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("_won"), F.explode(span_blocks(F.col(first), F.col(last))).alias("_b"))
+    winners = cut.groupBy(*keys, "_b").agg(F.max("_won").alias("_won"))
+    asked = points.select(*keys, F.col(day).alias("_day")).filter("_day is not null").distinct().withColumn("_b", F.explode(day_blocks(F.col("_day"))))
+    found = asked.join(winners, [*keys, "_b"]).groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys], "_day").agg(F.max("_won").alias("_won"))
+    on = [F.col(k) == F.col(f"_of_{k}") for k in keys] + [F.col(day) == F.col("_day")]
+    return points.join(found, reduce(Column.__and__, on), "left").select(*points.columns, F.col("_won.v").alias(value))

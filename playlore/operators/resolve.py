@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlore.functions.config import Tuning
+from playlore.operators.joins import latest_cover
 from playlore.sources.ingest import PAYLOAD
 
 
@@ -13,14 +14,23 @@ def _ms(c: Column) -> Column:
     return F.make_dt_interval(secs=F.coalesce(c, F.lit(0)) / 1000.0)
 
 
+def parsed(events: DataFrame) -> DataFrame:
+    """The fields of each play event. Worth writing once, as what follows reads them several times."""
+    # inline: a payload is parsed once a row, where fields of a column would each parse it again
+    return events.filter("event_type = 'play'").select("owner", F.col("event_id").alias("play_id"), F.col("occurred_at").alias("raw_at"), "ingested_at", F.inline(F.array(F.from_json("payload", PAYLOAD))))
+
+
 def normalise(events: DataFrame, t: Tuning = Tuning()) -> DataFrame:
-    """One row a play, stamped at its end.
+    """One row a play, stamped at its end."""
+    return timed(parsed(events), t)
+
+
+def timed(e: DataFrame, t: Tuning = Tuning()) -> DataFrame:
+    """Parsed events, stamped at their end.
 
     Exports stamp the end, other sources the start. A poll says how long a track is, not how long it was heard:
     where the next poll comes earlier, it ended there, and if much earlier it was skipped.
     """
-    # inline: a payload is parsed once a row, where fields of a column would each parse it again
-    e = events.filter("event_type = 'play'").select("owner", F.col("event_id").alias("play_id"), F.col("occurred_at").alias("raw_at"), "ingested_at", F.inline(F.array(F.from_json("payload", PAYLOAD))))
     polled = F.col("source") == "recently_played_poll"
     w = Window.partitionBy("owner").orderBy("raw_at", "play_id")
     polls = e.filter(polled).withColumn("_next", F.timestamp_diff("MILLISECOND", F.col("raw_at"), F.lead("raw_at").over(w)))
@@ -39,13 +49,8 @@ def normalise(events: DataFrame, t: Tuning = Tuning()) -> DataFrame:
     ).drop("_next", "_skip")
 
 
-def supersede(plays: DataFrame) -> DataFrame:
-    """Polls give way to exports, scrobbles to both.
-
-    A poll's stamp may be the start or the end, a scrobble may lack the id. Each play puts points in time under
-    the keys by which others look for it, and asks at its own; one shuffle of points answers all, and exports,
-    which always stay, don't move otherwise. A poll's times count double, so that one width serves all.
-    """
+def _spotted(plays: DataFrame) -> DataFrame:
+    """(owner, play_id): the plays that give way to another."""
     source = F.col("source")
     export, poll, scrobble = (F.coalesce(source == s, F.lit(False)) for s in ("extended_export", "recently_played_poll", "scrobble"))
     start = F.when(export, F.col("played_at_utc") - _ms(F.col("ms_played"))).otherwise(F.col("raw_at"))
@@ -66,21 +71,38 @@ def supersede(plays: DataFrame) -> DataFrame:
         points += [point(export | poll, f"{mark} end", F.col("raw_at"), False, by_name), point(asking, f"{mark} end", end, True, by_name)]
     every = plays.select("owner", "play_id", F.explode(F.filter(F.array(*points), lambda x: x.isNotNull())).alias("p")).select("owner", "play_id", "p.*")
     w = Window.partitionBy("owner", "kind", "a", "b").orderBy("t").rangeBetween(-30_000_000, 30_000_000)
-    gone = every.withColumn("near", F.max(F.when(~F.col("asks"), F.lit(1))).over(w)).filter("asks and near = 1").select("owner", "play_id").distinct()
-    return plays.filter(~(poll | scrobble)).unionByName(plays.filter(poll | scrobble).join(gone, ["owner", "play_id"], "left_anti"))
+    return every.withColumn("near", F.max(F.when(~F.col("asks"), F.lit(1))).over(w)).filter("asks and near = 1").select("owner", "play_id").distinct()
+
+
+def marked_superseded(plays: DataFrame) -> DataFrame:
+    """plays with superseded: whether a play gives way to another."""
+    gone = _spotted(plays).withColumn("superseded", F.lit(True))
+    return plays.join(gone, ["owner", "play_id"], "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
+
+
+def supersede(plays: DataFrame) -> DataFrame:
+    """Polls give way to exports, scrobbles to both.
+
+    A poll's stamp may be the start or the end, a scrobble may lack the id. Each play puts points in time under
+    the keys by which others look for it, and asks at its own; one shuffle of points answers all, and exports,
+    which always stay, don't move otherwise. A poll's times count double, so that one width serves all.
+    """
+    may_go = F.coalesce(F.col("source").isin("recently_played_poll", "scrobble"), F.lit(False))
+    return plays.filter(~may_go).unionByName(plays.filter(may_go).join(_spotted(plays), ["owner", "play_id"], "left_anti"))
 
 
-def zones(plays: DataFrame, overrides: DataFrame, countries: DataFrame, home: str) -> DataFrame:
-    """plays with zone and local time: a dated override, else the country's one zone, else home.
+def zones(plays: DataFrame, overrides: DataFrame | None, countries: DataFrame, home: str) -> DataFrame:
+    """plays with zone and local time: a dated override of the owner, the one that began last, else the country's one zone, else home.
 
-    overrides: owner, from_date, to_date, zone. countries: country, zone, one row for a country of one zone.
+    overrides: owner, from_date, to_date, zone, or None. countries: country, zone, one row for a country of one zone.
     """
-    o = overrides.select(F.col("owner").alias("_o"), "from_date", "to_date", F.col("zone").alias("_zone"))
-    day = F.to_date("played_at_utc")
-    hit = plays.join(o, (F.col("owner") == F.col("_o")) & day.between(F.col("from_date"), F.col("to_date")))
-    chosen = hit.groupBy("play_id").agg(F.max_by("_zone", "from_date").alias("_zone"))
+    if overrides is None:
+        given = plays.withColumn("_zone", F.lit(None).cast("string"))
+    else:
+        spans = overrides.select("owner", "from_date", "to_date", F.col("zone").alias("_zone"))
+        given = latest_cover(plays.withColumn("_at", F.to_date("played_at_utc")), spans, ["owner"], "_at", "from_date", "to_date", "from_date", "_zone").drop("_at")
     c = countries.select("country", F.col("zone").alias("_country_zone"))
-    joined = plays.join(chosen, "play_id", "left").join(c, "country", "left").withColumn("zone", F.coalesce("_zone", "_country_zone", F.lit(home)))
+    joined = given.join(c, "country", "left").withColumn("zone", F.coalesce("_zone", "_country_zone", F.lit(home)))
     return joined.withColumn("played_at", F.from_utc_timestamp("played_at_utc", F.col("zone")).cast("timestamp_ntz")).drop("_zone", "_country_zone")
 
 
@@ -122,7 +144,7 @@ def aliases(plays: DataFrame, id_: str, name: str) -> DataFrame:
     return n.groupBy("owner", "alias").agg(F.max_by(id_, F.struct("n", id_)).alias(id_))
 
 
-def resolve(events: DataFrame, merges: DataFrame, isrcs: DataFrame, overrides: DataFrame, countries: DataFrame, home: str = "UTC", t: Tuning = Tuning(), merge_versions: bool = True) -> DataFrame:
+def resolve(events: DataFrame, merges: DataFrame, isrcs: DataFrame, overrides: DataFrame | None, countries: DataFrame, home: str = "UTC", t: Tuning = Tuning(), merge_versions: bool = True) -> DataFrame:
     """All of it, with each play's place among those of its track."""
     p = identify(zones(supersede(normalise(events, t)), overrides, countries, home), merges)
     p = merge_isrc(p, isrcs) if merge_versions else p

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlore.functions.config import Lens, Tuning
+from playlore.functions.scratch import new_folder, written
 from playlore.operators import derive, resolve
 from playlore.plans.base import Catalogue
 from playlore.plans.details import FAMILIES
 from playlore.sources import ingest
+from playlore.streaming import resolution as live
 
 C = Catalogue()
 QUERIES, ORACLE = C.queries, C.oracle
@@ -18,6 +20,13 @@ ALL, T = Lens(), Tuning()
 MERGES = (("name:artist 3", "name:artist 1"), ("name:artist 8", "name:artist 5"))
 ZONES = {"JP": "Asia/Tokyo"}
 
+
+
+def timed(log: DataFrame) -> DataFrame:
+    """The log as plays stamped at their end; its payloads are parsed once, whatever reads them."""
+    return resolve.timed(written(resolve.parsed(log), "parsed-log"))
+
+
 _NORMAL = f"""n0 AS (SELECT *, CASE WHEN source = 'recently_played_poll' THEN date_diff('millisecond', raw_at, lead(raw_at) OVER (PARTITION BY owner, source ORDER BY raw_at, event_id)) END AS nx FROM log),
 n1 AS (SELECT *, coalesce(nx >= 0 AND nx < ms, false) AS cut FROM n0), n2 AS (SELECT *, cut AND nx < ms - {T.poll_skip_slack_ms} AND nx < {T.poll_skip_ratio} * ms AS skip, CASE WHEN cut THEN nx ELSE ms END AS played FROM n1),
 plays0 AS (SELECT owner, event_id AS play_id, source, raw_at, track_id AS sid, track_name, artist_name, album_name, country, played AS ms, CASE WHEN skip THEN 'fwdbtn' ELSE end_reason END AS end_reason, skip OR end_reason IN ('fwdbtn', 'backbtn') AS was_skipped,
@@ -27,7 +36,7 @@ plays0 AS (SELECT owner, event_id AS play_id, source, raw_at, track_id AS sid, t
 @C.query("p_normalise", "log", sql=_NORMAL + " SELECT owner, play_id, source, ms AS ms_played, end_reason, was_skipped, ms < 30000 AS under_30s, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended FROM plays0")
 def normalise(log: DataFrame) -> DataFrame:
     """Every event as a play stamped at its end, polls cut by the next."""
-    return resolve.normalise(log).select("owner", "play_id", "source", "ms_played", "end_reason", "was_skipped", "under_30s", F.date_format("played_at_utc", "yyyy-MM-dd HH:mm:ss").alias("ended"))
+    return timed(log).select("owner", "play_id", "source", "ms_played", "end_reason", "was_skipped", "under_30s", F.date_format("played_at_utc", "yyyy-MM-dd HH:mm:ss").alias("ended"))
 
 
 _KEPT = _NORMAL + """, spans AS (SELECT *, CASE WHEN source = 'extended_export' THEN ended - to_milliseconds(ms) ELSE raw_at END AS began, raw_at + to_milliseconds(ms) AS until, lower(track_name) AS title, lower(artist_name) AS by FROM plays0),
@@ -42,7 +51,7 @@ kept AS (SELECT * FROM spans WHERE source = 'extended_export' UNION ALL SELECT *
 @C.query("p_supersede", "log", sql=_KEPT + " SELECT owner, source, count(*) AS plays, sum(ms)::BIGINT AS ms, min(play_id) AS first_id, max(play_id) AS last_id FROM kept GROUP BY owner, source")
 def supersede(log: DataFrame) -> DataFrame:
     """What stays when polls give way to exports and scrobbles to both."""
-    p = resolve.supersede(resolve.normalise(log))
+    p = resolve.supersede(timed(log))
     return p.groupBy("owner", "source").agg(F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms"), F.min("play_id").alias("first_id"), F.max("play_id").alias("last_id"))
 
 
@@ -53,9 +62,8 @@ ided AS (SELECT *, 'name:' || md5(artist_id[6:] || '|' || lower(trim(album_name)
 def identified(log: DataFrame) -> DataFrame:
     """Surviving plays in local time with canonical ids."""
     frame = log.sparkSession.createDataFrame
-    none = frame([], "owner string, from_date date, to_date date, zone string")
     countries = frame(list(ZONES.items()), "country string, zone string")
-    placed = resolve.zones(resolve.supersede(resolve.normalise(log)), none, countries, "UTC")
+    placed = resolve.zones(resolve.supersede(timed(log)), None, countries, "UTC")
     return resolve.identify(placed, frame(list(MERGES), "from_artist_id string, into_artist_id string"))
 
 
@@ -128,14 +136,14 @@ SELECT q.owner, q.event_id FROM q WHERE NOT EXISTS (SELECT 1 FROM known k WHERE
 def poll_new(log: DataFrame) -> DataFrame:
     """Polled plays that the exports lack, near in time."""
     p = log.withColumn("p", F.from_json("payload", ingest.PAYLOAD)).filter("p.source = 'recently_played_poll'").select("owner", "event_id", "occurred_at", "p.spotify_track_id", "p.ms_played")
-    known = resolve.normalise(log).filter("source = 'extended_export'")
+    known = timed(log).filter("source = 'extended_export'")
     return ingest.poll_new(p, known).select("owner", "event_id")
 
 
 @C.query("s_scrobble_new", "log", sql=_KEPT + " SELECT owner, play_id FROM s1 UNION ALL SELECT owner, play_id FROM s2")
 def scrobble_new(log: DataFrame) -> DataFrame:
     """Scrobbles that are no other source's play."""
-    return resolve.supersede(resolve.normalise(log)).filter("source = 'scrobble'").select("owner", "play_id")
+    return resolve.supersede(timed(log)).filter("source = 'scrobble'").select("owner", "play_id")
 
 
 @C.query("s_blend_import", "log", sql="SELECT lower(trim(artist_name)) AS artist_key, lower(trim(track_name)) AS track_key, count(*) AS plays, sum(ms)::BIGINT AS ms FROM log WHERE source = 'extended_export' AND ms >= 30000 GROUP BY ALL")
@@ -209,3 +217,37 @@ def scenes(artist_tags: DataFrame, artists: DataFrame, overrides: DataFrame) ->
     chosen = overrides.filter("hidden").select(F.col("track").alias("artist_id")).join(artists.select(F.col("artist").alias("artist_id")), "artist_id").withColumn("scene", F.lit("colours"))
     out = derive.scenes(tagged, tag_map, families, origins, origin_map, chosen, frame([], "artist_id long, tag string"))
     return out.select(F.col("artist_id").alias("artist"), "scene", F.round("weight", 6).alias("weight"))
+
+
+_CODES = _ID + """, isrc AS (SELECT 't' || track AS track_id, name || '|' || album AS isrc FROM tracks), c AS (SELECT owner, track_id, isrc, count(*) AS n FROM ided JOIN isrc USING (track_id) GROUP BY ALL),
+t AS (SELECT owner, track_id, first_value(track_id) OVER (PARTITION BY owner, isrc ORDER BY n DESC, track_id) AS target FROM c)"""
+
+
+@C.query("p_incremental", "log", "tracks", sql=_CODES + """, merged AS (SELECT i.owner, play_id, coalesce(target, i.track_id) AS track_id, played_at FROM ided i LEFT JOIN t ON t.owner = i.owner AND t.track_id = i.track_id)
+SELECT owner, play_id, track_id, (row_number() OVER (PARTITION BY owner, track_id ORDER BY played_at, play_id))::INTEGER AS play_index FROM merged""")
+def incremental(log: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Resolution in three batches: polls and scrobbles, then the exports that supersede them, old and new (P13-P15). The SQL resolves all at once."""
+    spark, codes = log.sparkSession, tracks.select(F.concat(F.lit("t"), F.col("track").cast("string")).alias("track_id"), F.concat("name", F.lit("|"), "album").alias("isrc"))
+    frame = spark.createDataFrame
+    facts = live.Facts(frame(list(MERGES), "from_artist_id string, into_artist_id string"), codes, None, frame(list(ZONES.items()), "country string, zone string"))
+    store = live.Store(new_folder(spark, "incremental"), buckets=2, parts=2, unit="year")
+    events = written(log, "log-events")
+    export, old = F.col("source_file") == "extended_export", F.col("occurred_at") < F.lit("1995-01-01").cast("timestamp")
+    for number, part in enumerate((~export, export & old, export & ~old)):
+        live.advance(spark, store, events.filter(part), number, facts)
+    return live.resolved(spark, store).select("owner", "play_id", "track_id", "play_index")
+
+
+_AWAY = "a(owner, from_date, to_date, zone) AS (SELECT (o_custkey % 20)::VARCHAR, o_orderdate::DATE, o_orderdate::DATE + (o_orderkey % 40)::INTEGER, CASE o_orderkey % 3 WHEN 0 THEN 'Asia/Tokyo' WHEN 1 THEN 'Asia/Kolkata' ELSE 'UTC' END FROM orders)"
+
+
+@C.query("p_zones", "log", "orders", sql=_KEPT + ", " + _AWAY + """, z AS (SELECT k.owner, play_id, arg_max(zone, (from_date, zone)) AS zone FROM kept k JOIN a ON a.owner = k.owner AND ended::DATE BETWEEN from_date AND to_date GROUP BY ALL)
+SELECT k.owner, play_id, coalesce(zone, CASE country WHEN 'JP' THEN 'Asia/Tokyo' END, 'UTC') AS zone, strftime(ended + to_minutes(CASE coalesce(zone, CASE country WHEN 'JP' THEN 'Asia/Tokyo' END) WHEN 'Asia/Tokyo' THEN 540 WHEN 'Asia/Kolkata' THEN 330 ELSE 0 END), '%Y-%m-%d %H:%M:%S') AS played_at FROM kept k LEFT JOIN z USING (owner, play_id)""")
+def zones(log: DataFrame, orders: DataFrame) -> DataFrame:
+    """Plays in the zone of the stay that began last, of many that overlap, else of the country, else of home (P2). A stay is an order here."""
+    lasts = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 40).cast("int"))
+    zone = F.when(F.col("o_orderkey") % 3 == 0, "Asia/Tokyo").when(F.col("o_orderkey") % 3 == 1, "Asia/Kolkata").otherwise("UTC")
+    away = orders.select((F.col("o_custkey") % 20).cast("string").alias("owner"), F.to_date("o_orderdate").alias("from_date"), lasts.alias("to_date"), zone.alias("zone"))
+    countries = log.sparkSession.createDataFrame(list(ZONES.items()), "country string, zone string")
+    placed = resolve.zones(resolve.supersede(timed(log)), away, countries, "UTC")
+    return placed.select("owner", "play_id", "zone", F.date_format("played_at", "yyyy-MM-dd HH:mm:ss").alias("played_at"))

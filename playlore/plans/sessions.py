@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlore.functions.compat import dow0, share, text
@@ -87,13 +87,18 @@ def chaos(plays: DataFrame) -> DataFrame:
     return op.chaos(op.sessionize(plays, STREAM), tags)
 
 
+def mean_skip() -> Column:
+    """The mean of skip rates as parts per million, whole numbers whose sum is the same in any order."""
+    return F.sum(F.expr("skips * 1000000 div plays")).cast("double") / (F.count(F.lit(1)) * 1_000_000).cast("double")
+
+
 @C.query("f_sessions_overview", "stream_plays", sql=_CUT + """SELECT owner, count(*) AS sessions, round(quantile_cont(duration_min, 0.5), 6) AS median_min, round(quantile_cont(duration_min, 0.9), 6) AS p90_min,
-  round(sum(attended_ms) / 3600000.0::DOUBLE, 6) AS attended_hours, count(*) FILTER (attention = 'active') AS active, count(*) FILTER (late) AS late_sessions, round(avg(skip_rate), 4) AS mean_skip FROM ses GROUP BY owner""")
+  round(sum(attended_ms) / 3600000.0::DOUBLE, 6) AS attended_hours, count(*) FILTER (attention = 'active') AS active, count(*) FILTER (late) AS late_sessions, sum((skips * 1000000) // plays)::DOUBLE / (count(*) * 1000000)::DOUBLE AS mean_skip FROM ses GROUP BY owner""")
 def overview(plays: DataFrame) -> DataFrame:
     """Each listener's sessions in one row."""
     return op.build(plays, STREAM).groupBy("owner").agg(
         F.count(F.lit(1)).alias("sessions"), F.round(F.percentile("duration_min", F.lit(0.5)), 6).alias("median_min"), F.round(F.percentile("duration_min", F.lit(0.9)), 6).alias("p90_min"),
-        F.round(F.sum("attended_ms") / F.lit(3_600_000.0), 6).alias("attended_hours"), F.count_if(F.col("attention") == "active").alias("active"), F.count_if("late").alias("late_sessions"), F.round(F.avg("skip_rate"), 4).alias("mean_skip"),
+        F.round(F.sum("attended_ms") / F.lit(3_600_000.0), 6).alias("attended_hours"), F.count_if(F.col("attention") == "active").alias("active"), F.count_if("late").alias("late_sessions"), mean_skip().alias("mean_skip"),
     )
 
 
@@ -114,9 +119,9 @@ def lengths(plays: DataFrame) -> DataFrame:
     return bands.join(counted, "band", "left").select("band", F.coalesce("n", F.lit(0)).cast("long").alias("sessions"))
 
 
-@C.query("f_session_shapes", "stream_plays", sql=_CUT + "SELECT shape, day_part, count(*) AS sessions, round(avg(skip_rate), 4) AS skip_rate, sum(ms)::BIGINT AS ms FROM ses GROUP BY 1, 2")
+@C.query("f_session_shapes", "stream_plays", sql=_CUT + "SELECT shape, day_part, count(*) AS sessions, sum((skips * 1000000) // plays)::DOUBLE / (count(*) * 1000000)::DOUBLE AS skip_rate, sum(ms)::BIGINT AS ms FROM ses GROUP BY 1, 2")
 def shapes(plays: DataFrame) -> DataFrame:
-    return op.build(plays, STREAM).groupBy("shape", "day_part").agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("skip_rate"), 4).alias("skip_rate"), F.sum("ms").alias("ms"))
+    return op.build(plays, STREAM).groupBy("shape", "day_part").agg(F.count(F.lit(1)).alias("sessions"), mean_skip().alias("skip_rate"), F.sum("ms").alias("ms"))
 
 
 @C.query("f_openers_closers", "stream_plays", sql=_CUT + """, e AS (SELECT 'opener' AS role, opener AS track FROM ses WHERE plays >= 3 UNION ALL SELECT 'closer', closer FROM ses WHERE plays >= 3), n AS (SELECT role, track, count(*) AS n FROM e GROUP BY ALL)

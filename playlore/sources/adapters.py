@@ -104,7 +104,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute.cast("int"))
     ms, even, cents = F.floor(F.col("l_extendedprice") * 4).cast("long"), F.col("l_linenumber") % 2 == 0, F.round(F.col("l_discount") * 100).cast("int")
     after = lambda near, far: end - F.make_dt_interval(secs=ms / 1000.0) + F.make_dt_interval(secs=F.when(even, float(near)).otherwise(float(far)))
-    key = F.concat((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))
+    key = F.concat_ws("-", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMMdd"))
     named = li.select(
         (F.col("l_orderkey") % OWNERS).cast("string").alias("owner"), key.alias("key"), end.alias("end"), after(3, 600).alias("polled"), after(10, 900).alias("scrobbled"), cents.alias("cents"), F.col("l_linenumber").alias("n"),
         F.struct(
@@ -208,7 +208,7 @@ SQL = {
   {list(MOODS)}[doc_id % {len(MOODS)} + 1] AS mood, {list(THEMES)}[coalesce(n_chars, 0) % {len(THEMES)} + 1] AS theme FROM documents""",
     "log": f"""SELECT owner, mark || key AS event_id, source, CASE mark WHEN 'x' THEN ended ELSE ended - to_milliseconds(ms) + to_seconds(CASE WHEN n % 2 = 0 THEN near ELSE far END) END AS raw_at, CASE WHEN mark <> 's' OR n % 3 <> 0 THEN 't' || track END AS track_id,
   p_name AS track_name, CASE WHEN n = 7 THEN 'ARTIST ' ELSE 'Artist ' END || artist AS artist_name, p_brand AS album_name, ms, end_reason, country
-  FROM (SELECT (l_orderkey % {OWNERS})::VARCHAR AS owner, (l_orderkey * 10 + l_linenumber)::VARCHAR || '-' || l_partkey AS key, l_shipdate + to_minutes({_MINUTE}) AS ended, l_linenumber AS n, l_partkey AS track, p_name, l_suppkey AS artist, p_brand, floor(l_extendedprice * 4)::BIGINT AS ms,
+  FROM (SELECT (l_orderkey % {OWNERS})::VARCHAR AS owner, (l_orderkey * 10 + l_linenumber)::VARCHAR || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS key, l_shipdate + to_minutes({_MINUTE}) AS ended, l_linenumber AS n, l_partkey AS track, p_name, l_suppkey AS artist, p_brand, floor(l_extendedprice * 4)::BIGINT AS ms,
     CASE WHEN l_returnflag = 'R' THEN 'fwdbtn' ELSE 'trackdone' END AS end_reason, CASE WHEN l_orderkey % 9 = 0 THEN 'JP' ELSE 'GB' END AS country, round(l_discount * 100)::INTEGER AS cents FROM lineitem JOIN part ON p_partkey = l_partkey),
   (VALUES ('x', 'extended_export', -1, 0, 0), ('q', 'recently_played_poll', 5, 3, 600), ('s', 'scrobble', 6, 10, 900)) k(mark, source, c, near, far) WHERE c = -1 OR c = cents""",
     "scene_names": "SELECT r_regionkey::BIGINT AS scene, upper(r_name[1]) || lower(r_name[2:]) AS label FROM region",
