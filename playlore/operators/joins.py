@@ -64,7 +64,7 @@ def _blocks(day: Column, levels: int) -> Column:
 
 
 def _cover(first: Column, last: Column, levels: int) -> Column:
-    """The fewest aligned blocks that make up the days from first to last, two of a length at most."""
+    """The fewest aligned blocks that make up the days from first to last, two of a length at most but for the longest."""
     part = lambda k, b: F.array(F.struct(k.alias("level"), b.alias("block")))
     none = F.array().cast("array<struct<level:int,block:int>>")
     start = F.struct(first.alias("lo"), (last + 1).alias("hi"), none.alias("out"))
@@ -77,7 +77,11 @@ def _cover(first: Column, last: Column, levels: int) -> Column:
         out = F.concat(a["out"], F.when(left, part(k, a["lo"])).otherwise(none), F.when(right, part(k, hi)).otherwise(none))
         return F.struct(F.call_function("shiftright", lo, F.lit(1)).alias("lo"), F.call_function("shiftright", hi, F.lit(1)).alias("hi"), out.alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda a: a["out"])
+    def rest(a: Column) -> Column:
+        longest = F.transform(F.sequence(a["lo"], a["hi"] - 1), lambda b: F.struct(F.lit(levels - 1).alias("level"), b.alias("block")))
+        return F.concat(a["out"], F.when(a["lo"] < a["hi"], longest).otherwise(none))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 2)), start, step, rest)
 
 
 #: Days are counted from here, so that those of four-digit years are not negative, and fit LEVELS bits.

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("badges", "details", "discovery", "insights", "library", "listening", "outlook", "receipts", "recs", "resolution", "sessions", "texts", "threads", "words")
+MODULES: tuple[str, ...] = ("badges", "details", "discovery", "finding", "insights", "library", "listening", "outlook", "periods", "receipts", "recs", "resolution", "sessions", "texts", "threads", "words")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
