@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from playlore.llm.common import marked, read, stash
 from playlore.llm.linededup import dedup_lines
+from playlore.llm.merkle import numbered
 from playlore.llm.mixing import mix
 from playlore.llm.neardup import near_duplicates
 from playlore.llm.packing import pack_documents
@@ -44,19 +45,29 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _retexted(left)
 
 
+def _with_nodes(docs: DataFrame) -> DataFrame:
+    """docs with node: doc_id, unless one doc_id has several texts; then the number of each distinct pair of id and text, in that order."""
+    pairs = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("sum"))
+    if pairs.groupBy("doc_id").agg(F.min("sum").alias("lo"), F.max("sum").alias("hi")).filter("lo < hi").isEmpty():
+        return docs.withColumn("node", F.col("doc_id"))
+    known = stash(numbered(pairs.distinct().withColumn("all", F.lit(0)), "all", "doc_id", "sum").select("doc_id", "sum", F.col("index").alias("node")), "row-nodes")
+    return docs.withColumn("sum", F.xxhash64("text")).join(known, ["doc_id", "sum"], "left").drop("sum")
+
+
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the least id stays; rows without an id stay.
 
-    Of rows with one id, which are one node, the one of the least text hash stays; texts that are null or empty link with nothing
+    Rows with one id and different texts are judged each by its own text: they go only if linked with one that stays, and of
+    linked ones the least id, then text hash, stays. Of equal rows one stays. Texts that are null or empty link with nothing
     and stay; an empty table stays empty; columns beyond those of documents are left behind.
     """
-    docs = docs.select(*COLUMNS)
-    found = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    odd = stash(found.filter("doc_id <> component_id or rows > 1"), "not-alone")  # few; all other rows stay where they are
-    split = marked(docs, odd.select("doc_id"))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    least = split.filter("maybe").join(odd, "doc_id", "left").filter("component_id is null or doc_id = component_id")
-    one = least.withColumn("r", F.when(F.col("doc_id").isNotNull(), F.row_number().over(first)).otherwise(1)).filter("r = 1")
+    docs = _with_nodes(docs.select(*COLUMNS))
+    found = near_duplicates(docs.select(F.col("node").alias("doc_id"), "text")).filter("doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    odd = stash(found.filter("node <> component_id or rows > 1"), "not-alone")  # few; all other rows stay where they are
+    split = marked(docs, odd.select("node"), "node")
+    first = Window.partitionBy("node").orderBy(F.xxhash64("text"))
+    least = split.filter("maybe").join(odd, "node", "left").filter("component_id is null or node = component_id")
+    one = least.withColumn("r", F.when(F.col("node").isNotNull(), F.row_number().over(first)).otherwise(1)).filter("r = 1")
     return split.filter("not maybe").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 

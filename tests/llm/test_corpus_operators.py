@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -39,6 +40,19 @@ def test_line_dedup_keeps_first_occurrences_and_finds_runs(spark):
     assert out[4].n_removed == 4 and out[4].clean_text == ""
 
 
+def test_line_dedup_of_two_copies_of_very_many_lines_is_linear(spark):
+    """Lines of two words, so that windows take several, repeat in the text itself, and the copy loses all of them."""
+    text = "\n".join(f"line{i} of{i % 1000}" for i in range(32_000))
+    began = time.perf_counter()
+    out = {r.doc_id: (r.n_removed, r.clean_text) for r in linededup.dedup_lines(docs(spark, [(1, text), (2, text + "\nown end")])).collect()}
+    assert out == {1: (0, text), 2: (32_000, "own end")} and time.perf_counter() - began < 30
+
+
+def test_selected_positions_are_few_and_shared_by_equal_windows(spark):
+    made = linededup.sketch(docs(spark, [(1, "\n".join(f"w{i * 7919 % 1000} x" for i in range(400)))])).first().windows
+    assert len({(w.print, w.at) for w in made}) < len(made) / 2 and all(w.start <= w.at <= w.stop for w in made)
+
+
 def test_line_dedup_extends_over_short_lines(spark):
     rows = [(1, "\n".join([L[0], "short", L[1], "end"])), (2, "\n".join(["new", L[0], "short", L[1], "other end"]))]
     out = {r.doc_id: r.clean_text for r in linededup.dedup_lines(docs(spark, rows)).collect()}

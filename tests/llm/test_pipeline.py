@@ -64,3 +64,12 @@ def test_each_stage_with_null_ids_repeated_rows_and_clashing_columns(spark, tmp_
             assert sum(r.doc_id == 0 for r in got) == 1
     pieces = cp.packing_stage(spark, docs, str(tmp_path)).collect()
     assert sum(r.doc_id == 0 for r in pieces) == 3 and sum(r.length for r in pieces if r.doc_id == 7) == 1
+
+
+def test_unrelated_texts_of_one_id_all_stay(spark):
+    """Rows are spare only if equal to or linked with one that stays, whatever their ids."""
+    body = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [(5, body(1)), (5, body(2)), (5, body(2)), (9, body(2) + " more"), (3, body(4)), (5, None), (None, body(1)), (7, body(7))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((repr(r.doc_id), r.text or "") for r in cp.near_dup_stage(spark, docs, "").collect())
+    assert got == sorted((repr(i), t or "") for i, t in [(5, body(1)), (5, body(2)), (3, body(4)), (5, None), (None, body(1)), (7, body(7))])
