@@ -282,7 +282,7 @@ def test_suffixes_of_many_blocks_at_once():
     want = set()
     for host, page, says, text in blocks:
         heads, _ = htmltext.of_block(host, text)
-        mine = heads if says == htmltext.OPEN else [*heads[htmltext.sampled(heads)], htmltext.block_hash(host, text)]
+        mine = [*(heads if says == htmltext.OPEN else heads[htmltext.sampled(heads)]), htmltext.block_hash(host, text)]
         want |= {(int(x), page, says == htmltext.OPEN) for x in mine}
     assert got == want
 
