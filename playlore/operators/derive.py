@@ -10,7 +10,7 @@ from playlore.functions.config import Tuning
 
 def scenes(tags: DataFrame, tag_map: DataFrame, families: DataFrame, origins: DataFrame, origin_map: DataFrame, overrides: DataFrame, blocked: DataFrame, t: Tuning = Tuning()) -> DataFrame:
     """(artist_id, scene, weight) (P31): tag weights by family above a floor; the origin for artists without; an override in place of all."""
-    seen = families.filter("not hidden").select("scene")
+    seen = F.broadcast(families.filter("not hidden").select("scene"))  # the hand-made list of families, a row for each scene
     tagged = tags.join(blocked.select("artist_id", "tag"), ["artist_id", "tag"], "left_anti").join(tag_map, "tag").join(seen, "scene", "left_semi").groupBy("artist_id", "scene").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= t.scene_floor)
     chosen = overrides.join(seen, "scene", "left_semi").select("artist_id", "scene", F.lit(9.0).alias("weight"))
     tagged = tagged.join(chosen, "artist_id", "left_anti")

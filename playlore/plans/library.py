@@ -122,11 +122,11 @@ def scene_phases(plays: DataFrame, artists: DataFrame) -> DataFrame:
     return top_by(b, ["owner", "scene"], 1, F.desc("ms"), F.col("wk")).select("owner", "scene", text(F.col("wk")).alias("week"), hours(F.col("ms")).alias("hours"), F.round(F.col("ms") / F.col("usual"), 6).alias("times"))
 
 
-@C.query("f_concerts", "plays", "orders", sql="""c AS (SELECT DISTINCT o_custkey % 100 AS artist, o_orderdate::DATE AS d FROM orders)
+@C.query("f_concerts", "plays", "concerts", sql="""c AS (SELECT * FROM concerts)
 SELECT c.artist, strftime(c.d, '%Y-%m-%d') AS day, count(play_id) FILTER (p.day < c.d) AS before, count(play_id) FILTER (p.day >= c.d) AS after FROM c LEFT JOIN plays p ON p.artist = c.artist AND p.day >= c.d - 30 AND p.day < c.d + 30 AND attended GROUP BY c.artist, c.d""")
-def concerts(plays: DataFrame, orders: DataFrame) -> DataFrame:
+def concerts(plays: DataFrame, concerts: DataFrame) -> DataFrame:
     """Plays in the month before and the month after a concert (F68): days of plays first, then equal on artist and 30-day bucket, so a long history costs no more."""
-    c = orders.select((F.col("o_custkey") % 100).alias("artist"), F.to_date("o_orderdate").alias("d")).distinct()
+    c = concerts
     bucket = lambda d: F.floor(F.unix_date(d) / 30)
     near = c.withColumn("b", F.explode(F.sequence(bucket(F.col("d")) - 1, bucket(F.col("d")) + 1)))
     p = ALL.plays(plays).groupBy("artist", "day").agg(F.count(F.lit(1)).alias("k")).withColumn("b", bucket(F.col("day")))

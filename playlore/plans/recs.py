@@ -147,11 +147,11 @@ def genre_discover(plays: DataFrame, edges: DataFrame, artist_tags: DataFrame) -
     return top_by(best, ["owner", "tag"], 5, F.desc("score"), F.col("artist")).select("owner", "tag", "artist", "score")
 
 
-@C.query("f_genre_tags", "plays", "artist_tags", sql="SELECT owner, tag, count(DISTINCT artist) AS artists, round(sum(ms * weight) / 360000000.0::DOUBLE, 6) AS weighted_hours FROM (SELECT owner, artist, sum(ms)::BIGINT AS ms FROM plays WHERE attended GROUP BY ALL) JOIN artist_tags USING (artist) GROUP BY ALL HAVING count(DISTINCT artist) >= 2")
+@C.query("f_genre_tags", "plays", "artist_tags", sql="SELECT owner, tag, count(DISTINCT artist) AS artists, sum(ms * weight)::DOUBLE / 360000000.0::DOUBLE AS weighted_hours FROM (SELECT owner, artist, sum(ms)::BIGINT AS ms FROM plays WHERE attended GROUP BY ALL) JOIN artist_tags USING (artist) GROUP BY ALL HAVING count(DISTINCT artist) >= 2")
 def genre_tags(plays: DataFrame, artist_tags: DataFrame) -> DataFrame:
     """Tags by hours, each artist's by the weight of the tag (F150)."""
     a = ALL.plays(plays).groupBy("owner", "artist").agg(F.sum("ms").alias("ms")).join(artist_tags, "artist")
-    return a.groupBy("owner", "tag").agg(F.count(F.lit(1)).alias("artists"), F.round(F.sum(F.col("ms") * F.col("weight")).cast("double") / 360000000.0, 6).alias("weighted_hours")).filter("artists >= 2")
+    return a.groupBy("owner", "tag").agg(F.count(F.lit(1)).alias("artists"), (F.sum(F.col("ms") * F.col("weight")).cast("double") / 360000000.0).alias("weighted_hours")).filter("artists >= 2")
 
 
 @C.query("f_dig_deeper", "plays", sql="""cat AS (SELECT artist, count(DISTINCT track) AS known FROM plays GROUP BY 1), h AS (SELECT owner, artist, track, count(*) AS n FROM plays WHERE attended GROUP BY ALL)

@@ -191,11 +191,11 @@ def tracks_without_words(plays: DataFrame, lyrics: DataFrame) -> DataFrame:
     return ingest.worklist(plays.select("track").distinct(), lyrics.filter(F.size("words") > 0).select("track"), plays, "track", "2001-06-01", 500)
 
 
-@C.query("w_artists_without_releases", "plays", "releases", sql=_WORK("artist", "SELECT artist FROM releases GROUP BY artist HAVING max(released) >= DATE '2001-06-01' - 60", 200))
+@C.query("w_artists_without_releases", "plays", "releases", sql=_WORK("artist", "SELECT artist FROM releases GROUP BY artist HAVING max(released) >= DATE '2001-09-18' - 60", 200))
 def artists_without_releases(plays: DataFrame, releases: DataFrame) -> DataFrame:
     """Artists whose releases are due again after sixty days."""
     tried = releases.groupBy("artist").agg(F.max("released").alias("tried"))
-    return ingest.worklist(plays.select("artist").distinct(), tried, plays, "artist", "2001-06-01", 200, retry_days=60)
+    return ingest.worklist(plays.select("artist").distinct(), tried, plays, "artist", "2001-09-18", 200, retry_days=60)
 
 
 _FAMILY = "CASE split_part(tag, ' ', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILIES.items()) + " END"

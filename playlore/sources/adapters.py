@@ -83,18 +83,28 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(ranked.select(F.col("artist").alias("other"), "n", F.col("rn").alias("at")), ["n", "at"]).select("artist", "other", (F.lit(1.0) / (1 + F.abs("step"))).alias("match"))
 
 
+def _dealt(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str) -> DataFrame:
+    """rows with artist: dealt to all artists in turn by a key. The joined side is one row."""
+    n = _read(spark, sf_dir, "supplier").agg((F.max("s_suppkey") + 1).alias("_n"))
+    return rows.join(F.broadcast(n)).withColumns({"artist": F.col(key) % F.col("_n"), "turn": F.call_function("div", F.col(key), F.col("_n"))}).drop("_n")
+
+
 def artist_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(artist, tag, weight): the types of three parts that stand for an artist, the name of one in lower case."""
-    s, p = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "part")
-    picks = s.select(F.col("s_suppkey").alias("artist"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("j")).withColumn("p_partkey", (F.col("artist") * 7 + F.col("j") * 13) % 200)
-    named = picks.join(p.select("p_partkey", "p_name", "p_type"), "p_partkey").select("artist", F.when(F.col("j") < 3, F.lower("p_type")).otherwise(F.lower("p_name")).alias("tag"), F.floor(F.lit(100) / F.col("j")).cast("int").alias("weight"))
+    """(artist, tag, weight): all parts stand for artists in turn, two by their type, the third by its name."""
+    p = _dealt(spark, sf_dir, _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_partkey").withColumn("j", (F.col("turn") % 3 + 1).cast("int"))
+    named = p.select("artist", F.when(F.col("j") < 3, F.lower("p_type")).otherwise(F.lower("p_name")).alias("tag"), F.floor(F.lit(100) / F.col("j")).cast("int").alias("weight"))
     return named.groupBy("artist", "tag").agg(F.max("weight").alias("weight"))
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(release, artist, released, kind): orders as new records."""
-    o = _read(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("release"), (F.col("o_custkey") % 1000).alias("artist"), F.to_date("o_orderdate").alias("released"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("kind"))
+    """(release, artist, released, kind): orders as new records of all artists."""
+    o = _dealt(spark, sf_dir, _read(spark, sf_dir, "orders"), "o_custkey")
+    return o.select(F.col("o_orderkey").alias("release"), "artist", F.to_date("o_orderdate").alias("released"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("kind"))
+
+
+def concerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artist, d): days of concerts, those of orders."""
+    return _dealt(spark, sf_dir, _read(spark, sf_dir, "orders"), "o_custkey").select("artist", F.to_date("o_orderdate").alias("d")).distinct()
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +196,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer")
 
 
-TABLES = {f.__name__: f for f in (plays, tracks, artists, liked, edges, artist_tags, releases, lyrics, log, scene_names, overrides, stream_plays, rates, documents, embeddings, conversations, orders, customers)}
+TABLES = {f.__name__: f for f in (plays, tracks, artists, liked, edges, artist_tags, releases, concerts, lyrics, log, scene_names, overrides, stream_plays, rates, documents, embeddings, conversations, orders, customers)}
 
 _MINUTE = "((l_orderkey * 7 + l_linenumber * 131 + l_partkey) % 1440)"
 SQL = {
@@ -202,8 +212,10 @@ SQL = {
   floor(value * 1000)::BIGINT AS ms, event_type = 'error' AS skipped, event_type IN ('click', 'signup') AS interaction, event_type AS platform FROM events""",
     "edges": f"""SELECT a.artist, b.artist AS other, 1.0::DOUBLE / (1 + abs(a.rn - b.rn)) AS match FROM (SELECT s_suppkey AS artist, s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS rn FROM supplier) a
   JOIN (SELECT s_suppkey AS artist, s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS rn FROM supplier) b ON a.n = b.n AND a.rn <> b.rn AND abs(a.rn - b.rn) <= {NEAR}""",
-    "artist_tags": """SELECT s_suppkey AS artist, CASE WHEN j < 3 THEN lower(p_type) ELSE lower(p_name) END AS tag, max(100 // j)::INTEGER AS weight FROM supplier, range(1, 4) x(j), part WHERE p_partkey = (s_suppkey * 7 + j * 13) % 200 GROUP BY 1, 2""",
-    "releases": "SELECT o_orderkey AS release, o_custkey % 1000 AS artist, o_orderdate::DATE AS released, lower(substr(o_orderpriority, 3, 20)) AS kind FROM orders",
+    "artist_tags": """SELECT s_suppkey AS artist, CASE WHEN j < 3 THEN lower(p_type) ELSE lower(p_name) END AS tag, max(100 // j)::INTEGER AS weight
+  FROM (SELECT *, p_partkey % n AS s_suppkey, p_partkey // n % 3 + 1 AS j FROM part, (SELECT max(s_suppkey) + 1 AS n FROM supplier)) GROUP BY 1, 2""",
+    "releases": "SELECT o_orderkey AS release, o_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) AS artist, o_orderdate::DATE AS released, lower(substr(o_orderpriority, 3, 20)) AS kind FROM orders",
+    "concerts": "SELECT DISTINCT o_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) AS artist, o_orderdate::DATE AS d FROM orders",
     "lyrics": f"""SELECT doc_id AS track, lang, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}]{{3,}}'))) AS words, ((coalesce(n_chars, 0) * 37) % 201 - 100) / 100.0::DOUBLE AS valence,
   {list(MOODS)}[doc_id % {len(MOODS)} + 1] AS mood, {list(THEMES)}[coalesce(n_chars, 0) % {len(THEMES)} + 1] AS theme FROM documents""",
     "log": f"""SELECT owner, mark || key AS event_id, source, CASE mark WHEN 'x' THEN ended ELSE ended - to_milliseconds(ms) + to_seconds(CASE WHEN n % 2 = 0 THEN near ELSE far END) END AS raw_at, CASE WHEN mark <> 's' OR n % 3 <> 0 THEN 't' || track END AS track_id,
