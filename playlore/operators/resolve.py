@@ -49,6 +49,22 @@ def timed(e: DataFrame, t: Tuning = Tuning()) -> DataFrame:
     ).drop("_next", "_skip")
 
 
+#: Microseconds that points may be apart, and bits of the bitmap that says where points ask: 8 MB, for any number of them.
+_WIDTH, _BITS = 30_000_000, 1 << 26
+
+
+def _near_some(points: DataFrame, asking: DataFrame) -> DataFrame:
+    """The points that may have an asking one of their keys within the width; a bitmap of hashed keys and times, so some others too."""
+    cell = F.call_function("div", F.col("t"), F.lit(_WIDTH))  # toward zero, so the cell at 0 is twice as wide
+    spot = lambda at: F.pmod(F.xxhash64("owner", "kind", "a", "b", at), F.lit(_BITS))
+    marks = asking.withColumn("at", F.explode(F.sequence(cell - 1, cell + 1))).select(spot(F.col("at")).alias("s"))
+    bits = marks.groupBy(F.expr("s div 32768").alias("_bucket")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("_bits"))
+    met = points.withColumn("_s", spot(cell)).withColumn("_bucket", F.expr("_s div 32768")).join(F.broadcast(bits), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_s") % 32768 / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (F.col("_s") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.filter(hit).select(*points.columns)
+
+
 def _spotted(plays: DataFrame) -> DataFrame:
     """(owner, play_id): the plays that give way to another."""
     source = F.col("source")
@@ -69,8 +85,11 @@ def _spotted(plays: DataFrame) -> DataFrame:
         mark = "name" if by_name else "id"
         points += [point(export | poll, f"{mark} start", start, False, by_name), point(asking, f"{mark} start", F.col("raw_at"), True, by_name)]
         points += [point(export | poll, f"{mark} end", F.col("raw_at"), False, by_name), point(asking, f"{mark} end", end, True, by_name)]
-    every = plays.select("owner", "play_id", F.explode(F.filter(F.array(*points), lambda x: x.isNotNull())).alias("p")).select("owner", "play_id", "p.*")
-    w = Window.partitionBy("owner", "kind", "a", "b").orderBy("t").rangeBetween(-30_000_000, 30_000_000)
+    spread = lambda df: df.select("owner", "play_id", F.explode(F.filter(F.array(*points), lambda x: x.isNotNull())).alias("p")).select("owner", "play_id", "p.*")
+    asking = spread(plays.filter(poll | scrobble)).filter("asks")
+    # most plays are exports that nothing asks for: their points end here, only those near an asking one move
+    every = asking.unionByName(_near_some(spread(plays.filter(export | poll)).filter("not asks"), asking))
+    w = Window.partitionBy("owner", "kind", "a", "b").orderBy("t").rangeBetween(-_WIDTH, _WIDTH)
     return every.withColumn("near", F.max(F.when(~F.col("asks"), F.lit(1))).over(w)).filter("asks and near = 1").select("owner", "play_id").distinct()
 
 
@@ -84,8 +103,8 @@ def supersede(plays: DataFrame) -> DataFrame:
     """Polls give way to exports, scrobbles to both.
 
     A poll's stamp may be the start or the end, a scrobble may lack the id. Each play puts points in time under
-    the keys by which others look for it, and asks at its own; one shuffle of points answers all, and exports,
-    which always stay, don't move otherwise. A poll's times count double, so that one width serves all.
+    the keys by which others look for it, and asks at its own; one shuffle of the points that may meet answers all,
+    and exports, which always stay, don't move otherwise. A poll's times count double, so that one width serves all.
     """
     may_go = F.coalesce(F.col("source").isin("recently_played_poll", "scrobble"), F.lit(False))
     return plays.filter(~may_go).unionByName(plays.filter(may_go).join(_spotted(plays), ["owner", "play_id"], "left_anti"))
