@@ -10,6 +10,10 @@ from playlore.functions.config import Tuning
 from playlore.operators.islands import gap_sessions
 
 
+#: Seconds that a mark may lie from the start of its session.
+MARK_SECONDS = 300
+
+
 def adaptive_gap(t: Tuning) -> Column:
     """Seconds of silence that end a session: most after a car, fewer after a play at night, least otherwise."""
     night = (F.col("previous_hour") >= 23) | (F.col("previous_hour") < 6)
@@ -128,16 +132,35 @@ def build(plays: DataFrame, t: Tuning = Tuning()) -> DataFrame:
     )
 
 
+def marks_of(sessions: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(owner, session, mark): the listener's mark that lies nearest to a session's start, within five minutes.
+
+    overrides: owner, start_at, attention. Time is cut into buckets of five minutes and a mark put into three of them, so the join
+    is on equal keys. Of marks as near as each other the later one holds, then the greater name; a mark holds for every session that it is near to.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (MARK_SECONDS * 1e6)).cast("long")
+    marks = overrides.filter("attention is not null").select("owner", F.col("start_at").alias("_at"), F.col("attention").alias("_mark"), F.explode(F.sequence(bucket("start_at") - 1, bucket("start_at") + 1)).alias("_bucket"))
+    away = F.abs(F.timestamp_diff("MICROSECOND", F.col("start_at"), F.col("_at")))
+    near = sessions.select("owner", "session", "start_at", bucket("start_at").alias("_bucket")).join(marks, ["owner", "_bucket"]).withColumn("_away", away).filter(F.col("_away") <= MARK_SECONDS * 1e6)
+    return near.groupBy("owner", "session").agg(F.max(F.struct(-F.col("_away"), F.col("_at"), F.col("_mark").alias("mark")))["mark"].alias("mark"))
+
+
 def with_overrides(sessions: DataFrame, overrides: DataFrame) -> DataFrame:
-    """sessions with the attention of the listener's own marks, which lie within five minutes of a session's start.
+    """sessions with the attention of the listener's own marks (P26). One mark holds for a session, so no session is repeated."""
+    joined = sessions.join(marks_of(sessions, overrides), ["owner", "session"], "left")
+    ms = F.when(F.col("mark") == "unattended", F.lit(0)).when(F.col("mark").isNotNull(), F.col("ms")).otherwise(F.col("attended_ms"))
+    return joined.withColumns({"attended_ms": ms, "attention": F.coalesce("mark", "attention")}).drop("mark").select(*sessions.columns)
+
+
+def written_back(plays: DataFrame, cut: DataFrame, marks: DataFrame) -> DataFrame:
+    """plays with attended and idle_min of their place in a session, which a mark overrules: `unattended` takes all of a session's plays, `active` gives them back.
 
-    overrides (owner, start_at, attention): a hand-made table, joined by owner.
+    cut: marked plays; marks: marks_of their sessions. Plays that are in no session were attended, with idle_min unknown.
     """
-    marks = overrides.select("owner", F.col("start_at").alias("_at"), F.col("attention").alias("_mark"))
-    near = F.abs(F.timestamp_diff("SECOND", F.col("start_at"), F.col("_at"))) <= 300
-    joined = sessions.join(marks, (sessions["owner"] == marks["owner"]) & near, "left").drop(marks["owner"])
-    ms = F.when(F.col("_mark") == "unattended", F.lit(0)).when(F.col("_mark").isNotNull(), F.col("ms")).otherwise(F.col("attended_ms"))
-    return joined.withColumns({"attended_ms": ms, "attention": F.coalesce("_mark", "attention")}).drop("_at", "_mark")
+    said = F.when(F.col("mark") == "unattended", False).when(F.col("mark") == "active", True).otherwise(F.col("attended"))
+    placed = cut.select("owner", "session", "play_id", "attended", "idle_min").join(marks, ["owner", "session"], "left").select("owner", "play_id", said.alias("_attended"), F.col("idle_min").alias("_idle"))
+    kept = [c for c in plays.columns if c not in ("attended", "idle_min")]
+    return plays.select(*kept).join(placed, ["owner", "play_id"], "left").select(*kept, F.coalesce("_attended", F.lit(True)).alias("attended"), F.col("_idle").alias("idle_min"))
 
 
 def transitions(sessionized: DataFrame) -> DataFrame:

@@ -186,3 +186,43 @@ def record_sessions(plays: DataFrame) -> DataFrame:
 @C.query("f_unattended_by_day", "stream_plays", sql=_CUT + "SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS sessions, avg((attention = 'unattended')::INT) AS unattended FROM ses GROUP BY 1")
 def unattended_by_day(plays: DataFrame) -> DataFrame:
     return op.build(plays, STREAM).groupBy(text(F.col("day")).alias("day")).agg(F.count(F.lit(1)).alias("sessions"), share(F.col("attention") == "unattended").alias("unattended"))
+
+
+#: Orders stand for a listener's marks on sessions: of a customer, at the hour of the order's day that its key gives.
+_MARKS = f"""mk AS (SELECT o_custkey AS owner, s.start_at + to_seconds(o_orderkey % 700 - 350) AS start_at, ['active', 'drifting', 'unattended'][o_orderkey % 3 + 1] AS attention FROM orders JOIN ses s ON s.owner = o_custkey AND s.session = 1 + o_orderkey % 5),
+nm AS (SELECT s.owner, s.session, arg_max(mk.attention, (-abs(epoch_us(s.start_at) - epoch_us(mk.start_at)), mk.start_at, mk.attention)) AS mark FROM ses s JOIN mk ON mk.owner = s.owner AND abs(epoch_us(s.start_at) - epoch_us(mk.start_at)) <= 300000000 GROUP BY ALL)"""
+
+
+def _marks(orders: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(owner, start_at, attention): an order marks one of its customer's sessions, up to six minutes off its start."""
+    at = sessions.select("owner", "session", F.col("start_at").alias("_start"))
+    o = orders.select(F.col("o_custkey").alias("owner"), (1 + F.col("o_orderkey") % 5).alias("session"), "o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("active", "drifting", "unattended"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    off = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") % 700 - 350).cast("decimal(18,6)"))
+    return o.join(at, ["owner", "session"]).select("owner", (F.col("_start") + off).alias("start_at"), kind.alias("attention"))
+
+
+@C.query("p_session_marks", "stream_plays", "orders", sql=_CUT + "," + _MARKS + " SELECT owner, session, mark, CASE WHEN mark = 'unattended' THEN 0 WHEN mark IS NOT NULL THEN ms ELSE attended_ms END AS attended_ms, coalesce(mark, attention) AS attention FROM ses LEFT JOIN nm USING (owner, session)")
+def session_marks(plays: DataFrame, orders: DataFrame) -> DataFrame:
+    """Sessions after the listener's own marks, the nearest within five minutes of a start."""
+    built = op.build(plays, STREAM)
+    marks = _marks(orders, built)
+    near = op.marks_of(built, marks)
+    return op.with_overrides(built, marks).select("owner", "session", "attended_ms", "attention").join(near, ["owner", "session"], "left").select("owner", "session", "mark", "attended_ms", "attention")
+
+
+@C.query("p_attended_plays", "stream_plays", "orders", sql=_CUT + "," + _MARKS + f" SELECT owner, play_id, CASE mark WHEN 'unattended' THEN false WHEN 'active' THEN true ELSE idle_min <= {STREAM.attention_gap_min} AND stuck_run < {STREAM.stuck_repeat_plays} END AS attended, idle_min FROM s JOIN stuck USING (owner, session) LEFT JOIN nm USING (owner, session)")
+def attended_plays(plays: DataFrame, orders: DataFrame) -> DataFrame:
+    """Every play with attention written back from its session and the listener's marks."""
+    cut = op.marked(plays, STREAM)
+    built = op.build(plays, STREAM)
+    near = op.marks_of(built, _marks(orders, built))
+    return op.written_back(plays, cut, near).select("owner", "play_id", "attended", "idle_min")
+
+
+@C.query("f_session_overrides", "stream_plays", "orders", sql=_CUT + "," + _MARKS + ", l AS (SELECT DISTINCT owner, start_at, attention FROM mk) SELECT owner, strftime(start_at, '%Y-%m-%d %H:%M:%S') AS start_at, attention, (row_number() OVER (PARTITION BY owner ORDER BY start_at DESC, attention))::INTEGER AS rank FROM l")
+def session_overrides(plays: DataFrame, orders: DataFrame) -> DataFrame:
+    """A listener's marks, the latest first."""
+    marks = _marks(orders, op.build(plays, STREAM)).distinct()
+    rank = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("start_at"), "attention"))
+    return marks.select("owner", F.date_format("start_at", "yyyy-MM-dd HH:mm:ss").alias("start_at"), "attention", rank.alias("rank"))
