@@ -9,8 +9,10 @@ far as their subsets agree, so an edit changes some subsets and leaves others.
 
 Size: the lower bound of the band says how large the lexicon can get. A term in
 at least a share p of the documents, with t distinct terms a document on average,
-leaves room for t / p terms, whatever the number of documents; over MOST_TERMS is
-an error, and calls for a narrower band.
+leaves room for t / p terms, whatever the number of documents. Up to MOST_TERMS of
+them are a look-up table in the plan, and fingerprints one projection of the texts;
+a larger lexicon stays a table, which terms are joined to. Both ways give the same
+fingerprints.
 
 Edge cases: a null text is empty; a text without lexicon terms is fingerprinted
 by all its terms, so equal texts always have equal fingerprints; repeated rows
@@ -31,8 +33,8 @@ from playlore.llm.common import let, read, row_key, stash
 LEAST_SHARE, MOST_SHARE = 0.002, 0.25
 #: Times that the lexicon is dealt into 256 subsets, by a byte of a term's hash each.
 ROUNDS = 2
-#: Buckets of the look-up table, and terms of a lexicon at most.
-BUCKETS, MOST_TERMS = 4096, 2_000_000
+#: Buckets of the look-up table, and terms at most of a lexicon that is made one.
+BUCKETS, MOST_TERMS = 4096, 200_000
 #: Rows of a bucket of ids, and buckets at most: their limits are a literal of GROUP lists.
 BUCKET_ROWS, MOST_BUCKETS, GROUP = 2000, 65536, 256
 TERM = r"[\p{L}\p{N}]+"
@@ -52,10 +54,7 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, mos
 
 
 def lookup(lex: DataFrame) -> Column:
-    """The lexicon as a literal, an array of buckets, so that a look-up costs the same for any size. Its bound is that of the lexicon."""
-    lex = stash(lex, "lexicon")  # counted and collected, from texts read once
-    if (n := lex.count()) > MOST_TERMS:
-        raise ValueError(f"{n} terms are too many for a look-up table: narrow the band")
+    """A lexicon of MOST_TERMS terms at most as a literal, an array of buckets, so that a look-up costs the same for any size."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("long")
     filled = lex.groupBy(bucket.alias("id")).agg(F.collect_list("term").alias("held"))
     empty = F.array().cast("array<string>")
@@ -81,6 +80,22 @@ def fingerprint(text: Column, buckets: Column) -> Column:
     return let(terms(text), of)
 
 
+def joined_fingerprint(df: DataFrame, text: str, lex: DataFrame, out: str) -> DataFrame:
+    """df with the fingerprint of a text column as one string: what `fingerprint` gives, for a lexicon of any size.
+
+    df is read twice. Distinct texts are fingerprinted once, keyed by digest; what is collected is the terms of one document.
+    A term stands once in the lexicon, so a frequent one is a skewed join, which adaptive execution splits.
+    """
+    digest = F.sha2(text, 256)
+    texts = df.select(digest.alias("digest"), terms(F.col(text)).alias("held")).dropDuplicates(["digest"])
+    drawn = F.array(*[F.concat(F.lit(str(r)), F.substring("m", 2 * r + 1, 2)) for r in range(ROUNDS)])
+    placed = texts.select("digest", F.explode("held").alias("term")).join(lex.select("term"), "term").withColumn("m", F.md5("term")).select("digest", "term", F.explode(drawn).alias("s"))
+    each = placed.groupBy("digest", "s").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("of"))
+    made = each.groupBy("digest").agg(F.array_join(F.sort_array(F.collect_list(F.concat("s", F.substring(F.md5("of"), 1, 5)))), "").alias("made"))
+    whole = F.concat(F.lit("---"), F.substring(F.md5(F.array_join(F.array_sort(terms(F.col(text))), " ")), 1, 5))
+    return df.withColumn("digest", digest).join(made, "digest", "left").withColumn(out, F.coalesce("made", whole)).drop("digest", "made")
+
+
 def likeness(a: Column, b: Column) -> Column:
     """The share of the subsets that either has terms of in which both agree."""
     subsets = lambda x: F.transform(x, lambda e: F.substring(e, 1, 3))
@@ -129,10 +144,15 @@ def edited_next(keyed: DataFrame, printed: Column) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    buckets = lookup(lexicon(docs))
+    lex = stash(lexicon(docs), "lexicon")  # counted and looked up, from texts read once
     body = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", body.alias("text"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
-    made = edited_next(keyed, F.array_join(fingerprint(F.col("text"), buckets), "")).withColumn("changed", F.array_join(fingerprint(F.col("edited"), buckets), ""))
+    if lex.count() <= MOST_TERMS:
+        buckets = lookup(lex)
+        made = edited_next(keyed, F.array_join(fingerprint(F.col("text"), buckets), "")).withColumn("changed", F.array_join(fingerprint(F.col("edited"), buckets), ""))
+    else:
+        printed = stash(joined_fingerprint(keyed, "text", lex, "own"), "printed")
+        made = joined_fingerprint(stash(edited_next(printed, F.col("own")), "edited"), "edited", lex, "changed")
     return made.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),

@@ -126,6 +126,20 @@ def test_a_lone_document_follows_itself(spark):
     assert fingerprints.edited_next(keyed.limit(0), F.lit("p")).count() == 0
 
 
+def test_a_lexicon_of_any_size_gives_the_same_fingerprints(spark, tmp_path, monkeypatch):
+    """As a look-up table or joined: nulls, repeated rows, one id with two texts, no terms at all, a text of 30,000 words."""
+    rows = [(i, " ".join(f"w{(i * k) % 37}" for k in range(i % 50))) for i in range(200)]
+    rows += [(7, None), (None, "w1 w2 other"), (None, None), (3, rows[3][1]), (3, rows[3][1]), (300, "..."), (301, "lonely words only"), (302, " ".join(f"w{k % 30} u{k}" for k in range(15_000)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    result = lambda: sorted((tuple(r) for r in fingerprints.op2_fingerprints(spark, str(tmp_path)).collect()), key=repr)
+    table = result()
+    monkeypatch.setattr(fingerprints, "MOST_TERMS", 0)
+    assert result() == table and len(table) == len(rows)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    monkeypatch.setattr(fingerprints, "MOST_TERMS", -1)
+    assert fingerprints.op2_fingerprints(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_fingerprint_edge_cases(spark):
     """Null ids, repeated rows, a text of 300,000 words, a clashing column, more buckets than documents, and the order of buckets."""
     words = " ".join(f"t{i}" for i in range(3000))
