@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("badges", "details", "discovery", "evidence", "finding", "insights", "library", "listening", "outlook", "periods", "receipts", "recs", "resolution", "sessions", "texts", "threads", "words", "worklists")
+MODULES: tuple[str, ...] = ("badges", "details", "discovery", "evidence", "finding", "honours", "insights", "library", "listening", "outlook", "periods", "receipts", "recs", "resolution", "sessions", "texts", "threads", "words", "worklists")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,7 +15,8 @@ TODAY = "2001-09-18"
 METHODS = ("isrc", "albums", "owner", "name")
 STATES = {"F": "found", "O": "missing", "P": "name"}
 SINCE = 725_846_400  # the first second of 1993
-_LOG = "log_ AS (SELECT o_custkey AS track, o_custkey AS artist, 'Brand#' || (11 + o_custkey % 28) AS album, CASE o_orderstatus WHEN 'F' THEN 'found' WHEN 'O' THEN 'missing' WHEN 'P' THEN 'name' END AS state, o_orderdate::DATE AS tried FROM orders), song AS (SELECT *, CASE WHEN track % 10 > 1 THEN name || '|' || album END AS isrc, track % 10 = 0 AS local FROM tracks), act AS (SELECT *, CASE WHEN artist % 3 > 0 THEN 'm' || artist END AS mbid, ['isrc', 'albums', 'owner', 'name'][artist % 4 + 1] AS method FROM artists)"
+_SONGS = "log_ AS (SELECT o_custkey AS track, o_custkey AS artist, 'Brand#' || (11 + o_custkey % 28) AS album, CASE o_orderstatus WHEN 'F' THEN 'found' WHEN 'O' THEN 'missing' WHEN 'P' THEN 'name' END AS state, o_orderdate::DATE AS tried FROM orders), song AS (SELECT *, CASE WHEN track % 10 > 1 THEN name || '|' || album END AS isrc, track % 10 = 0 AS local FROM tracks)"
+_LOG = _SONGS + ", act AS (SELECT *, CASE WHEN artist % 3 > 0 THEN 'm' || artist END AS mbid, ['isrc', 'albums', 'owner', 'name'][artist % 4 + 1] AS method FROM artists)"
 
 
 def _attempts(orders: DataFrame) -> DataFrame:

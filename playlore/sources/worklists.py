@@ -92,3 +92,18 @@ def capture_windows(captures: DataFrame, accounts: DataFrame) -> DataFrame:
     forward = F.struct(F.lit("forward").alias("kind"), F.coalesce(F.greatest(F.col("newest") + 1, "since"), "since").alias("first"), F.lit(None).cast("long").alias("last"))
     gap = F.when(~F.col("backfilled") & (F.col("oldest") > F.col("since") + 1), F.struct(F.lit("backfill").alias("kind"), F.col("since").alias("first"), (F.col("oldest") - 1).alias("last")))
     return a.select("owner", F.explode(F.filter(F.array(forward, gap), lambda x: x.isNotNull())).alias("w")).select("owner", "w.*")
+
+
+#: Hours after which a playlist by rule is due again.
+CADENCE_HOURS = {"daily": 20, "weekly": 6 * 24 + 20}
+
+
+def refresh_due(definitions: DataFrame, now: str, sky: str | None, forced: list[str] | None = None) -> DataFrame:
+    """Definitions that were never built, or longer ago than their cadence, and whose gate is open under today's sky (F191).
+
+    definitions: definition, cadence, gate (null: open), built. Any cadence but daily is weekly. Forced ones are due whatever else holds.
+    """
+    hours = F.when(F.col("cadence") == "daily", CADENCE_HOURS["daily"]).otherwise(CADENCE_HOURS["weekly"])
+    old = F.col("built").isNull() | (F.timestamp_diff("SECOND", F.col("built"), F.lit(now).cast("timestamp_ntz")) >= 3600 * hours)
+    is_open = F.col("gate").isNull() | F.col("gate").eqNullSafe(F.lit(sky))
+    return definitions.filter((old & is_open) | F.col("definition").isin(forced or []))
