@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,26 @@ def neighbours(documents: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "copies_a", "copies_b", F.size(F.array_intersect("terms_a", "terms_b")).alias("shared"))
 
 
+@C.query("f_text_links", "documents", sql=_TFIDF + """, x AS (SELECT doc_id, list(term ORDER BY term) AS terms FROM k WHERE rank <= 5 GROUP BY 1 HAVING count(*) >= 3), g AS (SELECT terms, min(doc_id) AS class, count(*) AS size FROM x GROUP BY 1),
+l AS (SELECT a.terms, count(*) AS links, sum(b.size) AS docs FROM g a JOIN g b ON a.class <> b.class AND len(list_intersect(a.terms, b.terms)) >= 3 GROUP BY 1)
+SELECT doc_id, class, size AS copies, coalesce(links, 0) AS links, coalesce(docs, 0)::BIGINT AS linked_docs FROM x JOIN g USING (terms) LEFT JOIN l USING (terms)""")
+def text_links(documents: DataFrame) -> DataFrame:
+    """Each text's class of equal keywords, and how many classes and texts share three of its five (F114), without a pair being formed.
+
+    Counts of subsets of three, four and five terms, weighted 1, -3 and 6, add up to one for each class that shares three or
+    more, whether it shares 3, 4 or 5. So a frequent triple costs as much as a rare one: one row a class.
+    """
+    k = op.tf_idf(op.terms(documents, "doc_id", F.col("text"), "lang"), "doc_id", "lang", top=5)
+    x = k.groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("terms")).filter(F.size("terms") >= 3)
+    g = x.groupBy("terms").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("size"))
+    chosen = [F.struct(F.concat_ws(" ", *[F.get("terms", F.lit(i)) for i in some]).alias("some"), F.when(F.lit(max(some)) < F.size("terms"), F.lit(w)).alias("w")) for n, w in ((3, 1), (4, -3), (5, 6)) for some in combinations(range(5), n)]
+    parts = g.select("class", "size", F.explode(F.filter(F.array(*chosen), lambda s: s["w"].isNotNull())).alias("s")).select("class", "size", "s.*")
+    counted = parts.groupBy("some").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("d"))
+    sums = parts.join(counted, "some").groupBy("class", "size").agg((F.sum(F.col("w") * F.col("n")) - 1).alias("links"), F.sum(F.col("w") * F.col("d")).alias("d"))
+    linked = g.select("terms", "class").join(sums, "class")
+    return x.join(linked, "terms").select("doc_id", "class", F.col("size").alias("copies"), "links", (F.col("d") - F.col("size")).alias("linked_docs"))
+
+
 @C.query("f_wordiness", "documents", sql=_TERMS + " SELECT doc_id, sum(tf)::BIGINT AS words, count(*) AS terms, count(*)::DOUBLE / sum(tf)::DOUBLE AS richness FROM c GROUP BY doc_id HAVING sum(tf) >= 50")
 def wordiness(documents: DataFrame) -> DataFrame:
     """Words, and how many of them differ (F110)."""
