@@ -17,7 +17,7 @@ from playlore.llm.common import forget, stash
 def _pointed(edges: DataFrame) -> DataFrame:
     """(node, near, least): each edge seen from node, with the least of node and its neighbours."""
     least = edges.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("m", "node").alias("least"))
-    return edges.join(least, "node")
+    return edges.join(least.hint("merge"), "node")  # never broadcast: some thirty such joins would gather in the driver
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

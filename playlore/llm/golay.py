@@ -168,7 +168,7 @@ def _crowded(prints: DataFrame) -> DataFrame:
     """(a, b): links that connect whatever prints differ in 3 bits at most, without a pair being formed."""
     ball = lambda bits, n: prints.mapInArrow(_listed("word", lambda p: around(p, bits), n), "print long, word long")
     hubs = ball(1, 10_000).groupBy("word").agg(F.min("print").alias("a"))
-    return ball(2, 500).join(hubs, "word").select("a", F.col("print").alias("b")).filter("a <> b").distinct()
+    return ball(2, 500).join(hubs.hint("merge"), "word").select("a", F.col("print").alias("b")).filter("a <> b").distinct()
 
 
 def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -176,12 +176,12 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     keyed = prints.mapInArrow(_listed("key", keys, 5_000), "print long, key long")
     full = stash(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "crowded-keys")
     crowded = not full.isEmpty()
-    rest = keyed.join(full, "key", "left_anti") if crowded else keyed
+    rest = keyed.join(full.hint("merge"), "key", "left_anti") if crowded else keyed
     left, right = rest.withColumnRenamed("print", "a"), rest.withColumnRenamed("print", "b")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (differ <= BITS)).select("a", "b").distinct()
+    pairs = left.join(right.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (differ <= BITS)).select("a", "b").distinct()
     if crowded:
-        pairs = pairs.unionByName(_crowded(stash(keyed.join(full, "key", "left_semi").select("print").distinct(), "crowded-prints")))
+        pairs = pairs.unionByName(_crowded(stash(keyed.join(full.hint("merge"), "key", "left_semi").select("print").distinct(), "crowded-prints")))
     return pairs
 
 
@@ -193,12 +193,12 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     found = stash(links(prints.select("print"), crowd), "print-links")
     of = stash(components(found), "print-components")
     forget(found)
-    placed = prints.join(of.withColumnRenamed("node", "print"), "print", "left")
+    placed = prints.join(of.withColumnRenamed("node", "print").hint("merge"), "print", "left")  # nothing that grows passes through the driver
     placed = stash(placed.select("print", "least", F.coalesce("component", "print").alias("component")), "placed-prints")
-    linked = placed.join(of.select("component").distinct(), "component", "left_semi")
+    linked = placed.join(of.select("component").distinct().hint("merge"), "component", "left_semi")
     first = linked.groupBy("component").agg(F.min("least").alias("first"))
-    ids = placed.join(first, "component", "left").select("print", F.coalesce("first", "least").alias("component_id"))
-    return made.join(ids, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    ids = placed.join(first.hint("merge"), "component", "left").select("print", F.coalesce("first", "least").alias("component_id"))
+    return made.join(ids.hint("merge"), "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
