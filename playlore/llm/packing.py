@@ -17,8 +17,11 @@ carried, so none can clash.
 
 from __future__ import annotations
 
+import array
 import bisect
 import os
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -36,11 +39,35 @@ BUCKETS, REMEMBERED = 256, 250_000
 PIECES = "row_key string, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: A word of lower-case letters that every step before the model leaves as they are, and the signs that may follow them: no
+#: letter, number or part of a special token.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-/:;=?@\\[-`{}~]*)")
+#: The letters of a byte-level model: a byte that prints is itself, the n-th other is U+0100 + n.
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {x: chr(x) for x in _PRINT} | {x: chr(256 + n) for n, x in enumerate(x for x in range(256) if x not in _PRINT)}
+
+
+def _plain_splits(tokenizer) -> bool:
+    """Whether a run of plain letters is one input of the model, spelt by its bytes: asked of the tokenizer's own steps."""
+    if tokenizer.pre_tokenizer is None or tokenizer.truncation or tokenizer.padding:
+        return False
+    for word in ("menteiega", "ßüß", "éöaÿ"):
+        for signs in ("", ".", "$$$", "'", "!?"):
+            text = word + signs if tokenizer.normalizer is None else tokenizer.normalizer.normalize_str(word + signs)
+            spelt = ["".join(_LETTERS[x] for x in part.encode()) for part in (word, signs) if part]
+            if text != word + signs or [t for t, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] != spelt:
+                return False
+            if tokenizer.encode(text, add_special_tokens=False).ids != [t.id for part in spelt for t in tokenizer.model.tokenize(part)]:
+                return False
+    return True
+
+
 class WordIds:
     """Token ids of white-space-separated words, as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words
-    in turn. Words are remembered in two generations of bounded size.
+    in turn. Words are remembered in two generations of bounded size. A word of plain letters is given to the
+    tokenizer's model at once, a fifth of the work, if the steps before it would hand it over as it is.
     """
 
     def __init__(self, name: str):
@@ -52,13 +79,18 @@ class WordIds:
 
             name = public_tokenizers.path(name)
         self.tokenizer, self.young, self.old = Tokenizer.from_file(name), {}, {}
+        self.model = self.tokenizer.model if _plain_splits(self.tokenizer) else None
 
     def _encode(self, word: bytes) -> bytes:
-        # A full stop or comma after letters is a token of its own, so such words share the letters' ids.
-        if word[-1:] in (b".", b",") and len(word) > 1 and word[:-1].decode().isalpha():
-            return self[word[:-1]] + self[word[-1:]]
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        text = word.decode()
+        plain = _PLAIN.fullmatch(text) if self.model is not None else None
+        if plain is not None and plain[2]:  # signs after letters are a part of their own, so such words share the letters' ids
+            return self[plain[1].encode()] + self[plain[2].encode()]
+        if plain is not None:
+            ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(_LETTERS.__getitem__, word)))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return _little(ids)
 
     def __getitem__(self, word: bytes) -> bytes:
         found = self.young.get(word)
@@ -83,6 +115,13 @@ class WordIds:
         return b"".join(out)
 
 
+def _little(ids: list[int]) -> bytes:
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 _LOADED: dict[str, WordIds] = {}
 
 

@@ -58,3 +58,29 @@ def test_pieces_and_places(spark):
         assert end <= 2048
     assert len(bins) <= sum(r.length for r in out) / 2048 + 2
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_words_of_plain_letters_skip_the_steps_before_the_model():
+    words = packing.WordIds(packing.TOKENIZER)
+    whole, asked = words.tokenizer, []
+
+    class Counted:
+        def encode(self, text, **kw):
+            asked.append(text)
+            return whole.encode(text, **kw)
+
+    words.tokenizer = Counted()
+    text = "menteiega oforstené, edesly$$$ ßüzu. auung!! 1.43 É'sÉ l'été a<|b don't x|> naı̈ve"
+    ids = whole.encode(text, add_special_tokens=False).ids
+    assert words.of(text.encode()) == b"".join(i.to_bytes(4, "little") for i in ids)
+    assert not {"menteiega", "oforstené,", "oforstené", "edesly$$$", "edesly", "ßüzu.", "ßüzu", "auung!!", "auung"} & set(asked)
+
+
+def test_a_tokenizer_that_joins_or_changes_plain_letters_is_asked_whole(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    odd = Tokenizer(models.WordLevel({"?": 0, "oof": 1, "foo": 2}, unk_token="?"))
+    odd.normalizer, odd.pre_tokenizer = normalizers.Replace("foo", "oof"), pre_tokenizers.WhitespaceSplit()
+    odd.save(f"{tmp_path}/odd.json")
+    words = packing.WordIds(f"{tmp_path}/odd.json")
+    assert words.model is None and words.of(b"foo oof") == (1).to_bytes(4, "little") * 2
