@@ -148,3 +148,15 @@ def test_tags_and_weather(spark):
     assert [r.kind for r in d.orderBy("day").collect()] == ["observed", "forecast"]
     worse = d.withColumn("kind", F.lit("forecast")).withColumn("code", F.lit(99))
     assert [r.code for r in ingest.merge_weather(d, worse).orderBy("day").collect()] == [0, 99]
+
+
+def test_polls_are_matched_by_one_shuffle_to_the_edge_of_each_width(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    kind = "owner string, spotify_track_id string, raw_at timestamp, played_at_utc timestamp, source string, ms_played long"
+    plays = spark.createDataFrame([("o", "a", at(1000), at(1000), "extended_export", 100_000), ("o", "b", at(1000), at(1100), "recently_played_poll", 100_000), ("o", None, at(0), at(0), "extended_export", 0)], kind)
+    asked = [("a", 1015, 1), ("a", 1016, 1), ("a", 885, 1), ("a", 884, 1), ("a", 800, 202_000), ("a", 800, 202_001), ("b", 1015, 1), ("b", 1016, 1), ("b", 1110, 1), ("c", 1000, 1), (None, 0, 0), ("a", 884, 1)]
+    polled = spark.createDataFrame([("o", i, at(s), ms) for i, s, ms in asked], "owner string, spotify_track_id string, occurred_at timestamp, ms_played long")
+    left = ingest.poll_new(polled, plays)
+    got = sorted(((r.spotify_track_id or "", int((r.occurred_at - T0).total_seconds()), r.ms_played) for r in left.collect()))
+    assert got == sorted([("a", 1016, 1), ("a", 884, 1), ("a", 884, 1), ("a", 800, 202_001), ("b", 1016, 1), ("b", 1110, 1), ("c", 1000, 1), ("", 0, 0)])
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("explode") == 0  # no row of a play is put into buckets
