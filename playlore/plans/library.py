@@ -11,7 +11,7 @@ from playlore.functions.compat import arg_max, hours, ratio, share, text, week
 from playlore.functions.config import Lens
 from playlore.operators import vectors
 from playlore.operators.islands import change_runs, day_runs
-from playlore.operators.joins import top_by
+from playlore.operators.joins import spread, top_by
 from playlore.plans.base import Catalogue
 
 C = Catalogue()
@@ -139,7 +139,7 @@ def concerts(plays: DataFrame, concerts: DataFrame) -> DataFrame:
 @C.query("f_same_song_streak", "plays", sql="d AS (SELECT DISTINCT owner, track, day FROM plays WHERE attended), g AS (SELECT owner, track, day - (row_number() OVER (PARTITION BY owner, track ORDER BY day))::INTEGER AS k FROM d), r AS (SELECT owner, track, count(*) AS days FROM g GROUP BY owner, track, k) SELECT owner, arg_max(track, (days, -track)) AS track, max(days) AS days FROM r GROUP BY owner")
 def same_song_streak(plays: DataFrame) -> DataFrame:
     """The song heard the most days running (F197)."""
-    r = day_runs(ALL.plays(plays), ["owner", "track"])
+    r = day_runs(spread(ALL.plays(plays).select("owner", "track", "day"), plays.count(), "owner", "track"), ["owner", "track"])
     return r.groupBy("owner").agg(arg_max(F.col("track"), F.col("length"), -F.col("track")).alias("track"), F.max("length").alias("days"))
 
 
