@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from playlore.functions.compat import arg_max, hours, ratio, share, text, week
 from playlore.functions.config import Lens
+from playlore.functions.scratch import written
 from playlore.operators import vectors
-from playlore.operators.joins import any_of, top_by
+from playlore.operators.joins import any_of, spread, top_by
 from playlore.plans.base import Catalogue
 
 C = Catalogue()
@@ -284,7 +285,8 @@ def length_bands(plays: DataFrame, tracks: DataFrame) -> DataFrame:
 def skip_hall(plays: DataFrame) -> DataFrame:
     """Tracks that are nearly always skipped, sprees of skipping left out (F162)."""
     sprees = plays.groupBy("owner", "day").agg(F.count_if("skipped").alias("n"), share(F.col("skipped")).alias("r")).filter("n >= 3 and r >= 0.9").select("owner", "day")
-    return plays.join(sprees, ["owner", "day"], "left_anti").groupBy("owner", "track").agg(F.count(F.lit(1)).alias("shown"), share(F.col("skipped")).alias("skip_rate")).filter("shown >= 3 and skip_rate >= 0.85")
+    left = plays.select("owner", "day", "track", "skipped").join(written(sprees, "sprees"), ["owner", "day"], "left_anti")
+    return spread(left.drop("day"), plays.count(), "owner", "track").groupBy("owner", "track").agg(F.count(F.lit(1)).alias("shown"), share(F.col("skipped")).alias("skip_rate")).filter("shown >= 3 and skip_rate >= 0.85")
 
 
 @C.query("f_awards", "plays", sql="""y AS (SELECT owner, year(day)::INTEGER AS year, artist, count(*) AS n, sum(skipped::INT)::BIGINT AS k, min(day) AS f FROM plays WHERE attended GROUP BY ALL)
