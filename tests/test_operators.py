@@ -95,3 +95,20 @@ def test_parameters_are_clamped_and_the_lens_reaches_the_scan(spark, tmp_path):
     seen = Lens(first_year=2020, last_year=2020).plays(spark.read.parquet(path))
     assert seen.count() == 1
     assert "GreaterThanOrEqual(day,2020-01-01)" in seen._jdf.queryExecution().executedPlan().toString()
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_counts_of_terms_take_one_shuffle_of_texts_and_stay_by_text(spark):
+    docs = spark.createDataFrame([(i, "en", f"common words word{i} word{i % 3}") for i in range(20)] + [(3, "en", "again word3")], "id int, lang string, t string")
+    counted = text.terms(docs, "id", F.col("t"), "lang")
+    assert {(r.term, r.tf) for r in counted.filter("id = 3").collect()} == {("common", 1), ("words", 1), ("word", 3), ("again", 1)}
+    ranked = text.tf_idf(counted, "id", "lang")
+    assert _shuffles(counted) == 1 and _shuffles(ranked) == 1
+
+
+def test_spread_makes_parts_of_bounded_size(spark):
+    df = joins.spread(spark.range(1000).withColumn("k", F.col("id") % 500), 1000, "k", rows=100)
+    assert df.rdd.getNumPartitions() == 10 and joins.spread(spark.range(0), 0, "id").count() == 0
