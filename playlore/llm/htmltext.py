@@ -13,8 +13,10 @@
    stretch is repeated if distinct pages, PAGES or more, hold it, and common if HALF
    of its host's pages do. A whole block is a stretch of its own; a page counts once, whatever blocks hold the stretch, and so
    do rows of one host with equal html. Blocks under LONG tokens are suffixes as a whole.
-   Within an article's own paragraphs the array is sparse: the least of each WINDOW
-   suffixes, and the whole block, which no longer repeat than that can slip through.
+   Within an article's own paragraphs only common stretches count, so only suffixes that
+   may be common are in the array: each page marks the buckets (SPOTS a host) that its suffixes
+   fall in, buckets are counted by pages, and a suffix whose bucket fewer pages mark than make a
+   stretch common can't be common itself. No suffix that is common is left out.
 3. A block of which repeated stretches cover MOST of the tokens is boilerplate. In
    an article's own paragraphs, which may quote each other, only common stretches
    count. If that leaves under LEFT of the candidates' tokens, the page is a copy of
@@ -28,7 +30,7 @@ the bar to that of open text.
 
 Edge cases: null or empty html gives an empty text; a null url is a host of its
 own; repeated rows, and pages of a host with equal html, count as one page, and each keeps its text; very long pages
-are parsed twice each, in time linear in their length; an empty table stays empty;
+are parsed once each, in time linear in their length; an empty table stays empty;
 input columns beyond page_id, url and html are not carried; stretches that tie are
 one stretch, whichever page has them first.
 """
@@ -47,8 +49,10 @@ from pyspark.sql import functions as F
 
 from playlore.llm.common import marked, read, stash
 
-#: Production parameters: tokens that must agree, pages that must share them, the sampling window inside articles.
+#: Production parameters: tokens that must agree, pages that must share them, the window of `sampled`.
 LONG, PAGES, WINDOW = 8, 3, 24
+#: Buckets of a host that suffixes of its articles' paragraphs are counted in before they are listed.
+SPOTS = 4096
 #: Shares: of a host's pages for common stretches, of a block's tokens, of a page's tokens.
 HALF, MOST, LEFT = 0.5, 0.5, 0.2
 #: Elements without visible text of the page.
@@ -273,21 +277,42 @@ def sampled(heads: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(view.argmin(1) + np.arange(len(view)))
 
 
-def array_of(blocks: list[tuple[int, int, int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix, page, undecided) of all blocks (host, page, OWN or OPEN, text): what of_block, sampled and block_hash give of each, at once."""
-    split = [text.split() for *_, text in blocks]
-    lengths = np.array([len(t) for t in split])
-    hosts, pages, says = (np.array([b[i] for b in blocks], kind) for i, kind in ((0, np.uint64), (1, np.int64), (2, np.int8)))
-    h = token_hashes([t for tokens in split for t in tokens])
-    ends = np.cumsum(lengths)
-    block = np.repeat(np.arange(len(blocks)), lengths)
+class Stream:
+    """The tokens of blocks (host, page, OWN or OPEN, text), and of each the suffix that it starts (heads), the block (of) and whether it ends within that."""
+
+    def __init__(self, blocks: list[tuple[int, int, int, str]]):
+        split = [text.split() for *_, text in blocks]
+        self.lengths = np.array([len(t) for t in split], np.int64)
+        self.hosts, self.pages, self.says = (np.array([b[i] for b in blocks], kind) for i, kind in ((0, np.uint64), (1, np.int64), (2, np.int8)))
+        self.h = token_hashes([t for tokens in split for t in tokens])
+        self.ends = np.cumsum(self.lengths)
+        block = np.repeat(np.arange(len(blocks)), self.lengths)
+        self.of = block[: max(0, len(self.h) - LONG + 1)]
+        self.heads = suffixes(self.hosts[self.of], self.h, LONG) if len(self.of) else np.zeros(0, np.uint64)
+        self.inside = np.arange(len(self.heads)) + LONG <= self.ends[self.of]
+
+
+def spots(heads: np.ndarray) -> np.ndarray:
+    return (heads % np.uint64(SPOTS)).astype(np.int64)
+
+
+def array_of(blocks: list[tuple[int, int, int, str]], hot: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix, page, undecided) of all blocks (host, page, OWN or OPEN, text): what of_block and block_hash give of each, at once.
+
+    hot: of each host, which of the SPOTS may hold a common suffix; suffixes of OWN blocks elsewhere are left out, as are those of hosts without. Without hot OWN blocks are sampled.
+    """
+    x = Stream(blocks)
     out_s, out_b = [], []
-    if len(h) >= LONG:
-        heads, of = suffixes(hosts[block[: len(h) - LONG + 1]], h, LONG), block[: len(h) - LONG + 1]
-        inside = np.arange(len(heads)) + LONG <= ends[of]
-        taken = inside & (says[of] == OPEN)
-        own = np.flatnonzero(inside & (says[of] == OWN))
-        if len(own):
+    if len(x.heads):
+        heads, of = x.heads, x.of
+        taken = x.inside & (x.says[of] == OPEN)
+        own = np.flatnonzero(x.inside & (x.says[of] == OWN))
+        if hot is not None:
+            names = {name: i + 1 for i, name in enumerate(hot)}
+            table = np.stack([np.zeros(SPOTS, bool), *hot.values()])
+            row = np.array([names.get(int(b[0]), 0) for b in blocks], np.int64)
+            taken[own] = table[row[of[own]], spots(heads[own])]
+        elif len(own):
             mixed, at = _mixed(heads[own]), of[own]
             firsts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             counts = np.diff(np.r_[firsts, len(at)])
@@ -300,31 +325,26 @@ def array_of(blocks: list[tuple[int, int, int, str]]) -> tuple[np.ndarray, np.nd
                 taken[own[firsts[i] + int(mixed[firsts[i] : firsts[i] + counts[i]].argmin())]] = True
         out_s.append(heads[taken])
         out_b.append(of[taken])
-    small = [i for i, n in enumerate(lengths.tolist()) if n < LONG]
-    out_s.append(np.array([suffixes(int(hosts[i]), h[ends[i] - lengths[i] : ends[i]], int(lengths[i]))[0] for i in small], np.uint64))
+    small = [i for i, n in enumerate(x.lengths.tolist()) if n < LONG]
+    out_s.append(np.array([suffixes(int(x.hosts[i]), x.h[x.ends[i] - x.lengths[i] : x.ends[i]], int(x.lengths[i]))[0] for i in small], np.uint64))
     out_b.append(np.array(small, np.int64))
     out_s.append(np.array([block_hash(int(b[0]), b[3]) for b in blocks], np.uint64))
     out_b.append(np.arange(len(blocks)))
     of = np.concatenate(out_b)
-    return np.concatenate(out_s), pages[of], says[of] == OPEN
+    return np.concatenate(out_s), x.pages[of], x.says[of] == OPEN
 
 
-def covered(host: int, text: str, says: int, known: np.ndarray) -> float:
-    """The share of the block's tokens in stretches of `known`, a sorted array; between neighbouring samples that are known, all is."""
+def covered(host: int, text: str, known: np.ndarray) -> float:
+    """The share of the block's tokens in stretches of `known`, a sorted array."""
     if not len(known):
         return 0.0
     if _among(np.array([block_hash(host, text)]), known)[0]:
         return 1.0
     heads, span = of_block(host, text)
-    at = np.arange(len(heads)) if says == OPEN else sampled(heads)
-    hit = _among(heads[at], known)
     marks = np.zeros(len(heads) + span, np.int64)
-    for i in at[hit].tolist():
-        marks[i] += 1
-        marks[i + span] -= 1
-    for i, j in zip(at[:-1][hit[:-1] & hit[1:]].tolist(), at[1:][hit[:-1] & hit[1:]].tolist(), strict=True):
-        marks[i] += 1
-        marks[j] -= 1
+    hit = np.flatnonzero(_among(heads, known))
+    marks[hit] += 1
+    marks[hit + span] -= 1
     return float((np.cumsum(marks[:-1]) > 0).mean())
 
 
@@ -336,11 +356,11 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 def kept_blocks(host: int, blocks: list[tuple[str, int]], repeated: np.ndarray, common: np.ndarray) -> list[str]:
     """The texts that stay. repeated and common: sorted suffixes of this page's host."""
     candidates = [(text, says) for text, says in blocks if says != DROP]
-    by_repeats = [text for text, says in candidates if covered(host, text, says, common if says == OWN else repeated) < MOST]
+    by_repeats = [text for text, says in candidates if covered(host, text, common if says == OWN else repeated) < MOST]
     size = lambda texts: sum(len(t.split()) for t in texts)
     if size(by_repeats) >= LEFT * size(t for t, _ in candidates):
         return by_repeats
-    return [text for text, says in candidates if covered(host, text, says, common) < MOST] or [text for text, _ in candidates]
+    return [text for text, says in candidates if covered(host, text, common) < MOST] or [text for text, _ in candidates]
 
 
 def host(url) -> object:
@@ -354,9 +374,9 @@ def _lists(pages: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(pages))
 
 
-def _intervals(hosts: list[int], keys: list[int], blocks: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+def _intervals(hosts: list[int], keys: list[int], blocks: list[tuple[int, int, int, str]], hot: dict[int, np.ndarray]) -> pa.RecordBatch:
     """A row for each suffix of a host: its pages, each once whatever blocks it stands in, and those where it stands in an open block."""
-    s, p, u = array_of(blocks)
+    s, p, u = array_of(blocks, hot)
     order = np.lexsort((~u, p, s))
     s, p, u = s[order], p[order], u[order]
     first = np.r_[True, (s[1:] != s[:-1]) | (p[1:] != p[:-1])]  # of a suffix and page, with the open block first
@@ -368,20 +388,67 @@ def _intervals(hosts: list[int], keys: list[int], blocks: list[tuple[int, int, i
     return pa.RecordBatch.from_arrays(arrays, names=["host", "suffix", "pages", "undecided"])
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with the candidates among their blocks, and what markup says of each, in place of html."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            found = [[b for b in parsed(html) if b[1] != DROP] for html in part.column(4).to_pylist()]
+            arrays = [*part.columns[:4], pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[s for _, s in x] for x in found], pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "page", "host", "texts", "says"])
+
+
+def _chunks(rows: Iterator[tuple[int, list[str], list[int]]]) -> Iterator[tuple[list[tuple[int, int, int, str]], int]]:
+    """(blocks, pages so far) of some 8 MB of text at a time. rows: host, texts, says of each page."""
+    blocks, size, i = [], 0, -1
+    for i, (name, texts, says) in enumerate(rows):
+        blocks += [(name & 0xFFFFFFFFFFFFFFFF, i, s, t) for t, s in zip(texts, says, strict=True)]
+        size += sum(map(len, texts))
+        if size > 8_000_000:
+            yield blocks, i + 1
+            blocks, size = [], 0
+    yield blocks, i + 1
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each host of some pages, how many there are, and how many of them have a suffix of an article's paragraph in each spot."""
+    for batch in batches:
+        hosts, texts, says = [c.to_pylist() for c in batch.columns]
+        done = 0
+        for blocks, upto in _chunks(zip(hosts, texts, says, strict=True)):
+            names = sorted(set(hosts[done:upto]))
+            number = {name: i for i, name in enumerate(names)}
+            of = np.array([number[name] for name in hosts[done:upto]], np.int64)
+            x = Stream(blocks)
+            own = np.flatnonzero(x.inside & (x.says[x.of] == OWN))
+            marks = np.unique((x.pages[x.of[own]] - done) * SPOTS + spots(x.heads[own]))  # a page marks a spot once
+            sums = np.bincount(of[marks // SPOTS] * SPOTS + marks % SPOTS, minlength=len(names) * SPOTS).astype("<u4").reshape(-1, SPOTS)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.bincount(of, minlength=len(names)), pa.int64()), pa.array([s.tobytes() for s in sums], pa.binary())], names=["host", "n", "marks"])
+            done = upto
+
+
+def _hot(shared: int, half: float):
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a host, the spots that so many pages mark as hold a common stretch, as bits."""
+        name, n, sums = None, 0, np.zeros(SPOTS, np.int64)
+        for batch in batches:
+            for name, k, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                n += k
+                sums += np.frombuffer(marks, "<u4")
+        bits = np.packbits((sums >= shared) & (sums >= half * n)).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([bits], pa.binary())], names=["host", "hot"])
+
+    return hot
+
+
 def _sorted_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The suffix arrays of the hosts of some pages, as intervals; and a row without a suffix that names each host's pages. No page is given twice."""
     for batch in batches:
-        keys, hosts, docs = [c.to_pylist() for c in batch.columns]
-        blocks, size = [], 0
-        for i, (name, html) in enumerate(zip(hosts, docs, strict=True)):
-            own = [(name & 0xFFFFFFFFFFFFFFFF, i, says, text) for text, says in parsed(html) if says != DROP]
-            blocks += own
-            size += sum(len(b[3]) for b in own)
-            if size > 8_000_000:
-                yield _intervals(hosts, keys, blocks)
-                blocks, size = [], 0
-        if blocks:
-            yield _intervals(hosts, keys, blocks)
+        keys, hosts, texts, says, bits = [c.to_pylist() for c in batch.columns]
+        hot = {name & 0xFFFFFFFFFFFFFFFF: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for name, b in zip(hosts, bits, strict=True) if b is not None}
+        for blocks, _ in _chunks(zip(hosts, texts, says, strict=True)):
+            if blocks:
+                yield _intervals(hosts, keys, blocks, hot)
         by_host: dict[int, list[int]] = {}
         for key, name in zip(keys, hosts, strict=True):
             by_host.setdefault(name, []).append(key)
@@ -392,11 +459,11 @@ def _sorted_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for name, html, repeated, common in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
+        out = []
+        for name, texts, says, repeated, common in zip(*[batch.column(i).to_pylist() for i in range(2, 7)], strict=True):
             known = [np.sort(np.array(x or [], np.int64).view(np.uint64)) for x in (repeated, common)]
-            texts.append("\n".join(kept_blocks(name & 0xFFFFFFFFFFFFFFFF, parsed(html), *known)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            out.append("\n".join(kept_blocks(name & 0xFFFFFFFFFFFFFFFF, list(zip(texts, says, strict=True)), *known)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
 def _once(keyed: DataFrame) -> DataFrame:
@@ -406,9 +473,13 @@ def _once(keyed: DataFrame) -> DataFrame:
     return split.filter("not maybe").drop("maybe").unionByName(split.filter("maybe").drop("maybe").dropDuplicates(["page"]))
 
 
-def repeats(keyed: DataFrame, shared: int = PAGES, half: float = HALF) -> DataFrame:
-    """(page, repeated, common): the suffixes of each page that bear on a block of it. keyed: page, host, html."""
-    rows = stash(_once(keyed).mapInArrow(_sorted_suffixes, ARRAY), "suffix-arrays")
+def repeats(blocks: DataFrame, shared: int = PAGES, half: float = HALF) -> DataFrame:
+    """(page, repeated, common): the suffixes of each page that bear on a block of it. blocks: page, host, texts, says."""
+    once = _once(blocks)
+    counted = once.select("host", "texts", "says").mapInArrow(_counted, "host long, n long, marks binary")
+    hot = stash(counted.groupBy("host").applyInArrow(_hot(shared, half), "host long, hot binary").filter(F.expr("hot <> repeat(X'00', length(hot))")), "hot-spots")
+    listed = once.join(hot, "host", "left").select("page", "host", "texts", "says", "hot")
+    rows = stash(listed.mapInArrow(_sorted_suffixes, ARRAY), "suffix-arrays")
     merged = rows.filter("suffix is not null").select("host", "suffix", F.size("pages").alias("n")).groupBy("suffix", "host").agg(F.sum("n").alias("n"))
     sizes = rows.filter("suffix is null").groupBy("host").agg(F.sum(F.size("pages")).alias("of"))
     known = merged.filter(F.col("n") >= shared).join(sizes, "host").select("host", "suffix", (F.col("n") >= half * F.col("of")).alias("is_common"))
@@ -421,14 +492,16 @@ def repeats(keyed: DataFrame, shared: int = PAGES, half: float = HALF) -> DataFr
 
 
 def extract(pages: DataFrame, shared: int = PAGES) -> DataFrame:
-    """(page_id, url, text), a row for each row of pages. Pages without a repeated stretch that could matter stay where they are."""
+    """(page_id, url, text), a row for each row of pages, parsed once. Pages without a repeated stretch that could matter stay where they are."""
     named = host(F.col("url"))
-    keyed = pages.select(F.col("page_id").cast("long"), "url", "html", F.xxhash64(named, "html").alias("page"), F.xxhash64(named).alias("host"))
-    bearing = stash(repeats(keyed.select("page", "host", "html"), shared), "page-repeats")
-    split = marked(keyed, bearing.select("page"), "page")
+    keyed = pages.select(F.col("page_id").cast("long"), "url", F.xxhash64(named, "html").alias("page"), F.xxhash64(named).alias("host"), "html")
+    blocks = stash(keyed.mapInArrow(_parsed, "page_id long, url string, page long, host long, texts array<string>, says array<tinyint>"), "page-blocks")
+    bearing = stash(repeats(blocks.select("page", "host", "texts", "says"), shared), "page-repeats")
+    split = marked(blocks, bearing.select("page"), "page")
     none = F.lit(None).cast("array<bigint>")
-    alone = split.filter("not maybe").select("page_id", "url", "host", "html", none.alias("repeated"), none.alias("common"))
-    rest = split.filter("maybe").join(bearing, "page", "left").select("page_id", "url", "host", "html", "repeated", "common")
+    columns = ["page_id", "url", "host", "texts", "says"]
+    alone = split.filter("not maybe").select(*columns, none.alias("repeated"), none.alias("common"))
+    rest = split.filter("maybe").join(bearing, "page", "left").select(*columns, "repeated", "common")
     return alone.unionByName(rest).mapInArrow(_texts, "page_id long, url string, text string")
 
 
