@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from playlore.functions.compat import arg_max, arg_min, dow0, share
 from playlore.functions.config import Tuning
 from playlore.operators.islands import gap_sessions
+from playlore.operators.joins import spread
 
 
 #: Seconds that a mark may lie from the start of its session.
@@ -24,9 +25,11 @@ def adaptive_gap(t: Tuning) -> Column:
 def sessionize(plays: DataFrame, t: Tuning) -> DataFrame:
     """plays with session, gap_seconds, pos, size, is_repeat, album_changed and idle_min.
 
-    idle_min: minutes since the listener last did something, or since the session began.
+    idle_min: minutes since the listener last did something, or since the session began. Listeners are dealt into parts of
+    bounded size, in which all windows of a session are sorted, so that a task's memory does not grow with the table.
     """
-    cut = gap_sessions(plays, "owner", "played_at", "play_id", adaptive_gap(t))
+    dealt = spread(plays, plays.count(), "owner")
+    cut = gap_sessions(dealt, "owner", "played_at", "play_id", adaptive_gap(t))
     s = Window.partitionBy("owner", "session")
     w = s.orderBy("played_at", "play_id")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
