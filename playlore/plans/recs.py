@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from playlore.functions.compat import text
 from playlore.functions.config import Lens
+from playlore.functions.scratch import written
 from playlore.operators.joins import top_by
 from playlore.plans.base import Catalogue
 
@@ -165,11 +166,27 @@ def dig_deeper(plays: DataFrame) -> DataFrame:
 
 @C.query("f_dig_tracks", "plays", sql=f"""{_OWN}, cat AS (SELECT artist, track, count(*) AS n FROM plays GROUP BY ALL), mine AS (SELECT DISTINCT owner, track FROM plays WHERE attended) SELECT c.owner, c.artist, c.track, c.n AS plays_of_others FROM (SELECT owner, artist, track, n FROM own JOIN cat USING (artist)) c ANTI JOIN mine USING (owner, track)
 QUALIFY row_number() OVER (PARTITION BY c.owner, c.artist ORDER BY c.n DESC, c.track) <= 3""")
-def dig_tracks(plays: DataFrame) -> DataFrame:
-    """Songs of owned artists that others play and the listener never did (F164)."""
-    cat = plays.groupBy("artist", "track").agg(F.count(F.lit(1)).alias("plays_of_others"))
-    unheard = owned(plays).select("owner", "artist").join(cat, "artist").join(ALL.plays(plays).select("owner", "track").distinct(), ["owner", "track"], "left_anti")
-    return top_by(unheard, ["owner", "artist"], 3, F.desc("plays_of_others"), F.col("track")).select("owner", "artist", "track", "plays_of_others")
+def dig_tracks(plays: DataFrame, first: int = 32) -> DataFrame:
+    """Songs of owned artists that others play and the listener never did (F164).
+
+    The first songs of an artist are tried, as many as about make an artist owned, so candidates are no more than plays. Only for a
+    listener who knows so many of them that fewer than three stay are more tried, sixteen times as many a round, to the catalogue's end.
+    """
+    cat = written(plays.groupBy("artist", "track").agg(F.count(F.lit(1)).alias("plays_of_others")), "catalogue")
+    left, found = written(owned(plays).select("owner", "artist"), "owned"), []
+    order = [F.desc("plays_of_others"), F.col("track")]
+    while True:
+        mine = ALL.plays(plays).select("owner", "track")
+        mine = (mine.join(left.select("owner").distinct(), "owner", "left_semi") if found else mine).distinct()
+        ahead = written(top_by(cat.join(left.select("artist").distinct(), "artist", "left_semi"), ["artist"], first, *order, name="place"), "first-songs")
+        unheard = left.join(ahead.drop("place"), "artist").join(mine, ["owner", "track"], "left_anti")
+        best = written(top_by(unheard, ["owner", "artist"], 3, *order), "unheard")
+        more = ahead.filter(F.col("place") == first).select("artist")
+        short = written(left.join(more, "artist", "left_semi").join(best.filter("rank = 3"), ["owner", "artist"], "left_anti"), "owned-to-try")
+        found.append(best.join(short, ["owner", "artist"], "left_anti"))
+        if short.isEmpty():
+            return reduce(DataFrame.unionByName, found).select("owner", "artist", "track", "plays_of_others")
+        left, first = short, 16 * first
 
 
 @C.query("f_tree_candidates", "plays", "edges", sql=f"{_RELATED}, h AS (SELECT owner, artist, sum(ms)::BIGINT AS ms FROM plays WHERE attended GROUP BY ALL), r AS (SELECT artist, count(*) AS relations FROM rel GROUP BY 1) SELECT owner, artist, relations, ms / 3600000.0::DOUBLE AS hours FROM h JOIN r USING (artist) QUALIFY row_number() OVER (PARTITION BY owner ORDER BY relations DESC, ms DESC, artist) <= 80")
